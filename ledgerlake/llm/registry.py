@@ -1,11 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from . import quality_rules
+from . import bpe, decontaminate, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_bpe": bpe.op2_bpe,
+    "op5_decontamination": decontaminate.op5_decontamination,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle(),
+    "op5_decontamination": decontaminate.oracle(),
 }

@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from . import bpe, decontaminate, quality_rules
+from . import bpe, decontaminate, near_dedup, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_bpe": bpe.op2_bpe,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 
 ORACLE_SQL = {

@@ -1,15 +1,19 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from . import bpe, decontaminate, near_dedup, quality_rules
+from . import bpe, chat, decontaminate, near_dedup, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_bpe": bpe.op2_bpe,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op7_sharding": sharding.op7_sharding,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op10_chat": chat.op10_chat,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle(),
     "op5_decontamination": decontaminate.oracle(),
+    "op7_sharding": sharding.oracle(),
+    "op10_chat": chat.oracle(),
 }

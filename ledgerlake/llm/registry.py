@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from . import bpe, chat, decontaminate, near_dedup, quality_rules, sharding
+from . import bpe, chat, decontaminate, near_dedup, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_bpe": bpe.op2_bpe,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op8_near_dedup": near_dedup.op8_near_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle(),
+    "op4_url_filter": url_filter.oracle(),
     "op5_decontamination": decontaminate.oracle(),
     "op7_sharding": sharding.oracle(),
     "op10_chat": chat.oracle(),

@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from . import bpe, chat, decontaminate, near_dedup, quality_rules, sharding, url_filter
+from . import bpe, chat, decontaminate, near_dedup, pii, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_bpe": bpe.op2_bpe,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_pii": pii.op6_pii,
     "op7_sharding": sharding.op7_sharding,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op10_chat": chat.op10_chat,

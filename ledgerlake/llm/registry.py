@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from . import bpe, chat, decontaminate, near_dedup, pii, quality_rules, sharding, url_filter
+from . import bpe, chat, classifier, decontaminate, near_dedup, pii, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_sharding": sharding.op7_sharding,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_chat": chat.op10_chat,
 }
 

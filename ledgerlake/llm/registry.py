@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from . import bpe, chat, classifier, decontaminate, near_dedup, pii, quality_rules, sharding, url_filter
+from . import bpe, chat, classifier, decontaminate, html_text, near_dedup, pii, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_bpe": bpe.op2_bpe,
+    "op3_html_text": html_text.op3_html_text,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_pii": pii.op6_pii,

@@ -1,7 +1,7 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-A document's set holds its distinct shingles (runs of ``words`` words), as 48-bit
-hashes. Documents with equal sets become one node at once. Each of ``TREES`` independent
+A document's set holds its distinct shingles (runs of ``words`` words): 64-bit hashes
+make its size and identity, their first 40 bits are kept to compare sets. Documents with equal sets become one node at once. Each of ``TREES`` independent
 trees sends a node down a path of minwise tokens: the first splits all nodes, and a
 bucket of more than ``BLOCK`` nodes splits again by further ones. Buckets of at most BLOCK nodes are compared exhaustively:
 up to ``SMALL`` nodes as screened pairs, which many buckets share, and above by bringing
@@ -48,12 +48,14 @@ from .pyexec import struct_udf
 
 TREES = 12
 SMALL = 24
-BLOCK = 128
+BLOCK = 256
 SKETCH_BITS = 128
 #: Sketch bits that may differ: a pair of similarity 0.8 differs in 12.8 with deviation 3.4.
 MAX_SKETCH_DISTANCE = 30
-WORD_CACHE = 300_000
-HASH_BYTES = 6
+WORD_CACHE = 150_000
+#: Most bits of a broadcast filter: a million rows of 64.
+FILTER_BITS = 1 << 26
+HASH_BYTES = 5
 U64 = np.uint64
 
 
@@ -85,18 +87,17 @@ class WordHashes(dict):
 
 
 def shingle_set(text: str | None, words: int, memo: WordHashes) -> np.ndarray:
-    """The sorted distinct 48-bit hashes of a text's shingles."""
+    """The sorted distinct 64-bit hashes of a text's shingles."""
     parts = text.encode().lower().split() if text else []
     if not parts:
         return np.empty(0, dtype=U64)
     hashes = np.frombuffer(b"".join([memo[w] for w in parts]), dtype=U64)
     if len(hashes) < words:
-        whole = np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), dtype=U64)
-        return whole >> U64(16)
+        return np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), dtype=U64)
     made = hashes[: len(hashes) - words + 1] * PLACES[0]
     for k in range(1, words):
         made = made + hashes[k : len(hashes) - words + 1 + k] * PLACES[k]
-    return np.unique(_mix(made) >> U64(16))
+    return np.unique(_mix(made))
 
 
 def minima(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -109,7 +110,8 @@ def minima(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
 
 def packed(shingles: np.ndarray) -> bytes:
-    return shingles.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+    """The first bytes of each hash; equal ones, one in 10 ** 7 sets of 500, stay both."""
+    return (shingles >> U64(64 - 8 * HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -139,7 +141,7 @@ def sign(text: Column, words: int) -> Column:
                 continue
             least, data = minima(found, multipliers), packed(found)
             s0, s1 = np.packbits((least[len(PATHS):] & U64(1)).astype(np.uint8)).view(np.int64)
-            made["digest"].append(hashlib.blake2b(data, digest_size=16).digest())
+            made["digest"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             made["s0"].append(int(s0))
             made["s1"].append(int(s1))
             made["path"].append(least[: len(PATHS)].astype(np.uint32).view(np.int32))
@@ -154,7 +156,7 @@ def _common(left: Column | str, right: Column | str) -> Column:
 
     @F.arrow_udf("long")
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([len(np.intersect1d(unpacked(a.as_py()), unpacked(b.as_py()), assume_unique=True)) for a, b in zip(left, right, strict=True)], type=pa.int64())
+        return pa.array([len(np.intersect1d(unpacked(a.as_py()), unpacked(b.as_py()))) for a, b in zip(left, right, strict=True)], type=pa.int64())
 
     return run(left, right)
 
@@ -167,10 +169,24 @@ def _may_link(a: str, b: str, percent: int) -> str:
     return f"(100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {_distance(a, b)} <= {MAX_SKETCH_DISTANCE})"
 
 
+def _sets(signed: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(name, set_<name>, n_<name>): the sets of at least the rows in ``ids`` (one column).
+
+    A bitmap of sixteen bits an id, but at most FILTER_BITS, keeps most other sets out of
+    the shuffle; it may let some pass, which the join that follows leaves out.
+    """
+    size = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    spots = ids.toDF("id").select(place(F.col("id")).alias("spot"))
+    bitmap = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS int))")).alias("bits"))
+    found = signed.select(F.col("row").alias(name), F.col("shingles").alias(f"set_{name}"), F.col("n").alias(f"n_{name}")).withColumn("_spot", place(F.col(name)))
+    kept = found.join(F.broadcast(bitmap), F.shiftright("_spot", 6) == F.col("word")).where("(shiftrightunsigned(bits, CAST(_spot & 63 AS int)) & 1) = 1")
+    return kept.drop("_spot", "word", "bits")
+
+
 def _confirm(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs (a, b) with the sizes of intersection and union of their full sets."""
-    sets = lambda k: signed.select(F.col("row").alias(k), F.col("shingles").alias(f"set_{k}"), F.col("n").alias(f"n_{k}"))
-    both = pairs.join(sets("a"), "a").join(sets("b"), "b")
+    both = pairs.join(_sets(signed, pairs.select("a"), "a"), "a").join(_sets(signed, pairs.select("b"), "b"), "b")
     both = both.select("a", "b", "n_a", "n_b", _common("set_a", "set_b").alias("shared"))
     return both.select("a", "b", "shared", (F.col("n_a") + F.col("n_b") - F.col("shared")).alias("either"))
 
@@ -190,11 +206,11 @@ def _block_links(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """
     members = rows.groupBy("key").agg(F.collect_list(F.struct("node", "n", "s0", "s1")).alias("m"))
     paired = F.expr(f"filter(m, x -> exists(m, y -> y.node <> x.node AND {_may_link('x.', 'y.', percent)}))")
-    alive = members.select("key", F.explode(paired).alias("x")).select("key", F.col("x.node").alias("row"))
+    alive = materialise(members.select("key", F.explode(paired).alias("x")).select("key", F.col("x.node").alias("node")), "alive")
 
     def connect(bucket: pa.Table) -> pa.Table:
-        nodes = bucket.column("row").to_pylist()
-        sets = [unpacked(x.as_py()) for x in bucket.column("shingles")]
+        nodes = bucket.column("node").to_pylist()
+        sets = [unpacked(x.as_py()) for x in bucket.column("set_node")]
         every, place = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         shared = np.zeros((len(sets), len(sets)), dtype=np.int64)
@@ -219,7 +235,7 @@ def _block_links(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
                 tree.append((nodes[x], nodes[y]))
         return pa.table({"a": pa.array([min(x) for x in tree], pa.int64()), "b": pa.array([max(x) for x in tree], pa.int64())})
 
-    return alive.join(signed.select("row", "shingles"), "row").groupBy("key").applyInArrow(connect, "a long, b long").distinct()
+    return alive.join(_sets(signed, alive.select("node"), "node").drop("n_node"), "node").groupBy("key").applyInArrow(connect, "a long, b long").distinct()
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
@@ -264,12 +280,12 @@ def _face(key: str, own: str, pivot: str) -> Column:
 def candidate_links(nodes: DataFrame, signed: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Screened pairs of the small first buckets, and confirmed links of all others."""
     trees = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, path[t]))")
-    rows = nodes.select(F.explode(trees).alias("key"), "node", "n", "s0", "s1", F.lit(1).alias("open"))
-    sets = lambda k: signed.select(F.col("row").alias(k), F.col("shingles").alias(f"set_{k}"))
+    rows = nodes.select(F.explode(trees).alias("key"), "node", F.lit(1).alias("open"))
     pairs, links = None, []
     while True:
         crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.sum("open").alias("unlinked")).where("crowd > 1 AND unlinked > 0").drop("unlinked")
-        shared = materialise(rows.drop("open").join(crowd, "key"), "buckets")
+        together = rows.select("key", "node").join(crowd, "key")
+        shared = materialise(together.join(nodes.select("node", "n", "s0", "s1"), "node"), "buckets")
         least = 1
         if pairs is None:
             pairs, least = materialise(_small_pairs(shared.where(f"crowd <= {SMALL}"), percent), "pairs"), SMALL
@@ -278,13 +294,13 @@ def candidate_links(nodes: DataFrame, signed: DataFrame, percent: int) -> tuple[
         if large.isEmpty():
             drop_table(shared)
             return pairs, links
-        faced = large.join(_pivots(large), "key").where("node <> pivot").select("key", "node", "n", "s0", "s1", "pivot", "p_n")
-        faced = faced.join(sets("node"), "node").join(sets("pivot"), "pivot")
+        met = materialise(large.join(_pivots(large), "key").where("node <> pivot").select("key", "node", "n", "s0", "s1", "pivot", "p_n"), "met")
+        faced = met.join(_sets(signed, met.select("node"), "node"), "node").join(_sets(signed, met.select("pivot").distinct(), "pivot"), "pivot")
         faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face("key", "set_node", "set_pivot").alias("f"))
         linked = f"100 * f.shared >= {percent} * (n + p_n - f.shared)"
         judged = materialise(faced.withColumn("linked", F.expr(linked)), "faced")
         links.append(judged.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        rows = judged.select(F.explode("f.kids").alias("key"), "node", "n", "s0", "s1", F.expr("CAST(NOT linked AS int)").alias("open")).distinct()
+        rows = judged.select(F.explode("f.kids").alias("key"), "node", F.expr("CAST(NOT linked AS int)").alias("open")).distinct()
         drop_table(shared)
 
 
@@ -295,13 +311,16 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     signed = materialise(source.select("doc_id", "row", sign(F.col("text"), words).alias("s")).select("doc_id", "row", "s.*"), "signed")
     classes = materialise(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = signed.where("n > 0").select(F.col("row").alias("node"), "n", "s0", "s1", "path").join(classes.select("node"), "node", "left_semi")
+    nodes = materialise(nodes, "nodes")
     asked, links = candidate_links(nodes, signed, percent)
-    first = materialise(_confirm(asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), signed).where(f"100 * shared >= {percent} * either").select("a", "b"), "first")
+    nearest = materialise(asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
+    first = materialise(_confirm(nearest, signed).where(f"100 * shared >= {percent} * either").select("a", "b"), "first")
     for more in links:
         first = first.unionByName(more)
     label = components(first)
     of = lambda k: label.select(F.col("node").alias(k), F.col("label").alias(f"of_{k}"))
     rest = asked.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    rest = materialise(rest, "rest")
     second = materialise(_confirm(rest, signed).where(f"100 * shared >= {percent} * either").select("a", "b"), "second")
     label = components(first.unionByName(second))
 

@@ -1,15 +1,16 @@
 """Quality classifier: support vectors over naive-Bayes features.
 
 A text's features are the distinct n-grams (one and two tokens) of its words and the
-shapes of its words, hashed into ``BUCKETS``. Class log-count ratios of all training
-rows scale the indicators; a linear hinge-loss model over them is fitted by dual
-coordinate descent, and a logistic curve through the margins makes scores.
+shapes of its words, hashed into ``BUCKETS``. Class log-count ratios scale the
+indicators; a linear hinge-loss model over them is fitted by dual coordinate descent,
+and a logistic curve through the margins makes scores.
 
-Counts are summed over all training rows by hash bucket, partial sums first: at most
-BUCKETS rows reach the driver. The support vectors are fitted on at most ``MAX_ROWS``
-training rows, those with the smallest hash of their id, each with at most
-``MAX_FEATURES`` features (the lowest hashes; scoring uses all). The model is one vector
-of BUCKETS numbers, broadcast to the workers, which score whole texts row by row.
+The model is fitted on at most ``MAX_ROWS`` labelled rows, those with the smallest hash
+of their id, each with at most ``MAX_FEATURES`` features (the lowest buckets; scoring
+uses all). Their ids and labels, so bounded, are broadcast to the scan of the documents:
+no text is shuffled, and only the features of these rows reach the driver. The model is
+one vector of BUCKETS numbers, broadcast to the workers, which score whole texts row by
+row.
 
 Defined results: a null text is an empty one, whose score is the curve at the bias;
 training rows with a null label or id are left out; equal rows count as often as they
@@ -96,34 +97,6 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))
 
 
-def _training(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, training: Column) -> DataFrame:
-    known = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
-    return docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).where("_id IS NOT NULL").join(known.where(training), "_id")
-
-
-def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of each class, and documents of each class with each bucket, over all of ``rows``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sums, size = WordHashes(), np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64)
-        for batch in batches:
-            for y, x in zip(batch.column("_y").to_pylist(), batch.column("_text"), strict=True):
-                sums[y, features(x.as_py(), memo)] += 1
-                size[y] += 1
-        for y in (0, 1):
-            used = np.flatnonzero(sums[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used) + 1, y)), pa.array(np.append(used, -1)), pa.array(np.append(sums[y][used], size[y]))], names=["y", "bucket", "c"])
-
-    total = rows.select("_y", "_text").mapInArrow(run, "y long, bucket long, c long").groupBy("y", "bucket").agg(F.sum("c").alias("c"))
-    size, sums = np.zeros(2), np.zeros((2, BUCKETS))
-    for y, bucket, c in total.collect():  # at most 2 * (BUCKETS + 1) rows
-        if bucket < 0:
-            size[y] = c
-        else:
-            sums[y, bucket] = c
-    return size, sums
-
-
 def descend(rows: list[np.ndarray], targets: np.ndarray, scale: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Dual coordinate descent for the hinge loss with one more constant feature; returns weights and bias."""
     w = np.zeros(len(scale) + 1)
@@ -164,13 +137,9 @@ def _curve(margins: np.ndarray, targets: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", training: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
     """The model for the rows of ``labels`` (doc_id and a label of 0 or 1) where ``training`` (over ``_id``) holds."""
     on_workers(docs.sparkSession)
-    rows = _training(docs, labels, doc_id, text, label, F.lit(True) if training is None else training)
-    size, sums = _counts(rows)
-    if not size.all():
-        share = size[1] / size.sum() if size.sum() else 0.5
-        return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    rate = (sums + SMOOTHING) / (size[:, None] + 2 * SMOOTHING)
-    scale = np.log(rate[1] / rate[0])
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
+    chosen = known.where(F.lit(True) if training is None else training).orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id").select("_y", "_text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -178,9 +147,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             found = [features(x.as_py(), memo)[:MAX_FEATURES].astype(np.int32) for x in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column("_y").cast(pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["y", "f"])
 
-    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_rows).select("_y", "_text").mapInArrow(hashed, "y long, f array<int>").toArrow()
-    targets = np.where(sample.column("y").to_numpy() == 1, 1.0, -1.0)
+    sample = rows.mapInArrow(hashed, "y long, f array<int>").toArrow()
+    labelled = sample.column("y").to_numpy()
+    size = np.bincount(labelled, minlength=2)
+    if not size.all():
+        share = size[1] / size.sum() if size.sum() else 0.5
+        return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     found = [np.asarray(x.values, dtype=np.int64) for x in sample.column("f")]
+    sums = np.stack([np.bincount(np.concatenate([r for r, y in zip(found, labelled, strict=True) if y == k]), minlength=BUCKETS) for k in (0, 1)])
+    rate = (sums + SMOOTHING) / (size[:, None] + 2 * SMOOTHING)
+    scale = np.log(rate[1] / rate[0])
+    targets = np.where(labelled == 1, 1.0, -1.0)
     # the rarer class weighs as much as the other
     weight = {s: COST * len(targets) / (2 * max((targets == s).sum(), 1)) for s in (-1.0, 1.0)}
     w = descend(found, targets, scale, np.array([weight[s] for s in targets]))

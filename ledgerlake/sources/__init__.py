@@ -1,0 +1 @@
+"""Where blocks come from, and configuration."""

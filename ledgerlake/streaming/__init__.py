@@ -1,0 +1 @@
+"""Continuous ingest into the chain's tables."""

@@ -71,12 +71,16 @@ def _names(attributes: str) -> tuple[frozenset[str], str]:
 
 @lru_cache(20_000)
 def element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Signature of a start tag, whether it is a landmark, whether it names something aside."""
+    """Signature of a start tag, whether it is a landmark, whether it names something aside.
+
+    The signature has the tag, up to three words of class and id without digits, and the role.
+    """
     words, role = _names(attributes)
     named = sorted(words & ASIDE_WORDS)
+    plain = sorted(w for w in words - ASIDE_WORDS if w.isalpha())
     aside = tag in ASIDE_TAGS or role in ASIDE_ROLES or bool(named)
     landmark = not aside and (tag in LANDMARKS or role in LANDMARKS)
-    return tag + ("." + named[0] if named else "") + ("@" + role if role else ""), landmark, aside
+    return tag + "".join(f".{w}" for w in [*named[:1], *plain][:3]) + ("@" + role if role else ""), landmark, aside
 
 
 def events(page: str) -> Iterable[tuple[str, str]]:

@@ -20,5 +20,6 @@ ORACLE_SQL = {
     "op4_url_filter": url_filter.oracle(),
     "op5_decontamination": decontaminate.oracle(),
     "op7_sharding": sharding.oracle(),
+    "op8_near_dedup": near_dedup.oracle(),
     "op10_chat": chat.oracle(),
 }

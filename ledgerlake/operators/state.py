@@ -34,7 +34,9 @@ def as_of(probes: DataFrame, versions: DataFrame, key: str, position: str, value
     version with a null value is a tombstone: it hides earlier ones and the fallback,
     which (columns key and value) otherwise serves keys and positions before any version.
     """
-    lists = versions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).alias("v")))).alias("_versions"))
+    lists = versions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).alias("v")))).alias("_all"))
+    # a version equal to the one before it changes nothing
+    lists = lists.select(key, F.expr("filter(_all, (x, i) -> i = 0 OR NOT (x.v <=> _all[i - 1].v))").alias("_versions"))
     joined = probes.join(lists, key, "left")
     before = F.filter("_versions", lambda x: x["p"] <= F.col(position))
     joined = joined.withColumn("_at", F.when(F.size(before) > 0, F.element_at(before, -1)))

@@ -8,12 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as a
+from .codec import pack, schema
 from .functions import columns as c
-from .operators import ingest, state
+from .functions import decoding
+from .operators import ingest, sinks, state
+from .session import on_workers
 from .plans import filters, history
 from .plans import state as accounts
 
@@ -376,3 +380,117 @@ def f15_hex_and_status(spark, d):
     return a.read(spark, d, "events").select("event_id", c.hex_text(F.col("event_type").cast("binary")).alias("hex"), c.status_text(F.col("user_id") % 6).alias("status"))
 
 
+
+
+# decoding, from the tables' rows packed as the chain packs them
+
+ORDER_ABI = {
+    "version": "", "types": [{"new_type_name": "key_type", "type": "uint64"}], "variants": [],
+    "structs": [{"name": "keyed", "base": "", "fields": [{"name": "key", "type": "key_type"}]}, {"name": "order", "base": "keyed", "fields": [{"name": n, "type": t} for n, t in (("cust", "uint32"), ("status", "string"), ("total", "asset"), ("at", "time_point_sec"), ("tags", "name[]"), ("note", "string?"), ("more", "uint8$"))]}],
+    "actions": [{"name": "place", "type": "order", "ricardian_contract": ""}], "tables": [{"name": "orders", "type": "order"}],
+}
+
+
+def _packed_orders(spark: SparkSession, d: str) -> DataFrame:
+    @F.arrow_udf("binary")
+    def pack_order(key: pa.Array, cust: pa.Array, status: pa.Array, units: pa.Array, at: pa.Array) -> pa.Array:
+        rows = zip(*(x.to_pylist() for x in (key, cust, status, units, at)), strict=True)
+        return pa.array([pack.u(8, k) + pack.u(4, c) + pack.block(s) + pack.asset(u, "2,USD") + pack.u(4, t) + pack.many([pack.name("tag"), pack.name(f"o{k % 5 + 1}")]) + pack.optional(pack.block(s) if k % 2 else None) for k, c, s, u, t in rows], type=pa.binary())
+
+    o = a.read(spark, d, "orders")
+    units, at = F.round(F.col("o_totalprice") * 100).cast("long"), (c.micros("o_orderdate") / 1000000).cast("long")
+    return o.select("o_orderkey", pack_order("o_orderkey", "o_custkey", "o_orderstatus", units, at).alias("data"))
+
+
+DECODED = """SELECT o_orderkey, o_orderkey AS key, o_custkey AS cust, o_orderstatus AS status, CAST(CAST(round(o_totalprice * 100) AS BIGINT) // 100 AS VARCHAR) || '.' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') || ' USD' AS total,
+  strftime(date_trunc('second', o_orderdate), '%Y-%m-%dT%H:%M:%S.%g') AS at, '["tag","o' || (o_orderkey % 5 + 1) || '"]' AS tags, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS note FROM orders"""
+
+
+def _fields(found: DataFrame, json: str) -> DataFrame:
+    at = lambda name: F.get_json_object(json, f"$.{name}")
+    return found.select("o_orderkey", at("key").cast("long").alias("key"), at("cust").cast("long").alias("cust"), at("status").alias("status"), at("total").alias("total"), at("at").alias("at"), at("tags").alias("tags"), at("note").alias("note"))
+
+
+@query(DECODED, views=False)
+def d3_decode_action(spark, d):
+    on_workers(spark)
+    found = _packed_orders(spark, d)
+    return _fields(found.withColumn("j", decoding.decode_action(F.lit(schema.to_json(ORDER_ABI)), F.lit("place"), F.col("data"))), "j")
+
+
+@query(DECODED, views=False)
+def d4_decode_row(spark, d):
+    on_workers(spark)
+    found = _packed_orders(spark, d)
+    return _fields(found.withColumn("j", decoding.decode_row(F.lit(schema.to_json(ORDER_ABI)), F.lit("orders"), F.col("data"))), "j")
+
+
+@query("SELECT o_orderkey, lower(hex(encode('x' || o_orderkey))) AS hex_data FROM orders", views=False)
+def d13_decode_or_hex(spark, d):
+    """Data that does not decode comes back as hexadecimal text."""
+    on_workers(spark)
+    found = a.read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("x"), "o_orderkey").cast("binary").alias("data"))
+    json = decoding.decode_action(F.lit(schema.to_json(ORDER_ABI)), F.lit("place"), F.substring("data", 1, 9))
+    return found.select("o_orderkey", F.when(json.isNull(), c.hex_text(F.col("data"))).alias("hex_data"))
+
+
+def _customer_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A block per customer: its balance row, a transfer with two notifications, a permission; every third repeats a scope."""
+    def frames(batches):
+        abi = pack.packed_abi(pack.TOKEN_ABI)
+        for batch in batches:
+            made = []
+            for key, units in zip(batch.column("k").to_pylist(), batch.column("units").to_pylist(), strict=True):
+                scope = "c" + "".join("abcdefghij"[int(x)] for x in str(key % 100))
+                act = [pack.action_trace(n + 1, 0, r, "tok", "transfer", pack.transfer(scope, "bank", units, "m"), key * 4 + n, "0d") for n, r in enumerate(("tok", scope, "bank"))]
+                rows = [pack.delta("account", [(True, pack.account_row("tok", abi))]), pack.delta("contract_row", [(units >= 0, pack.contract_row("tok", scope, "accounts", key, pack.asset(units)))])]
+                rows.append(pack.delta("permission", [(True, pack.permission_row(scope, "active", accounts=[("bank", "active")]))]))
+                made.append(pack.frame(key, pack.signed_block(key), [pack.transaction(act, f"{key % 256:02x}")], rows))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(made, pa.binary())], names=["arrival_ordinal", "frame"])
+
+    keyed = a.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.round(F.col("c_acctbal") * 100).cast("long").alias("units"))
+    return ingest.raw_from_frames(keyed.mapInArrow(frames, "arrival_ordinal long, frame binary"))
+
+
+SCOPE = "'c' || translate(CAST(c_custkey % 100 AS VARCHAR), '0123456789', 'abcdefghij')"
+
+
+@query(f"SELECT c_custkey AS block_num, CAST(c_custkey * 4 AS BIGINT) AS global_sequence, 'tok,' || {SCOPE} || ',bank' AS notified, {SCOPE} AS sender, CAST(round(c_acctbal * 100) AS BIGINT) / 10000.0::DOUBLE AS amount, strftime(epoch_ms(946684800000 + 500 * c_custkey), '%Y-%m-%dT%H:%M:%S.%g') AS ts_text, 1 AS signatures FROM customer", views=False)
+def t7_ingest_actions(spark, d):
+    """Frames to actions: decoded, collapsed, with the schema in force, and typed."""
+    on_workers(spark)
+    code = spark.createDataFrame([("tok", schema.to_json(pack.TOKEN_ABI))], "account string, abi string")
+    found = ingest.block_tables(_customer_blocks(spark, d), code)["action"]
+    return found.select("block_num", F.col("global_sequence").cast("long").alias("global_sequence"), F.array_join("notified", ",").alias("notified"), F.col("`@transfer`.from").alias("sender"), F.col("`@transfer`.amount").alias("amount"), F.col("@timestamp").alias("ts_text"), F.size("signatures").alias("signatures"))
+
+
+@query(f"SELECT scope, block_num, amount FROM (SELECT {SCOPE} AS scope, c_custkey AS block_num, CAST(round(c_acctbal * 100) AS BIGINT) / 10000.0::DOUBLE AS amount, row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey DESC) AS r FROM customer) WHERE r = 1 AND amount >= 0", views=False)
+def t14_ingest_tokens(spark, d):
+    """Frames to current balances: the latest row of each scope, deleted ones gone."""
+    on_workers(spark)
+    return state.latest(ingest.block_tables(_customer_blocks(spark, d))["token"], ingest.KEYS["token"]).select("scope", "block_num", "amount")
+
+
+@query(f"SELECT {SCOPE} AS owner, max(c_custkey) AS block_num, 'bank@active' AS accounts FROM customer GROUP BY 1", views=False)
+def t12_ingest_permissions(spark, d):
+    on_workers(spark)
+    return state.latest(ingest.block_tables(_customer_blocks(spark, d))["perm"], ingest.KEYS["perm"]).select("owner", "block_num", F.array_join("accounts", ",").alias("accounts"))
+
+
+@query("SELECT c_custkey AS block_num, 'producer1' AS producer, CAST(1 AS BIGINT) AS trx_count, CAST(150 AS BIGINT) AS cpu_usage_us, CAST(12 AS BIGINT) AS net_usage_words FROM customer", views=False)
+def t2_ingest_blocks(spark, d):
+    on_workers(spark)
+    return ingest.block_tables(_customer_blocks(spark, d))["block"].select("block_num", "producer", "trx_count", "cpu_usage_us", "net_usage_words")
+
+
+@query(f"SELECT c_custkey AS block_num, 0 AS ordinal, {SCOPE} AS scope, CAST(c_custkey AS VARCHAR) AS primary_key, c_acctbal >= 0 AS present FROM customer", views=False)
+def t13_ingest_deltas(spark, d):
+    on_workers(spark)
+    return ingest.block_tables(_customer_blocks(spark, d))["delta"].select("block_num", F.col("ordinal").cast("int").alias("ordinal"), "scope", "primary_key", "present")
+
+
+@query(f"""SELECT '{{"index":{{"_index":"x-token","_id":"' || code || '-' || scope || '-USD","version":' || version || ',"version_type":"external"}}}}' AS head FROM token WHERE NOT gone
+UNION ALL SELECT '{{"delete":{{"_index":"x-token","_id":"' || code || '-' || scope || '-USD","version":' || version || ',"version_type":"external"}}}}' FROM token WHERE gone""")
+def snk1_bulk_lines(spark, d):
+    lines = sinks.bulk_lines(a.tokens(spark, d), "token", "x-token")
+    return lines.select(F.split("lines", "\n")[0].alias("head"))

@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import ingest
 from ..sources.config import Config
 from ..sources.feed import FRAME_BITS, register
 from .store import KINDS, Store
 
+log = logging.getLogger(__name__)
+
+
+class Throughput(StreamingQueryListener):
+    """Blocks a second of each micro-batch, to the log."""
+
+    def onQueryStarted(self, event) -> None:
+        log.info("ingest %s started", event.id)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        log.info("batch %d: %d blocks, %.1f a second", p.batchId, p.numInputRows, p.processedRowsPerSecond)
+
+    def onQueryTerminated(self, event) -> None:
+        log.info("ingest %s ended: %s", event.id, event.exception or "all taken")
+
 
 def schemas_before(store: Store, batch: int, fallback: DataFrame | None) -> DataFrame:
     """For each account the schema last set in confirmed batches before this one, else the fallback's."""

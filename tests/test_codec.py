@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from ledgerlake.codec import keys, scalars, schema, wire
 from ledgerlake.codec.cursor import Cursor, DecodeError, varuint32
-from tests import blobs
+from ledgerlake.codec import pack as blobs
 
 
 @pytest.mark.parametrize("text,value", [("eosio", 6138663577826885632), ("eosio.token", 6138663591592764928), ("transfer", 14829575313431724032), ("", 0)])

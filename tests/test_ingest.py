@@ -3,7 +3,7 @@ import json
 import pytest
 
 from ledgerlake.operators import ingest, state
-from tests import blobs
+from ledgerlake.codec import pack as blobs
 
 
 def feed(spark, frames):

@@ -8,7 +8,7 @@ from ledgerlake.functions import columns as c
 from ledgerlake.functions import decoding
 from ledgerlake.operators import state
 from ledgerlake.plans import filters, history
-from tests import blobs
+from ledgerlake.codec import pack as blobs
 
 SF = "/root/testdata/sf0.001"
 

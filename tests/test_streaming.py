@@ -10,7 +10,7 @@ from ledgerlake.serve import Service, server
 from ledgerlake.sources import config, feed
 from ledgerlake.streaming import runner
 from ledgerlake.streaming.store import Store
-from tests import blobs
+from ledgerlake.codec import pack as blobs
 from tests.test_ingest import whole_block
 
 

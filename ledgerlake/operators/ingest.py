@@ -16,7 +16,7 @@ traces by first appearance, then deltas; a schema set by an action counts for it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -223,16 +223,17 @@ def balances(rows: DataFrame, data: str = "data_json") -> DataFrame:
     return found.select("arrival_ordinal", "delta_idx", "row_idx", "block_num", "code", "scope", F.col("_a.code").alias("symbol"), F.col("_a.precision").alias("precision"), number.alias("amount"), F.when(F.col("present"), F.lit("index")).otherwise(F.lit("delete")).alias("_op"))
 
 
-def block_tables(raw: DataFrame, fallback: DataFrame | None = None, skip_actions: list[str] | None = None) -> dict[str, DataFrame]:
+def block_tables(raw: DataFrame, fallback: DataFrame | None = None, skip_actions: list[str] | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """The tables action, block, delta, abi, perm and token of a frame of raw blocks.
 
     perm and token are change logs with ``_op`` and ``_version``; ``state.latest`` makes
-    the current tables of them. ``fallback`` (account, abi) has schemas for contracts
+    the current tables of them. ``hold`` is applied to the decoded frames, which all
+    tables share: a writer of several tables passes ``DataFrame.persist``. ``fallback`` (account, abi) has schemas for contracts
     without any in the feed so far.
     """
-    header = headers(raw)
+    header = hold(headers(raw))
     of_block = header.select("arrival_ordinal", F.col("timestamp").alias("@timestamp"), "producer")
-    actions, changed = collapse(traces(raw), skip_actions), deltas(raw)
+    actions, changed = hold(collapse(traces(raw), skip_actions)), hold(deltas(raw))
     timeline = schema_timeline(actions, changed)
     probes = actions.withColumn("position", _position(TRACE_PHASE, "trx_idx", "first_idx"))
     with_abi = state.as_of(probes, timeline, "account", "position", "abi", fallback, "abi")

@@ -38,14 +38,21 @@ def schemas_before(store: Store, batch: int, fallback: DataFrame | None) -> Data
 
 def write_batch(store: Store, raw: DataFrame, batch: int, fallback: DataFrame | None = None, skip_actions: list[str] | None = None) -> None:
     """One micro-batch: all tables under the batch's number, then the progress row that confirms it."""
-    raw = raw.persist()
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
+    raw = hold(raw)
     try:
-        tables = ingest.block_tables(raw, schemas_before(store, batch, fallback), skip_actions)
+        tables = ingest.block_tables(raw, schemas_before(store, batch, fallback), skip_actions, hold)
         for kind in KINDS:
             store.append(kind, tables[kind], batch)
         store.confirm(batch, *raw.agg(F.max("block_num"), F.max("arrival_ordinal")).first())
     finally:
-        raw.unpersist()
+        for df in held:
+            df.unpersist()
 
 
 def start(spark: SparkSession, config: Config, fallback: DataFrame | None = None, bounded: bool = False) -> StreamingQuery:

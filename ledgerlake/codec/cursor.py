@@ -13,13 +13,13 @@ class Cursor:
     __slots__ = ("data", "at", "end")
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.end = memoryview(data), 0, len(data)
+        self.data, self.at, self.end = bytes(data), 0, len(data)
 
     def take(self, size: int) -> bytes:
         stop = self.at + size
         if size < 0 or stop > self.end:
             raise DecodeError(f"end of data: {size} bytes wanted at {self.at} of {self.end}")
-        found = self.data[self.at : stop].tobytes()
+        found = self.data[self.at : stop]
         self.at = stop
         return found
 
@@ -27,7 +27,11 @@ class Cursor:
         return self.at >= self.end
 
     def unsigned(self, size: int) -> int:
-        return int.from_bytes(self.take(size), "little")
+        at = self.at
+        if at + size > self.end:
+            raise DecodeError(f"end of data: {size} bytes wanted at {at} of {self.end}")
+        self.at = at + size
+        return int.from_bytes(self.data[at : at + size], "little")
 
     def signed(self, size: int) -> int:
         return int.from_bytes(self.take(size), "little", signed=True)
@@ -40,6 +44,9 @@ class Cursor:
 
     def varuint32(self) -> int:
         """Seven bits a byte, low ones first; at most five bytes and 32 bits."""
+        if self.at < self.end and (byte := self.data[self.at]) < 0x80:
+            self.at += 1
+            return byte
         value = 0
         for shift in range(0, 35, 7):
             byte = self.unsigned(1)

@@ -51,7 +51,7 @@ def _read(c: Cursor, prefix: str, sizes: dict[int, int], tail) -> str:
         c.take(sizes[tag])
     else:
         tail(c)
-    return _text(prefix, KINDS[tag], c.data[start : c.at].tobytes())
+    return _text(prefix, KINDS[tag], c.data[start : c.at])
 
 
 def public_key(c: Cursor) -> str:

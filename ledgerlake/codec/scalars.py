@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import UTC, datetime, timedelta
+from functools import lru_cache
 from typing import NamedTuple
 
 NAME_CHARS = ".12345abcdefghijklmnopqrstuvwxyz"
@@ -13,6 +14,7 @@ EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 INT64 = 1 << 63
 
 
+@lru_cache(100_000)
 def name_text(value: int) -> str:
     """Twelve characters of five bits from the top, and one of four."""
     chars = [NAME_CHARS[value >> shift & 31] for shift in range(59, 3, -5)] + [NAME_CHARS[value & 15]]

@@ -36,7 +36,7 @@ from .common import on_workers, table
 from .pyexec import struct_udf
 
 DEFAULT_FILE = "word_bpe_49k.json"
-CACHE_ENTRIES = {"pairs": 300_000, "chunks": 300_000, "words": 600_000}
+CACHE_ENTRIES = {"pairs": 150_000, "chunks": 150_000, "words": 250_000}
 INFINITE = 1 << 60
 END = "\0"
 #: Separators of str.split() that the tokenizer does not regard as white space.

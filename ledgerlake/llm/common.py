@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -16,12 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that travel to a Python worker at once; whole texts are long rows.
+BATCH_ROWS = 500
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package.
+    """Let Python workers of a local session import this package, and bound their batches.
 
     On a cluster the package is shipped with ``--py-files``; a worker that has it
-    installed ignores the additional path.
+    installed ignores the additional path. A session with smaller batches keeps them.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
@@ -52,6 +60,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark clean up after frames that are no longer in use.
+
+    Shuffle files and broadcasts go when the driver's collectors find their frames
+    unreachable. A loop of many small jobs allocates too little on the driver for that
+    to happen by itself, while they pile up on the executors.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files that ``materialise`` wrote for ``df``, through Spark's own file system."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise
+from .common import drop_table, materialise, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -39,6 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         after = state(after_edges)
         drop_table(edges)
         edges = after_edges
+        release(links.sparkSession)
         if after == before:
             break
         before = after

@@ -209,36 +209,49 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     return out.withColumn(into, F.expr(joined)).drop(*names)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_span: int = 0, max_coverage: float = 0.5) -> DataFrame:
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without spans of words, each from its first word's first byte to its last word's last."""
+    places, raw, at, kept = word_spans(text), text.encode(), 0, []
+    for a, b in spans:
+        kept.append(raw[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_span: int = 0, max_coverage: float = 0.5, most: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """``docs`` without the spans of over ``max_span`` words, and without texts covered beyond ``max_coverage``.
 
-    A removed span goes from its first word's first byte to its last word's last byte;
-    what stands around it stays. A text of which more than ``max_coverage`` of the words
-    lie in such spans goes as a whole; clean texts stay as they are.
+    What stands around a removed span stays. A text of which more than ``max_coverage``
+    of the words lie in such spans goes as a whole; clean texts stay as they are.
     """
     on_workers(docs.sparkSession)
-    judged = scan(docs, benchmark, text, window, "_scan")
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        made = []
-        for x, found in zip(texts, spans, strict=True):
+    groups = list(item_groups(benchmark, most))
+    shared = docs.sparkSession.sparkContext.broadcast(groups[0])
+    built: list[SuffixAutomaton] = []
+    judged = docs if len(groups) == 1 else scan(docs, benchmark, text, window, "_scan", most)
+
+    def run(texts: pa.Array, *scanned: pa.Array) -> dict[str, list]:
+        made: dict[str, list] = {"gone": [], "cut": []}
+        if not built and not scanned:
+            built.append(SuffixAutomaton(shared.value, window))
+        for k, x in enumerate(texts):
             x = x.as_py()
-            if x is None:
-                made.append(None)
-                continue
-            places, raw, at, kept = word_spans(x), x.encode(), 0, []
-            for s in found.as_py():
-                kept.append(raw[at : places[s["start"]][0]])
-                at = places[s["end"] - 1][1]
-            made.append(b"".join([*kept, raw[at:]]).decode())
-        return pa.array(made, type=pa.string())
-
-    judged = judged.withColumn("_far", F.expr(f"filter(_scan.spans, s -> s.end - s.start > {int(max_span)})"))
-    covered = F.expr("aggregate(_far, 0L, (a, s) -> a + s.end - s.start)")
-    judged = judged.where((F.size("_far") == 0) | (covered <= F.lit(max_coverage) * F.col("_scan.n_words")))
-    dirty = F.when(F.size("_far") > 0, F.col(f"`{text}`"))
-    return judged.withColumn(text, F.coalesce(cut(dirty, F.col("_far")), F.col(f"`{text}`"))).drop("_scan", "_far")
+            if scanned:
+                found = scanned[0][k].as_py()
+                n, spans = found["n_words"], [(s["start"], s["end"]) for s in found["spans"]]
+            else:
+                words = words_of(x)
+                n, spans = len(words), built[0].scan(words)[0]
+            spans = [(a, b) for a, b in spans if b - a > max_span]
+            gone = sum(b - a for a, b in spans) > max_coverage * n
+            made["gone"].append(gone)
+            made["cut"].append(_without(x, spans) if spans and not gone else None)
+        return made
+
+    cleaned = struct_udf(run, "gone boolean, cut string", pa.struct([("gone", pa.bool_()), ("cut", pa.string())]))
+    inputs = [F.col(f"`{text}`")] if len(groups) == 1 else [F.col(f"`{text}`"), F.col("_scan")]
+    found = judged.withColumn("_clean", cleaned(*inputs)).where("NOT _clean.gone")
+    return found.withColumn(text, F.coalesce("_clean.cut", F.col(f"`{text}`"))).drop("_clean", "_scan")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

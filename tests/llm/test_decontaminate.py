@@ -57,7 +57,9 @@ def test_clean(spark):
     texts = ["Before it: " + item.title() + "! After.", item, "clean text, stays; as it is\n", None, "ÄÖ " * 30 + item + " 中文"]
     docs = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id long, text string, n_words int")
     bench = spark.createDataFrame([(1, item)], "item_id int, text string")
+    two = bench.union(spark.createDataFrame([(2, "other words of another item here and now to be long")], "item_id int, text string"))
+    many = {r.doc_id: r.text for r in d.clean(docs, two, max_coverage=0.9, most=5).collect()}
     found = {r.doc_id: r.text for r in d.clean(docs, bench, max_coverage=0.9).collect()}
-    assert found == {0: "Before it: ! After.", 2: texts[2], 3: None, 4: "ÄÖ " * 30 + " 中文"}
+    assert found == many == {0: "Before it: ! After.", 2: texts[2], 3: None, 4: "ÄÖ " * 30 + " 中文"}
     assert {r.doc_id: r.text for r in d.clean(docs, bench, max_span=20).collect()} == dict(enumerate(texts))
     assert d.clean(docs, bench).columns == docs.columns

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, on_workers, table
+from .common import drop_table, materialise, on_workers, release, table
 from .components import components
 from .pyexec import struct_udf
 
@@ -50,9 +50,11 @@ TREES = 12
 SMALL = 24
 BLOCK = 256
 SKETCH_BITS = 128
+#: Similarity to a pivot from which on differences from it decide the branch.
+NEAR = 0.4
 #: Sketch bits that may differ: a pair of similarity 0.8 differs in 12.8 with deviation 3.4.
 MAX_SKETCH_DISTANCE = 30
-WORD_CACHE = 150_000
+WORD_CACHE = 100_000
 #: Most bits of a broadcast filter: a million rows of 64.
 FILTER_BITS = 1 << 26
 HASH_BYTES = 5
@@ -249,14 +251,17 @@ def _pivots(rows: DataFrame) -> DataFrame:
 FACED = pa.struct([("shared", pa.int64()), ("kids", pa.list_(pa.int64()))])
 
 
-def _face(key: str, own: str, pivot: str) -> Column:
+def _face(key: str, own: str, pivot: str, percent: int) -> Column:
     """Tokens shared with the pivot, and the buckets to go on to.
 
-    Two texts that both resemble the pivot and link to each other, but not both to it,
-    agree on some of their differences from it: the symmetric difference is the second
-    choice of a node of similarity 0.4 or more. All others have in common what the pivot
-    lacks: the first choice. A bucket draws a second hash one time in four.
+    Two texts that resemble the pivot and link to each other, but not both to it, agree
+    on some of their differences from it: nodes of similarity ``NEAR`` or more go on by
+    the symmetric difference. Two others have in common what the pivot lacks: they go on
+    by that. Distance is a metric, so a partner of a near node is at most the link
+    distance further off: nodes in that margin do both. A bucket draws a second hash one
+    time in four.
     """
+    margin = NEAR - (1 - percent / 100)
 
     def run(keys: pa.Array, owns: pa.Array, pivots: pa.Array) -> dict[str, list]:
         made: dict[str, list] = {"shared": [], "kids": []}
@@ -264,14 +269,17 @@ def _face(key: str, own: str, pivot: str) -> Column:
             x, p = unpacked(a.as_py()), unpacked(b.as_py())
             new = np.setdiff1d(x, p, assume_unique=True)
             shared = len(x) - len(new)
+            either = len(x) + len(p) - shared
             seed = odd_constants(2, key & 0xFFFFFFFFFFFFFFFF)
             seeds = seed[: 2 if key % 4 == 0 else 1]
-            kids = (minima(new if len(new) else x, seeds) << U64(8)) ^ U64(1)
-            if 10 * shared >= 4 * (len(x) + len(p) - shared) and shared < len(x) + len(p) - shared:
-                apart = np.setxor1d(x, p, assume_unique=True)
-                kids = np.concatenate([kids, (minima(apart, seeds) << U64(8)) ^ U64(2)])
+            kids = []
+            if shared < NEAR * either:
+                kids.append((minima(new if len(new) else x, seeds) << U64(8)) ^ U64(1))
+            if margin * either <= shared < either:
+                kids.append((minima(np.setxor1d(x, p, assume_unique=True), seeds) << U64(8)) ^ U64(2))
+            found = np.concatenate([*kids, np.empty(0, dtype=U64)]) + np.tile(np.arange(len(seeds), dtype=U64), len(kids))
             made["shared"].append(shared)
-            made["kids"].append((_mix(kids + np.arange(len(kids), dtype=U64) % U64(len(seeds))) ^ _mix(seed[:1])).view(np.int64))
+            made["kids"].append((_mix(found) ^ _mix(seed[:1])).view(np.int64))
         return made
 
     return struct_udf(run, "shared long, kids array<long>", FACED)(key, own, pivot)
@@ -296,12 +304,15 @@ def candidate_links(nodes: DataFrame, signed: DataFrame, percent: int) -> tuple[
             return pairs, links
         met = materialise(large.join(_pivots(large), "key").where("node <> pivot").select("key", "node", "n", "s0", "s1", "pivot", "p_n"), "met")
         faced = met.join(_sets(signed, met.select("node"), "node"), "node").join(_sets(signed, met.select("pivot").distinct(), "pivot"), "pivot")
-        faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face("key", "set_node", "set_pivot").alias("f"))
+        faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face("key", "set_node", "set_pivot", percent).alias("f"))
         linked = f"100 * f.shared >= {percent} * (n + p_n - f.shared)"
         judged = materialise(faced.withColumn("linked", F.expr(linked)), "faced")
         links.append(judged.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
         rows = judged.select(F.explode("f.kids").alias("key"), "node", F.expr("CAST(NOT linked AS int)").alias("open")).distinct()
         drop_table(shared)
+        drop_table(met)
+        del crowd, together, shared, large, met, faced, judged
+        release(nodes.sparkSession)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -312,17 +323,21 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     classes = materialise(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = signed.where("n > 0").select(F.col("row").alias("node"), "n", "s0", "s1", "path").join(classes.select("node"), "node", "left_semi")
     nodes = materialise(nodes, "nodes")
+    release(docs.sparkSession)
     asked, links = candidate_links(nodes, signed, percent)
+    release(docs.sparkSession)
     nearest = materialise(asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
     first = materialise(_confirm(nearest, signed).where(f"100 * shared >= {percent} * either").select("a", "b"), "first")
     for more in links:
         first = first.unionByName(more)
     label = components(first)
+    release(docs.sparkSession)
     of = lambda k: label.select(F.col("node").alias(k), F.col("label").alias(f"of_{k}"))
     rest = asked.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
     rest = materialise(rest, "rest")
     second = materialise(_confirm(rest, signed).where(f"100 * shared >= {percent} * either").select("a", "b"), "second")
     label = components(first.unionByName(second))
+    release(docs.sparkSession)
 
     placed = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -341,3 +356,17 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, for shingles of four words."""
     return groups(table(spark, sf_dir, "documents"), words=4)
+
+
+def oracle(words: int = 4, percent: int = 80) -> str:
+    """All pairs that share a shingle, in DuckDB's SQL: for small tables."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {words - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) USING (doc_id)
+"""

@@ -9,9 +9,10 @@ the sets of the bucket together, which is cheaper where a bucket is dense.
 
 A large bucket is first compared with one pivot, its most central node by sketch, which
 then leaves it, so the recursion always ends. The others branch by the minwise tokens of
-what they do not share with the pivot (see ``_face``): tokens that the whole bucket has in
+what they do not share with its centre (see ``_face``): tokens that the whole bucket has in
 common, be it a passage or a text copied with small changes, can not be chosen again.
-Nodes linked to the pivot are in one component; a bucket of such nodes only is done.
+Nodes linked to the pivot are in one component; a bucket of such nodes only is done, and
+one with at most half a BLOCK of others compares these with all its nodes, in blocks.
 
 A sketch of 128 bits screens pairs: a pair at the threshold passes with five standard
 deviations to spare. Links are confirmed on the full sets. Screened pairs are confirmed
@@ -19,8 +20,9 @@ in two turns, first one a node, then all whose ends are not yet in one component
 components therefore equal those of all confirmed links.
 
 Recall of a pair at similarity 0.8 by level-one buckets alone is 1 - 0.2 ** TREES, over
-0.99999; where the first buckets are large, a second level of 0.8 gives over 0.999, and a
-link to the centre of a large bucket is found at the first level.
+0.99999; a link to the centre of a large bucket is found at the first level. Elsewhere in
+large buckets nodes draw as many tokens as the least overlap of the differences of two
+linked nodes asks for (see ``_face``), which gives over 0.999 down to two further levels.
 
 Nothing but a flag of emptiness and checksums reaches the driver. Sets and signatures
 are written once to the shared folder; skewed joins are plain equi-joins that adaptive
@@ -52,6 +54,9 @@ BLOCK = 256
 SKETCH_BITS = 128
 #: Similarity to a pivot from which on differences from it decide the branch.
 NEAR = 0.4
+#: Least differences from the pivot that a near node goes on by, and what it lacks that a far one does.
+DRAWS = 3
+FAR_DRAWS = 2
 #: Sketch bits that may differ: a pair of similarity 0.8 differs in 12.8 with deviation 3.4.
 MAX_SKETCH_DISTANCE = 30
 WORD_CACHE = 100_000
@@ -203,11 +208,12 @@ def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def _block_links(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Confirmed links that connect the nodes of each bucket of at most BLOCK nodes.
 
-    Only nodes with a screened partner in the bucket bring their sets; a product of
-    incidence matrices has all intersections of a bucket at once.
+    Only nodes with a screened partner in the bucket bring their sets, pairs of nodes that
+    are in one component already (not ``open``) left aside; a product of incidence
+    matrices has all intersections of a bucket at once.
     """
-    members = rows.groupBy("key").agg(F.collect_list(F.struct("node", "n", "s0", "s1")).alias("m"))
-    paired = F.expr(f"filter(m, x -> exists(m, y -> y.node <> x.node AND {_may_link('x.', 'y.', percent)}))")
+    members = rows.groupBy("key").agg(F.collect_list(F.struct("node", "n", "s0", "s1", "open")).alias("m"))
+    paired = F.expr(f"filter(m, x -> exists(m, y -> y.node <> x.node AND x.open + y.open > 0 AND {_may_link('x.', 'y.', percent)}))")
     alive = materialise(members.select("key", F.explode(paired).alias("x")).select("key", F.col("x.node").alias("node")), "alive")
 
     def connect(bucket: pa.Table) -> pa.Table:
@@ -244,45 +250,94 @@ def _pivots(rows: DataFrame) -> DataFrame:
     """The most central node of each bucket: the one nearest to the majority of each sketch bit."""
     votes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("votes"), *[F.sum(F.expr(f"shiftrightunsigned(s0, {k}) & 1")).alias(f"v{k}") for k in range(64)])
     majority = votes.select("key", F.expr(" | ".join(f"shiftleft(CAST(2 * v{k} > votes AS bigint), {k})" for k in range(64))).alias("majority"))
-    ranked = rows.join(majority, "key").select("key", F.struct(F.expr("bit_count(s0 ^ majority)").alias("off"), "node", "n", "s0", "s1").alias("p"))
-    return ranked.groupBy("key").agg(F.min("p").alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.s0").alias("p_s0"), F.col("p.s1").alias("p_s1"))
+    ranked = rows.join(majority, "key").select("key", F.struct(F.expr("bit_count(s0 ^ majority)").alias("off"), "node", "n").alias("p"))
+    thirds = ranked.groupBy("key").agg(*[F.expr(f"min(p) FILTER (WHERE pmod(xxhash64(p.node), 3) = {k})").alias(f"p{k}") for k in range(3)])
+    ordered = thirds.select("key", F.expr("array_sort(array_compact(array(p0, p1, p2)))").alias("p"))
+    return ordered.select("key", F.expr("p[0].node").alias("pivot"), F.expr("p[0].n").alias("p_n"), F.expr("get(p, 1).node").alias("second"), F.expr("get(p, 2).node").alias("third"))
+
+
+def _centres(pivots: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """key, set_pivot and set_centre: what two of the three most central nodes have, where all resemble the pivot."""
+
+    @F.arrow_udf("binary")
+    def run(first: pa.Array, second: pa.Array, third: pa.Array) -> pa.Array:
+        made = []
+        for a, b, c in zip(first.to_pylist(), second.to_pylist(), third.to_pylist(), strict=True):
+            if b is not None and c is not None:
+                p = unpacked(a)
+                tokens, times = np.unique(np.concatenate([p, unpacked(b), unpacked(c)]), return_counts=True)
+                centre = tokens[times > 1]
+                shared = len(np.intersect1d(p, centre))
+                if 100 * shared >= percent * (len(p) + len(centre) - shared):
+                    a = packed(centre << U64(64 - 8 * HASH_BYTES))
+            made.append(a)
+        return pa.array(made, pa.binary())
+
+    found = pivots.select("key", "pivot", "second", "third")
+    for name in ("pivot", "second", "third"):
+        found = found.join(_sets(signed, pivots.select(name).distinct(), name).drop(f"n_{name}"), name, "left")
+    return found.select("key", "set_pivot", run("set_pivot", "set_second", "set_third").alias("set_centre"))
 
 
 FACED = pa.struct([("shared", pa.int64()), ("kids", pa.list_(pa.int64()))])
 
 
-def _face(key: str, own: str, pivot: str, percent: int) -> Column:
+def _least(shingles: np.ndarray, seed: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` least hashes of a set under one multiplier, or all it has."""
+    spread = (_mix(shingles) * seed) >> U64(32)
+    return spread if count >= len(spread) else np.partition(spread, count - 1)[:count]
+
+
+def _face(key: str, own: str, pivot: str, centre: str, percent: int) -> Column:
     """Tokens shared with the pivot, and the buckets to go on to.
 
     Two texts that resemble the pivot and link to each other, but not both to it, agree
-    on some of their differences from it: nodes of similarity ``NEAR`` or more go on by
-    the symmetric difference. Two others have in common what the pivot lacks: they go on
-    by that. Distance is a metric, so a partner of a near node is at most the link
-    distance further off: nodes in that margin do both. A bucket draws a second hash one
-    time in four.
+    on some of their differences from the centre (the pivot without what it alone has, as
+    all others would differ by that): nodes of similarity ``NEAR`` or more go on by the
+    symmetric difference. Two others have in common what the centre lacks: they go on by
+    that, and at least 0.58 of it is common. Distance is a metric, so a partner of a
+    near node is at most the link distance further off: nodes in that margin do both.
+
+    Differences of two linked nodes may overlap little, but the node farther from the
+    centre, not linked to the pivot, holds at least about half of the differences of a partner nearer to it.
+    ``DRAWS`` least tokens of the partner are therefore enough if the other draws down to
+    their rank: ``DRAWS`` times its differences over the least that a partner can have,
+    its own less the link distance. Close outside the link distance that means all.
     """
     margin = NEAR - (1 - percent / 100)
 
-    def run(keys: pa.Array, owns: pa.Array, pivots: pa.Array) -> dict[str, list]:
+    def run(keys: pa.Array, owns: pa.Array, pivots: pa.Array, centres: pa.Array) -> dict[str, list]:
         made: dict[str, list] = {"shared": [], "kids": []}
-        for key, a, b in zip(keys.to_pylist(), owns, pivots, strict=True):
-            x, p = unpacked(a.as_py()), unpacked(b.as_py())
-            new = np.setdiff1d(x, p, assume_unique=True)
-            shared = len(x) - len(new)
-            either = len(x) + len(p) - shared
-            seed = odd_constants(2, key & 0xFFFFFFFFFFFFFFFF)
-            seeds = seed[: 2 if key % 4 == 0 else 1]
-            kids = []
+        for key, a, b, c in zip(keys.to_pylist(), owns, pivots, centres, strict=True):
+            x, p, q = unpacked(a.as_py()), unpacked(b.as_py()), unpacked(c.as_py())
+            met = len(np.intersect1d(x, p))
+            new = np.setdiff1d(x, q)
+            shared = len(np.unique(x)) - len(new)
+            either = len(new) + len(q)
+            seed = odd_constants(1, key & 0xFFFFFFFFFFFFFFFF)
+            kids = [np.empty(0, dtype=U64)]
             if shared < NEAR * either:
-                kids.append((minima(new if len(new) else x, seeds) << U64(8)) ^ U64(1))
+                kids.append((_least(new if len(new) else x, seed, FAR_DRAWS) << U64(8)) ^ U64(1))
             if margin * either <= shared < either:
-                kids.append((minima(np.setxor1d(x, p, assume_unique=True), seeds) << U64(8)) ^ U64(2))
-            found = np.concatenate([*kids, np.empty(0, dtype=U64)]) + np.tile(np.arange(len(seeds), dtype=U64), len(kids))
-            made["shared"].append(shared)
-            made["kids"].append((_mix(found) ^ _mix(seed[:1])).view(np.int64))
+                apart, draws = np.setxor1d(x, q), DRAWS
+                if 100 * met < percent * (len(x) + len(p) - met):
+                    least = max(len(apart) - (100 - percent) / percent * len(x), 1)
+                    draws = int(np.ceil(DRAWS * len(apart) / least))
+                kids.append((_least(apart, seed, draws) << U64(8)) ^ U64(2))
+            made["shared"].append(met)
+            made["kids"].append((_mix(np.concatenate(kids)) ^ _mix(seed)).view(np.int64))
         return made
 
-    return struct_udf(run, "shared long, kids array<long>", FACED)(key, own, pivot)
+    return struct_udf(run, "shared long, kids array<long>", FACED)(key, own, pivot, centre)
+
+
+def _direct(judged: DataFrame) -> DataFrame:
+    """Blocks of about BLOCK nodes: a share of the linked nodes of a bucket and all its open ones."""
+    half = BLOCK // 2
+    parts = F.expr(f"CAST(ceil((crowd - opens) / {half}) AS int)")
+    mine = F.when(F.col("open") == 1, F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int")))
+    dealt = judged.where(f"opens <= {half}").select("key", F.explode(mine).alias("part"), "node", "n", "s0", "s1", "open")
+    return dealt.withColumn("key", F.xxhash64("key", "part")).drop("part")
 
 
 def candidate_links(nodes: DataFrame, signed: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -292,7 +347,7 @@ def candidate_links(nodes: DataFrame, signed: DataFrame, percent: int) -> tuple[
     pairs, links = None, []
     while True:
         crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.sum("open").alias("unlinked")).where("crowd > 1 AND unlinked > 0").drop("unlinked")
-        together = rows.select("key", "node").join(crowd, "key")
+        together = rows.join(crowd, "key")
         shared = materialise(together.join(nodes.select("node", "n", "s0", "s1"), "node"), "buckets")
         least = 1
         if pairs is None:
@@ -302,16 +357,22 @@ def candidate_links(nodes: DataFrame, signed: DataFrame, percent: int) -> tuple[
         if large.isEmpty():
             drop_table(shared)
             return pairs, links
-        met = materialise(large.join(_pivots(large), "key").where("node <> pivot").select("key", "node", "n", "s0", "s1", "pivot", "p_n"), "met")
-        faced = met.join(_sets(signed, met.select("node"), "node"), "node").join(_sets(signed, met.select("pivot").distinct(), "pivot"), "pivot")
-        faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face("key", "set_node", "set_pivot", percent).alias("f"))
+        large = large.drop("open")
+        pivots = materialise(_pivots(large), "pivots")
+        met = materialise(large.join(pivots, "key").where("node <> pivot").select("key", "node", "n", "s0", "s1", "pivot", "p_n"), "met")
+        faced = met.join(_sets(signed, met.select("node"), "node").drop("n_node"), "node").join(_centres(pivots, signed, percent), "key")
+        faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face("key", "set_node", "set_pivot", "set_centre", percent).alias("f"))
         linked = f"100 * f.shared >= {percent} * (n + p_n - f.shared)"
         judged = materialise(faced.withColumn("linked", F.expr(linked)), "faced")
         links.append(judged.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        rows = judged.select(F.explode("f.kids").alias("key"), "node", F.expr("CAST(NOT linked AS int)").alias("open")).distinct()
+        opened = judged.withColumn("open", F.expr("CAST(NOT linked AS int)"))
+        left = opened.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.sum("open").alias("opens")).where("opens > 0")
+        opened = opened.join(left, "key")
+        links.append(materialise(_block_links(_direct(opened), signed, percent), "direct"))
+        rows = opened.where(f"opens > {BLOCK // 2}").select(F.explode("f.kids").alias("key"), "node", "open").distinct()
         drop_table(shared)
         drop_table(met)
-        del crowd, together, shared, large, met, faced, judged
+        del crowd, together, shared, large, pivots, met, faced, judged, opened, left
         release(nodes.sparkSession)
 
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from ledgerlake.llm import near_dedup as n
 from ledgerlake.llm.components import components
 from tests.llm.util import documents, edited, frame, prose
@@ -79,3 +81,40 @@ def test_components(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(21)}, 30: 30, 31: 30, 39: 39, 40: 39}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def planted(n_links, n_chains):
+    """Copies that differ in the last word, and texts that only one of these links: a copy with a run of words of its own."""
+    base = [f"b{k}" for k in range(100)]
+    copies = [[*base[:-1], f"end{k}"] for k in range(n_links)]
+    chained = [[*c[: 5 + k % 80], *(f"own{k}x{j}" for j in range(7)), *c[12 + k % 80 :]] for k, c in enumerate(copies[:n_chains])]
+    return list(enumerate(" ".join(t) for t in copies + chained))
+
+
+def components_of(rows, k):
+    """By all pairs, as one product of incidence matrices in pieces."""
+    sets = [shingles(t, k) for _, t in rows]
+    places = {g: i for i, g in enumerate({g for s in sets for g in s})}
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for start in range(0, len(places), 8192):
+        m = np.zeros((len(sets), 8192), dtype=np.float32)
+        for i, s in enumerate(sets):
+            for g in s:
+                if start <= places[g] < start + 8192:
+                    m[i, places[g] - start] = 1
+        shared += m @ m.T
+    size = shared.diagonal()
+    linked = 100 * shared >= 80 * (size[:, None] + size[None, :] - shared)
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(linked, label[None, :], len(sets)).min(axis=1)
+        if (least == label).all():
+            return {rows[i][0]: rows[x][0] for i, x in enumerate(label.tolist())}
+        label = least
+
+
+def test_links_far_from_the_pivot(spark):
+    # 40 open nodes are compared with all others, 1100 branch
+    for n_chains in (40, 1100):
+        rows = planted(1100, n_chains)
+        assert {r.doc_id: r.component_id for r in n.groups(frame(spark, rows), words=4).collect()} == components_of(rows, 4)

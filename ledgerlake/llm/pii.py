@@ -39,7 +39,7 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp)[-_][0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp)[-_][0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap search that every candidate passes.
@@ -68,8 +68,8 @@ def _letters(value: str, kind: str, key: str, fixed: str = "0", hexadecimal: boo
 
     ``alphabet`` gives each character its class as a string and '' where it stays.
     """
-    lower = "abcdef" if hexadecimal else LOWER
-    alphabet = f"CASE WHEN i < {fixed} THEN '' WHEN c RLIKE '[0-9]' THEN '{DIGITS}' WHEN c RLIKE '[a-z]' THEN '{lower}' WHEN c RLIKE '[A-Z]' THEN '{UPPER}' ELSE '' END"
+    lower, upper = ("abcdef", "ABCDEF") if hexadecimal else (LOWER, UPPER)
+    alphabet = f"CASE WHEN i < {fixed} THEN '' WHEN c RLIKE '[0-9]' THEN '{DIGITS}' WHEN c RLIKE '[a-z]' THEN '{lower}' WHEN c RLIKE '[A-Z]' THEN '{upper}' ELSE '' END"
     start = f"transform(split({value}, ''), (c, i) -> named_struct('a', {alphabet}, 'c', c))"
     start = f"transform({start}, x -> named_struct('a', x.a, 'c', x.c, 'v', if(x.a = '', -1, instr(x.a, x.c) - 1)))"
     # the digest of the other side and the length stands for a round's function
@@ -138,7 +138,9 @@ def _pseudonym(m: str, key: str) -> str:
     """SQL: the pseudonym of one candidate, by its kind."""
     whole = lambda kind: f"{m} RLIKE {_sql('^(?:' + PATTERNS[kind] + ')$')}"
     local = f"concat({_letters(f'split({m}, {_sql("@")})[0]', 'email', key)}, '@', substring_index({m}, '@', -1))"
+    # capitals in hexadecimal may look like an account number
     images = {
+        "secret": _letters(m, "secret", key, "0", hexadecimal=True),
         "email": local,
         "iban": _iban(m, key),
         "ip": _ip(m, key),
@@ -146,10 +148,9 @@ def _pseudonym(m: str, key: str) -> str:
         "phone": _letters(m, "phone", key, f"if(startswith({m}, '+'), length(regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[^0-9])', 0)), 0)"),
         "ssn": _letters(m, "ssn", key),
         "card": _card(m, key),
-        "secret": _letters(m, "secret", key, "0", hexadecimal=True),
     }
-    # letters outside a to f only occur in the secrets with a prefix
-    images["secret"] = f"if({m} RLIKE '^[0-9a-f]+$', {images['secret']}, {_letters(m, 'secret', key, 'if(' + m + ' RLIKE ' + _sql('^AKIA') + ', 4, 3)')})"
+    # letters outside a to f, and of both cases, only occur in the secrets with a prefix
+    images["secret"] = f"if({m} RLIKE '^(?:[0-9a-f]+|[0-9A-F]+)$', {images['secret']}, {_letters(m, 'secret', key, 'if(' + m + ' RLIKE ' + _sql('^AKIA') + ', 4, 3)')})"
     cases = " ".join(f"WHEN {whole(kind)} THEN {image}" for kind, image in images.items())
     return f"CASE {cases} ELSE {m} END"
 

@@ -68,3 +68,10 @@ def test_clean_texts_stay(spark):
     texts = ["In 1999 there were 3 of 12345 at 10:30, version 1.2.3", "a@b", "x" * 50000, "nothing here"]
     assert run(spark, texts) == texts
     assert p.pseudonymise(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_upper_case_secrets(spark):
+    token = "2321BAC4D15EC8F90433955BF9D3CF61DA5BDD1E"
+    forms = [token, token[:32], token + token[:24], "AB12" + token[:28]]
+    for found, form in zip(run(spark, [f'TOKEN = "{x}"' for x in forms]), forms, strict=True):
+        assert re.fullmatch(f'TOKEN = "[0-9A-F]{{{len(form)}}}"', found) and form not in found

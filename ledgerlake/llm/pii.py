@@ -3,7 +3,9 @@
 Candidates come from one pattern, each is validated (Luhn digit, modulo 97, octets, calendar), and
 a valid one is replaced by the image of a keyed permutation of its format, so equal
 values stay equal across documents, different ones stay different, and the result is
-again valid. Invalid ones stay as they are: they are not what they resemble.
+again valid. Invalid ones stay as they are: they are not what they resemble; but where a
+card or account number took in what follows or precedes it, the text is cut there first
+(see ``_valid_part``).
 
 * Characters (addresses, phones, secrets, account numbers): a Feistel network over the
   letters and digits at even and odd places; each round adds to one side, in the range of
@@ -92,22 +94,48 @@ def _luhn(digits: str, skip: int) -> str:
     return f"aggregate(transform(split(reverse({digits}), ''), (d, i) -> if((i + {skip}) % 2 = 1, CAST(d AS int) * 2 - if(CAST(d AS int) > 4, 9, 0), CAST(d AS int))), 0, (a, x) -> a + x)"
 
 
+def _is_card(n: str) -> str:
+    return f"({_luhn(n, 0)} % 10 = 0 AND NOT {n} RLIKE '^0+$')"
+
+
 def _card(m: str, key: str) -> str:
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     body = _letters("substr(n, 1, length(n) - 1)", "card", key)
     whole = _let("b", body, f"concat(b, pmod(10 - {_luhn('b', 1)} % 10, 10))")
     # digits go back to their places among blanks and dashes
     laid = f"aggregate(split({m}, ''), named_struct('o', '', 'k', 0), (s, c) -> if(c RLIKE '[0-9]', named_struct('o', concat(s.o, substr(w, s.k + 1, 1)), 'k', s.k + 1), named_struct('o', concat(s.o, c), 'k', s.k)), s -> s.o)"
-    return _let("n", digits, f"if({_luhn('n', 0)} % 10 = 0 AND NOT n RLIKE '^0+$', {_let('w', whole, laid)}, {m})")
+    return _let("n", digits, f"if({_is_card('n')}, {_let('w', whole, laid)}, {m})")
+
+
+def _rest(v: str) -> str:
+    return f"aggregate(split({v}, ''), 0, (a, c) -> if(c RLIKE '[0-9]', (a * 10 + CAST(c AS int)) % 97, (a * 100 + ascii(c) - 55) % 97))"
+
+
+def _is_iban(m: str) -> str:
+    tight = f"replace({m}, ' ', '')"
+    return f"({_rest(f'concat(substr({tight}, 5), substr({tight}, 1, 4))')} = 1)"
+
+
+def _valid_part(m: str) -> str:
+    """SQL: the part of an invalid card or account number that is valid, null where there is none.
+
+    The longest part from its start to a group's end counts, else one group: a card
+    number or a secret in capitals.
+    """
+    is_kind = lambda kind: f"{m} RLIKE {_sql('^(?:' + PATTERNS[kind] + ')$')}"
+    starts = lambda least: f"transform(filter(sequence(length({m}) - 1, least(length({m}) - 1, {least}), -1), k -> substr({m}, k + 1, 1) IN (' ', '-')), k -> substr({m}, 1, k))"
+    digits = "regexp_replace(x, '[^0-9]', '')"
+    card = f"filter(concat({starts(13)}, split({m}, '[ -]')), x -> {_let('n', digits, 'length(n) BETWEEN 13 AND 19 AND ' + _is_card('n'))})"
+    iban = f"concat(filter({starts(15)}, x -> length(replace(x, ' ', '')) >= 15 AND {_is_iban('x')}), filter(split({m}, ' '), x -> x RLIKE '^[0-9A-F]{{32}}$'))"
+    card_first = f"CASE WHEN {_is_card(f'regexp_replace({m}, {_sql("[^0-9]")}, {_sql("")})')} THEN NULL ELSE get({card}, 0) END"
+    return f"CASE WHEN {is_kind('secret')} THEN NULL WHEN {is_kind('iban')} THEN CASE WHEN {_is_iban(m)} THEN NULL ELSE get({iban}, 0) END WHEN {is_kind('phone')} OR {is_kind('ssn')} THEN NULL WHEN {is_kind('card')} THEN {card_first} END"
 
 
 def _iban(m: str, key: str) -> str:
     """Country, two check digits (modulo 97), account; blanks stay in place."""
-    rest = lambda v: f"aggregate(split({v}, ''), 0, (a, c) -> if(c RLIKE '[0-9]', (a * 10 + CAST(c AS int)) % 97, (a * 100 + ascii(c) - 55) % 97))"
-    tight = f"replace({m}, ' ', '')"
-    check = f"lpad(98 - {rest('concat(replace(b, ' + _sql(' ') + ', ' + _sql('') + '), substr(' + m + ', 1, 2), ' + _sql('00') + ')')}, 2, '0')"
+    check = f"lpad(98 - {_rest('concat(replace(b, ' + _sql(' ') + ', ' + _sql('') + '), substr(' + m + ', 1, 2), ' + _sql('00') + ')')}, 2, '0')"
     moved = _let("b", f"substr({_letters(m, 'iban', key, '4')}, 5)", f"concat(substr({m}, 1, 2), {check}, b)")
-    return f"if({rest(f'concat(substr({tight}, 5), substr({tight}, 1, 4))')} = 1, {moved}, {m})"
+    return f"if({_is_iban(m)}, {moved}, {m})"
 
 
 def _ip(m: str, key: str) -> str:
@@ -163,8 +191,21 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
 def _worked(docs: DataFrame, text: str, key: str) -> DataFrame:
     t = f"`{text}`"
     none = "CAST(array() AS array<string>)"
-    step = docs.withColumn("_p_found", F.expr(f"CASE WHEN {t} RLIKE '{HINT}' THEN regexp_extract_all({t}, {_sql(ANY)}, 0) ELSE {none} END"))
-    step = step.withColumn("_p_between", F.expr(f"CASE WHEN size(_p_found) > 0 THEN split({t}, {_sql(ANY)}, -1) ELSE {none} END"))
+    found = lambda x: f"regexp_extract_all({x}, {_sql(ANY)}, 0)"
+    between = lambda x: f"split({x}, {_sql(ANY)}, -1)"
+    step = docs.withColumn("_p_found", F.expr(f"CASE WHEN {t} RLIKE '{HINT}' THEN {found(t)} ELSE {none} END"))
+    step = step.withColumn("_p_between", F.expr(f"CASE WHEN size(_p_found) > 0 THEN {between(t)} ELSE {none} END"))
+    # before and after the valid part of an invalid candidate the text is cut, and the pieces are searched again
+    step = step.withColumn("_p_parts", F.expr(f"transform(_p_found, m -> {_valid_part('m')})"))
+    before = "concat(s.last, _p_between[i], substr(_p_found[i], 1, instr(_p_found[i], _p_parts[i]) - 1))"
+    done = f"concat(s.done, if(instr(_p_found[i], _p_parts[i]) = 1, array(concat({before}, _p_parts[i])), array({before}, _p_parts[i])))"
+    after = "substr(_p_found[i], instr(_p_found[i], _p_parts[i]) + length(_p_parts[i]))"
+    cut = f"if(_p_parts[i] IS NULL, named_struct('done', s.done, 'last', concat(s.last, _p_between[i], _p_found[i])), named_struct('done', {done}, 'last', {after}))"
+    pieces = f"aggregate(sequence(0, size(_p_found) - 1), named_struct('done', {none}, 'last', ''), (s, i) -> {cut}, s -> concat(s.done, array(concat(s.last, _p_between[size(_p_found)]))))"
+    step = step.withColumn("_p_pieces", F.expr(f"CASE WHEN exists(_p_parts, x -> x IS NOT NULL) THEN {pieces} ELSE {none} END"))
+    step = step.withColumn("_p_found", F.expr(f"CASE WHEN size(_p_pieces) > 0 THEN flatten(transform(_p_pieces, (x, i) -> if(i = 0, {found('x')}, concat(array(''), {found('x')})))) ELSE _p_found END"))
+    step = step.withColumn("_p_between", F.expr(f"CASE WHEN size(_p_pieces) > 0 THEN flatten(transform(_p_pieces, x -> {between('x')})) ELSE _p_between END"))
+    step = step.drop("_p_parts", "_p_pieces")
     step = step.withColumn("_p_made", F.expr(f"CASE WHEN size(_p_found) > 0 THEN transform(_p_found, m -> {_pseudonym('m', key)}) ELSE {none} END"))
     joined = "array_join(transform(_p_between, (b, i) -> if(i < size(_p_made), concat(b, _p_made[i]), b)), '')"
     return step.withColumn("_p_text", F.expr(f"CASE WHEN size(_p_found) > 0 THEN {joined} ELSE {t} END"))

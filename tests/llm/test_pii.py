@@ -75,3 +75,13 @@ def test_upper_case_secrets(spark):
     forms = [token, token[:32], token + token[:24], "AB12" + token[:28]]
     for found, form in zip(run(spark, [f'TOKEN = "{x}"' for x in forms]), forms, strict=True):
         assert re.fullmatch(f'TOKEN = "[0-9A-F]{{{len(form)}}}"', found) and form not in found
+
+
+def test_numbers_among_digits_and_capitals(spark):
+    card, iban = "4111111111111111", "ES9121000418450200051332"
+    laid = "4111 1111 1111 1111"
+    texts = [f"card {card} 05/27", f"{laid} 123", f"{iban} BIC", f"{card} 10.0.0.1 {card} 06/28 {card}", f"12 {card} 05", f"{card} 05/27 {iban} BIC {laid} 123 end"]
+    new, spaced, account, ip = run(spark, [card, laid, iban, "10.0.0.1"])
+    assert new != card and account != iban
+    assert run(spark, texts) == [f"card {new} 05/27", f"{spaced} 123", f"{account} BIC", f"{new} {ip} {new} 06/28 {new}", f"12 {new} 05", f"{new} 05/27 {account} BIC {spaced} 123 end"]
+    assert run(spark, ["4111111111111112 05/27", "ES9121000418450200051333 BIC"]) == ["4111111111111112 05/27", "ES9121000418450200051333 BIC"]

@@ -4,7 +4,8 @@ A page's tags become a tree. Runs of alike siblings, or of alike groups of sibli
 fold into repeated groups; text becomes slots. Aligning two trees of one host resolves
 what differs: a child that only one has is optional, runs of different length are one
 repeated group, texts that differ are a slot. Aligning all trees of a host gives its
-wrapper: one tree, without alternatives, that all its pages match.
+wrapper: one tree, without alternatives, that all its pages match. Pages with and without
+an article (or main) element have a wrapper each.
 
 The wrapper decides which paths hold the main text. Where it has an article (or main)
 element, paths below it do, but for parts whose tag, role or class names them menus,
@@ -269,6 +270,23 @@ def main_paths(wrapper: list, varied: bool) -> list[str]:
     return found
 
 
+def has_landmark(page: str) -> bool:
+    """Whether the tree of a page has a landmark, without making the tree."""
+    walk = Walk()
+    for kind, what in events(page):
+        if kind == "open":
+            tag, _, attributes = what.partition(" ")
+            sign, landmark, aside = element(tag, attributes)
+            if (tag in INLINE and not aside) or tag in VOID:
+                continue
+            walk.open(tag, "\0" if aside else sign)
+            if landmark and len(walk.signs) <= MAX_DEPTH and "\0" not in walk.signs:
+                return True
+        elif kind == "close":
+            walk.close(what)
+    return False
+
+
 def main_text(page: str | None, paths: frozenset[str]) -> str:
     """The blocks of a page whose path is among ``paths``: white space runs become blanks, blocks lines."""
     if not page:
@@ -307,28 +325,31 @@ def main_text(page: str | None, paths: frozenset[str]) -> str:
 
 
 def wrappers(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """(host, paths): for each host the main paths of its wrapper, as JSON."""
+    """(host, paths): for each host the main paths of its wrappers, with and without landmark (or null), as JSON."""
     on_workers(pages.sparkSession)
 
     @F.arrow_udf("string")
     def trees(found: pa.Array) -> pa.Array:
-        return pa.array([json.dumps(tree_of(x.as_py() or ""), separators=(",", ":")) for x in found], type=pa.string())
+        made = [tree_of(x.as_py() or "") for x in found]
+        return pa.array([str(int(_has_landmark(x))) + json.dumps(x, separators=(",", ":")) for x in made], type=pa.string())
 
     def folded(group: pa.Table) -> pa.Table:
         first, *rest = (json.loads(x.as_py()) for x in group.column("tree"))
         for other in rest:
             first = align(first, other)
-        return pa.table({"host": group.column("host").slice(0, 1), "tree": pa.array([json.dumps(first, separators=(",", ":"))]), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
+        return pa.table({"host": group.column("host").slice(0, 1), "marked": group.column("marked").slice(0, 1), "tree": pa.array([json.dumps(first, separators=(",", ":"))]), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
 
     @F.arrow_udf("string")
     def decided(found: pa.Array, counts: pa.Array) -> pa.Array:
         return pa.array([json.dumps(main_paths(json.loads(x), n > 1), ensure_ascii=False) for x, n in zip(found.to_pylist(), counts.to_pylist(), strict=True)], type=pa.string())
 
     each = pages.select(F.col(host).alias("host"), trees(F.col(html)).alias("tree"))
-    distinct = each.distinct().withColumn("n", F.lit(1).cast("long"))
-    dealt = distinct.withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(DEALT))).groupBy("host", "part").applyInArrow(folded, "host string, tree string, n long")
-    whole = dealt.groupBy("host").applyInArrow(folded, "host string, tree string, n long")
-    return whole.select("host", decided("tree", "n").alias("paths"))
+    distinct = each.distinct().select("host", F.substring("tree", 1, 1).alias("marked"), F.expr("substr(tree, 2)").alias("tree"), F.lit(1).cast("long").alias("n"))
+    dealt = distinct.withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(DEALT))).groupBy("host", "marked", "part").applyInArrow(folded, "host string, marked string, tree string, n long")
+    whole = dealt.groupBy("host", "marked").applyInArrow(folded, "host string, marked string, tree string, n long")
+    both = whole.select("host", "marked", decided("tree", "n").alias("paths")).groupBy("host")
+    of = lambda k: F.coalesce(F.max(F.when(F.col("marked") == k, F.col("paths"))), F.lit("null"))
+    return both.agg(F.concat(F.lit("["), of("1"), F.lit(","), of("0"), F.lit("]")).alias("paths"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", into: str = "main_text") -> DataFrame:
@@ -341,15 +362,23 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", into: str =
 
     @F.arrow_udf("string")
     def run(found: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([main_text(x.as_py(), _paths(p)) for x, p in zip(found, paths.to_pylist(), strict=True)], type=pa.string())
+        return pa.array([main_text(x.as_py(), _paths_of(x.as_py(), p)) for x, p in zip(found, paths.to_pylist(), strict=True)], type=pa.string())
 
     joined = hosted.join(F.broadcast(known) if size <= MAX_BROADCAST else known, "_host", "left")
     return joined.withColumn(into, run(F.col(f"`{html}`"), F.col("_paths"))).drop("_host", "_paths")
 
 
 @lru_cache(10_000)
-def _paths(data: str | None) -> frozenset[str]:
-    return frozenset(json.loads(data)) if data else frozenset()
+def _paths(data: str | None) -> tuple[frozenset[str] | None, ...]:
+    return tuple(None if x is None else frozenset(x) for x in json.loads(data)) if data else (None, None)
+
+
+def _paths_of(page: str | None, data: str | None) -> frozenset[str]:
+    """The main paths for a page of a host."""
+    marked, plain = _paths(data)
+    if marked is None or plain is None:
+        return marked or plain or frozenset()
+    return marked if page and has_landmark(page) else plain
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

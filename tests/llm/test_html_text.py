@@ -45,3 +45,9 @@ def test_frames(spark):
         assert {r.page_id: r.main_text for r in h.extract(pages).collect()} == {k: r.main_text for k, r in found.items()}
     finally:
         h.MAX_BROADCAST = h_most
+
+
+def test_pages_with_and_without_landmark(spark):
+    rows = [(1, None, "<article><p>in one</article><div>menu"), (2, None, "<body><div class=content><p>first page</div>"), (3, None, "<body><div class=content><p>second page</div>"), (4, None, "<nav><article>x</article></nav><div class=content><p>third page</div>")]
+    found = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.main_text for r in found} == {1: "in one", 2: "first page", 3: "second page", 4: "third page"}

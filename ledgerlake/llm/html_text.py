@@ -11,7 +11,7 @@ The wrapper decides which paths hold the main text. Where it has an article (or
 element, paths below it do, but for parts whose tag, role or class names them menus,
 notices, adverts, forms, comments and the like. Where it has none, all other slots do,
 unless links make up most of them, or their text is the same on all pages of a host whose
-pages differ. Extraction then is one pass over a page with the paths of its host.
+pages differ; what only some pages have stays. Extraction then is one pass over a page with the paths of its host.
 
 Pages are first reduced to distinct trees per host (partial counts before the shuffle),
 folded in ``DEALT`` groups a host and then once more, so no task ever holds the pages of a
@@ -144,14 +144,14 @@ class Walk:
         return 0
 
 
-# A node of a tree: [signature, landmark, aside, optional, repeated, text, chars, link chars, children];
-# text is None without text of its own, "" for a slot, else a digest of a text seen on every page so far.
-SIGN, LANDMARK, ASIDE, OPTIONAL, REPEATED, TEXT, CHARS, LINKS, KIDS = range(9)
+# A node of a tree: [signature, landmark, aside, optional, repeated, text, chars, link chars, children,
+# pages, pages with text]; text is None without text of its own, "" for a slot, else a digest of the only text seen so far.
+SIGN, LANDMARK, ASIDE, OPTIONAL, REPEATED, TEXT, CHARS, LINKS, KIDS, PAGES, SEEN = range(11)
 
 
 def tree_of(page: str) -> list:
     """The folded tree of one page."""
-    root: list = ["", False, False, False, False, None, 0, 0, []]
+    root: list = ["", False, False, False, False, None, 0, 0, [], 1, 0]
     stack, walk, links = [root], Walk(), 0
     for kind, what in events(page):
         if kind == "text":
@@ -170,7 +170,7 @@ def tree_of(page: str) -> list:
                 continue
             for _ in range(walk.open(tag, sign)):
                 stack.pop()
-            node = [sign, landmark, aside, False, False, None, 0, 0, []]
+            node = [sign, landmark, aside, False, False, None, 0, 0, [], 1, 0]
             if len(stack) <= MAX_DEPTH:
                 stack[-1][KIDS].append(node)
             stack.append(node)
@@ -192,6 +192,7 @@ def _settle(node: list, marked: bool) -> None:
     import hashlib
 
     if node[TEXT] is not None:
+        node[SEEN] = 1
         node[TEXT] = "" if marked else hashlib.blake2b(node[TEXT].encode(), digest_size=6).hexdigest()
     if marked:
         node[CHARS] = node[LINKS] = 0
@@ -225,7 +226,9 @@ def align(a: list, b: list, repeated: bool = False) -> list:
     """The least general node that both match."""
     text = b[TEXT] if a[TEXT] is None else a[TEXT] if b[TEXT] is None else a[TEXT] if a[TEXT] == b[TEXT] else ""
     kids = _align_lists(a[KIDS], b[KIDS])
-    return [a[SIGN], a[LANDMARK], a[ASIDE], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or repeated, text, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], kids]
+    # nodes repeated in a page are of one page
+    pages = [max(a[k], b[k]) if repeated else a[k] + b[k] for k in (PAGES, SEEN)]
+    return [a[SIGN], a[LANDMARK], a[ASIDE], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or repeated, text, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], kids, *pages]
 
 
 def _align_lists(a: list, b: list) -> list:
@@ -260,7 +263,7 @@ def main_paths(wrapper: list, varied: bool) -> list[str]:
             return
         inside = inside or node[LANDMARK]
         if node[TEXT] is not None:
-            template = node[TEXT] != "" and varied
+            template = node[TEXT] != "" and varied and node[SEEN] == wrapper[PAGES]
             if inside if marked else not (template or 2 * node[LINKS] > node[CHARS] or node[SIGN] == "header"):
                 found.append(path)
         for kid in node[KIDS]:

@@ -51,3 +51,10 @@ def test_pages_with_and_without_landmark(spark):
     rows = [(1, None, "<article><p>in one</article><div>menu"), (2, None, "<body><div class=content><p>first page</div>"), (3, None, "<body><div class=content><p>second page</div>"), (4, None, "<nav><article>x</article></nav><div class=content><p>third page</div>")]
     found = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.main_text for r in found} == {1: "in one", 2: "first page", 3: "second page", 4: "third page"}
+
+
+def test_text_of_one_page_stays():
+    page = lambda x, more="": f"<body><div>Welcome</div><div class='x'><p>{x}</p>{more}</div></body>"
+    once = page("one", "<blockquote>said once</blockquote><h3>head</h3><table><tr><td>cell</table>")
+    assert text_of(once, page("two"), page("three")) == "one\nsaid once\nhead\ncell"
+    assert text_of(page("two"), once, page("three")) == "two"

@@ -12,6 +12,8 @@ element, paths below it do, but for parts whose tag, role or class names them me
 notices, adverts, forms, comments and the like. Where it has none, all other slots do,
 unless links make up most of them, or their text is the same on all pages of a host whose
 pages differ; what only some pages have stays. Extraction then is one pass over a page with the paths of its host.
+Elements under more than ``MAX_DEPTH`` open ones count as part of the last of these, but
+for those that are named or tagged as aside.
 
 Pages are first reduced to distinct trees per host (partial counts before the shuffle),
 folded in ``DEALT`` groups a host and then once more, so no task ever holds the pages of a
@@ -173,6 +175,8 @@ def tree_of(page: str) -> list:
             node = [sign, landmark, aside, False, False, None, 0, 0, [], 1, 0]
             if len(stack) <= MAX_DEPTH:
                 stack[-1][KIDS].append(node)
+            elif not aside:
+                node = stack[-1]
             stack.append(node)
         elif kind == "close":
             links -= what == "a" and links > 0
@@ -298,6 +302,9 @@ def main_text(page: str | None, paths: frozenset[str]) -> str:
     parts: list[str] = []
     walk, kept = Walk(), "" in paths
 
+    def wanted() -> bool:
+        return "".join(f" {s}" for s in walk.signs[:MAX_DEPTH]) in paths and "\0" not in walk.signs[MAX_DEPTH:]
+
     def flush() -> None:
         if block := " ".join("".join(parts).split()):
             blocks.append(block)
@@ -317,12 +324,12 @@ def main_text(page: str | None, paths: frozenset[str]) -> str:
                     flush()
                 continue
             flush()
-            walk.open(tag, sign)
-            kept = "".join(f" {s}" for s in walk.signs) in paths
+            walk.open(tag, "\0" if aside else sign)
+            kept = wanted()
         elif kind == "close" and (what not in INLINE or what in walk.tags) and what not in VOID:
             flush()
             walk.close(what)
-            kept = "".join(f" {s}" for s in walk.signs) in paths
+            kept = wanted()
     flush()
     return "\n".join(blocks)
 

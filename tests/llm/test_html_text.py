@@ -58,3 +58,9 @@ def test_text_of_one_page_stays():
     once = page("one", "<blockquote>said once</blockquote><h3>head</h3><table><tr><td>cell</table>")
     assert text_of(once, page("two"), page("three")) == "one\nsaid once\nhead\ncell"
     assert text_of(page("two"), once, page("three")) == "two"
+
+
+def test_deep_text_stays():
+    deep = "<div>" * 100
+    assert text_of(f"<article><p>top</p>{deep}far down<div class=ad>buy</div><p>below</p>") == "top\nfar down\nbelow"
+    assert text_of(f"<body>{deep}one<nav>menu</nav>", f"<body>{deep}two<nav>menu</nav>") == "one"

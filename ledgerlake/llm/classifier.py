@@ -6,8 +6,8 @@ indicators; a linear hinge-loss model over them is fitted by dual coordinate des
 and a logistic curve through the margins makes scores.
 
 The model is fitted on at most ``MAX_ROWS`` labelled rows, those with the smallest hash
-of their id, each with at most ``MAX_FEATURES`` features (the lowest buckets; scoring
-uses all). Their ids and labels, so bounded, are broadcast to the scan of the documents:
+of their id, each with all its features, and on fewer where these rows have more than
+``MAX_FEATURES`` features together. Their ids and labels, so bounded, are broadcast to the scan of the documents:
 no text is shuffled, and only the features of these rows reach the driver. The model is
 one vector of BUCKETS numbers, broadcast to the workers, which score whole texts row by
 row.
@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import on_workers, table
+from .common import materialise, on_workers, table
 
 BUCKETS = 1 << 18
 MAX_ROWS = 6000
-MAX_FEATURES = 2000
+#: Features of all training rows together.
+MAX_FEATURES = 12_000_000
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 30
@@ -139,15 +140,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     on_workers(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
     chosen = known.where(F.lit(True) if training is None else training).orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id").select("_y", "_text")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("_h"), "_y", "_text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            found = [features(x.as_py(), memo)[:MAX_FEATURES].astype(np.int32) for x in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_y").cast(pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["y", "f"])
-
-    sample = rows.mapInArrow(hashed, "y long, f array<int>").toArrow()
+            found = [features(x.as_py(), memo).astype(np.int32) for x in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_y").cast(pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["h", "y", "f"])
+
+    drawn = materialise(rows.mapInArrow(hashed, "h long, y long, f array<int>"), "sample")
+    sizes = drawn.groupBy("h").agg(F.sum(F.size("f")).alias("n")).toArrow().sort_by("h")
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= MAX_FEATURES
+    if not fits.all():
+        # whole rows, in the order of their hashes
+        drawn = drawn.where(F.col("h").isin(sizes.column("h").to_numpy()[fits].tolist()))
+    sample = drawn.toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     labelled = sample.column("y").to_numpy()
     size = np.bincount(labelled, minlength=2)
     if not size.all():

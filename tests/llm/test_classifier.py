@@ -44,3 +44,14 @@ def test_descent_separates():
 
 def test_shapes():
     assert [c.shape_of(x) for x in ("Abc,", "ABC!!", "x9-y", "12.5")] == ["Xx,", "X!!", "x9-x", "9.9"]
+
+
+def test_long_texts_train_whole(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(4000)) + (" junk junk" if k % 2 else ""), 1 - k % 2) for k in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    # the repeated pair, in the last bucket, marks the bad ones
+    model = c.fit(docs, labels)
+    assert len(c.features(rows[0][1], c.WordHashes())) > 2000 and model.weights[-1] < 0
+    monkeypatch.setattr(c, "MAX_FEATURES", 60_000)
+    assert c.fit(docs, labels).weights[-1] < 0

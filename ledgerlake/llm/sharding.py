@@ -20,11 +20,13 @@ columns are ignored by the query.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, shared_dir, table
 
 SLOTS = 4096
 SHARDS = 16
@@ -100,7 +102,7 @@ def store_map(slot_map: DataFrame, path: str) -> None:
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version, by default the last."""
-    maps = spark.read.parquet(path)
+    maps = spark.read.schema("virtual_slot long, shard int, version int").parquet(path)
     return maps.where(F.col("version") == (F.lit(version) if version is not None else maps.agg(F.max("version")).first()[0]))
 
 
@@ -120,7 +122,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the position in the shard), grown_shard and virtual_slot."""
     rows = materialise(records(table(spark, sf_dir, "documents")), "records")
     found = materialise(slot_bytes(rows), "slots")
-    placed = place(rows, balanced(found), found)
+    path = f"{shared_dir(spark)}/ledgerlake/slot-map-{uuid.uuid4().hex}"
+    store_map(balanced(found), path)
+    placed = place(rows, load_map(spark, path, 1), found)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

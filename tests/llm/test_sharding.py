@@ -36,3 +36,14 @@ def test_balance_and_rebalance(spark, tmp_path):
     assert sum(r.x != r.y for r in both) < 256 * 0.2
     grown = [r.b for r in second.join(sizes, "virtual_slot").groupBy("shard").agg({"bytes": "sum"}).toDF("shard", "b").collect()]
     assert max(grown) < 1.1 * min(grown)
+
+
+def test_query_stores_its_map(spark, tmp_path, monkeypatch):
+    stored, store = [], s.store_map
+    monkeypatch.setattr(s, "store_map", lambda m, path: (stored.append(path), store(m, path)))
+    for name, rows in (("full", documents()), ("none", [])):
+        frame(spark, rows).write.parquet(str(tmp_path / name / "documents.parquet"))
+        found = s.op7_sharding(spark, str(tmp_path / name)).collect()
+        slots = {r.virtual_slot: r.shard for r in s.load_map(spark, stored[-1], 1).collect()}
+        assert len(found) == len(rows) and all(slots[r.virtual_slot] == r.shard for r in found)
+    assert len(stored) == 2

@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,14 +36,40 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
 
 
+class ByteMemo(dict):
+    """A dictionary that fills itself and starts anew where it would hold more than ``most`` bytes.
+
+    Values know their size by ``nbytes`` or ``len``; a single larger one is not remembered.
+    """
+
+    ENTRY = 120
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.held = make, most, 0
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        value = self.make(key)
+        size = self.ENTRY + (len(key) if isinstance(key, (str, bytes)) else 0) + (value.nbytes if hasattr(value, "nbytes") else len(value) if isinstance(value, (str, bytes)) else 0)
+        if size <= self.most:
+            if self.held + size > self.most:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[key] = value
+        return value
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names; only a session without that setting
-    (tests, one machine) gets a local folder of its own.
+    It is what ``spark.checkpoint.dir`` names; only a local session without that setting
+    (tests, one machine) gets a folder of its own, a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -14,14 +14,29 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialise, release
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: The share of all rows that makes a key hot: one in so many.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``values``, which have one row a key and in ``_size`` the number of ``rows`` of it.
+
+    Keys with more than one in HOT of all ``total`` rows, of which there are less than HOT,
+    are broadcast, so their rows stay where they are; all others are few a key.
+    """
+    hot, cold = (values.where(F.expr(f"{size} {total}")).drop("_size") for size in (f"_size * {HOT} >", f"_size * {HOT} <="))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
+def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
     """One large star (links to larger nodes move) or small star (links to smaller nodes move)."""
     if large:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both, total = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total
     else:
         both = links
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_size"))
+    joined = spread_join(both, least, "u", total)
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -35,9 +50,12 @@ def components(links: DataFrame) -> DataFrame:
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.expr("CAST(xxhash64(u, v) AS decimal(38, 0))"))).first())
     before = state(edges)
     while before[0]:
-        after_edges = materialise(_star(_star(edges, True), False), "links")
+        # the large star has as many links as its input at most
+        grown = materialise(_star(edges, True, before[0]), "links")
+        after_edges = materialise(_star(grown, False, grown.count()), "links")
         after = state(after_edges)
         drop_table(edges)
+        drop_table(grown)
         edges = after_edges
         release(links.sparkSession)
         if after == before:

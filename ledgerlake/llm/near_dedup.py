@@ -1,56 +1,66 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-A document's set holds its distinct shingles (runs of ``words`` words): 64-bit hashes
-make its size and identity, their first 40 bits are kept to compare sets. Documents with equal sets become one node at once. Each of ``TREES`` independent
-trees sends a node down a path of minwise tokens: the first splits all nodes, and a
-bucket of more than ``BLOCK`` nodes splits again by further ones. Buckets of at most BLOCK nodes are compared exhaustively:
-up to ``SMALL`` nodes as screened pairs, which many buckets share, and above by bringing
-the sets of the bucket together, which is cheaper where a bucket is dense.
+A document's set holds its distinct shingles (runs of ``words`` words) as 64-bit hashes.
+Documents with equal sets become one node at once. Each of ``TREES`` independent trees
+sends a node down a path of minwise tokens: the first splits all nodes, and a bucket of
+more than ``BLOCK`` nodes splits again by further ones. Buckets of at most BLOCK nodes are
+compared exhaustively: up to ``SMALL`` nodes as screened pairs, which many buckets share,
+and above by bringing the sets of the bucket together, which is cheaper where a bucket is
+dense.
 
 A large bucket is first compared with one pivot, its most central node by sketch, which
 then leaves it, so the recursion always ends. The others branch by the minwise tokens of
 what they do not share with its centre (see ``_face``): tokens that the whole bucket has in
 common, be it a passage or a text copied with small changes, can not be chosen again.
 Nodes linked to the pivot are in one component; a bucket of such nodes only is done, and
-one with at most half a BLOCK of others compares these with all its nodes, in blocks.
+one with at most half a BLOCK of others compares these with all its nodes, in blocks. So
+does, with all pairs of its parts as blocks, one of at most WIDE nodes.
 
 A sketch of 128 bits screens pairs: a pair at the threshold passes with five standard
-deviations to spare. Links are confirmed on the full sets. Screened pairs are confirmed
-in two turns, first one a node, then all whose ends are not yet in one component;
-components therefore equal those of all confirmed links.
+deviations to spare. Links are confirmed on the full sets. What travels for that are the
+normalised words, compressed: a third of the bytes of the hashes, which the worker makes
+again. Screened pairs are confirmed in two turns, first one a node, then all whose ends
+are not yet in one component; components therefore equal those of all confirmed links.
 
 Recall of a pair at similarity 0.8 by level-one buckets alone is 1 - 0.2 ** TREES, over
 0.99999; a link to the centre of a large bucket is found at the first level. Elsewhere in
 large buckets nodes draw as many tokens as the least overlap of the differences of two
-linked nodes asks for (see ``_face``), which gives over 0.999 down to two further levels.
+linked nodes asks for (see ``_face``), which gives over 0.999 down to two further levels;
+buckets of at most ``WIDE`` nodes have no further level and lose nothing.
 
-Nothing but a flag of emptiness and checksums reaches the driver. Sets and signatures
-are written once to the shared folder; skewed joins are plain equi-joins that adaptive
-execution can split, and every aggregation is partial first.
+Nothing but counts and checksums reaches the driver. Words and signatures are written
+once to the shared folder, every aggregation is partial first, and joins that may have a
+hot key take the hottest aside (see ``spread_join``).
 
 Defined results: null, empty or blank texts have no shingles, form a component of their
 own each and stay; fewer words than ``words`` make one shingle of the whole sequence;
-rows with equal doc_id and equal text share a component and are kept alike; a null doc_id
-never names a component unless all its members are null; an empty table gives an empty
-table; other columns are kept by ``deduplicate``.
+rows with equal doc_id and equal text share a component and are kept alike, rows with
+equal doc_id and different texts are judged each by its text; a null doc_id
+never names a component unless all its members are null, and ``deduplicate`` removes its
+row otherwise; an empty table gives an empty table; other columns are kept by
+``deduplicate``.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, on_workers, release, table
-from .components import components
+from .common import ByteMemo, drop_table, materialise, on_workers, release, table
+from .components import components, spread_join
 from .pyexec import struct_udf
 
 TREES = 12
 SMALL = 24
 BLOCK = 256
+#: Blocks' worth of nodes up to which a bucket is dealt into blocks instead of split again.
+WIDE = 4
 SKETCH_BITS = 128
 #: Similarity to a pivot from which on differences from it decide the branch.
 NEAR = 0.4
@@ -59,10 +69,13 @@ DRAWS = 3
 FAR_DRAWS = 2
 #: Sketch bits that may differ: a pair of similarity 0.8 differs in 12.8 with deviation 3.4.
 MAX_SKETCH_DISTANCE = 30
-WORD_CACHE = 100_000
+#: Bytes that a worker remembers of hashes of words, and of sets.
+WORD_CACHE = 16 << 20
+SET_CACHE = 16 << 20
+#: Hashes of a bucket that are in memory at once.
+RANGE = 4_000_000
 #: Most bits of a broadcast filter: a million rows of 64.
 FILTER_BITS = 1 << 26
-HASH_BYTES = 5
 U64 = np.uint64
 
 
@@ -83,28 +96,37 @@ BITS = odd_constants(SKETCH_BITS, 2)
 PLACES = odd_constants(64, 3)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words as bytes, remembered up to a fixed number."""
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8).digest()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = value = hashlib.blake2b(word, digest_size=8).digest()
-        return value
 
+class Shingles:
+    """Sets of the shingles of texts, with caches of a fixed number of bytes."""
 
-def shingle_set(text: str | None, words: int, memo: WordHashes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    parts = text.encode().lower().split() if text else []
-    if not parts:
-        return np.empty(0, dtype=U64)
-    hashes = np.frombuffer(b"".join([memo[w] for w in parts]), dtype=U64)
-    if len(hashes) < words:
-        return np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), dtype=U64)
-    made = hashes[: len(hashes) - words + 1] * PLACES[0]
-    for k in range(1, words):
-        made = made + hashes[k : len(hashes) - words + 1 + k] * PLACES[k]
-    return np.unique(_mix(made))
+    def __init__(self, words: int):
+        self.words = words
+        self.hashes = ByteMemo(_digest, WORD_CACHE)
+        self.sets = ByteMemo(lambda body: self.of(zstandard.decompress(body).split()), SET_CACHE)
+
+    def of(self, parts: list[bytes]) -> np.ndarray:
+        """The sorted distinct 64-bit hashes of the shingles of a list of words."""
+        if not parts:
+            return np.empty(0, dtype=U64)
+        hashes, words = np.frombuffer(b"".join([self.hashes[w] for w in parts]), dtype=U64), self.words
+        if len(hashes) < words:
+            return np.frombuffer(_digest(hashes.tobytes()), dtype=U64)
+        made = hashes[: len(hashes) - words + 1] * PLACES[0]
+        for k in range(1, words):
+            made = made + hashes[k : len(hashes) - words + 1 + k] * PLACES[k]
+        return np.unique(_mix(made))
+
+    def of_body(self, body: pa.Scalar) -> np.ndarray:
+        """The set of a text by its compressed words."""
+        return self.sets[body.as_py()]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode().lower().split() if text else []
 
 
 def minima(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -116,54 +138,45 @@ def minima(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return least >> U64(32)
 
 
-def packed(shingles: np.ndarray) -> bytes:
-    """The first bytes of each hash; equal ones, one in 10 ** 7 sets of 500, stay both."""
-    return (shingles >> U64(64 - 8 * HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, HASH_BYTES)
-    wide = np.zeros((len(rows), 8), dtype=np.uint8)
-    wide[:, :HASH_BYTES] = rows
-    return wide.view(U64).ravel()
-
-
-SIGNED = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64()), ("path", pa.list_(pa.int32())), ("shingles", pa.binary())])
-SIGNED_DDL = "n long, digest binary, s0 long, s1 long, path array<int>, shingles binary"
+SIGNED = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64()), ("path", pa.list_(pa.int32())), ("body", pa.binary())])
+SIGNED_DDL = "n long, digest binary, s0 long, s1 long, path array<int>, body binary"
 
 
 def sign(text: Column, words: int) -> Column:
-    """A struct per text: set size, digest of the set, sketch, minwise hashes along the paths, packed set."""
-    memo = WordHashes()
+    """A struct per text: set size, digest of the set, sketch, minwise hashes along the paths, compressed words."""
+    shingles = Shingles(words)
     multipliers = np.concatenate([PATHS, BITS])
 
     def run(texts: pa.Array) -> dict[str, list]:
-        made = {f.name: [] for f in SIGNED}
+        made, press = {f.name: [] for f in SIGNED}, zstandard.ZstdCompressor(level=1, write_checksum=False)
         for x in texts:
-            found = shingle_set(x.as_py(), words, memo)
+            parts = words_of(x.as_py())
+            found = shingles.of(parts)
             made["n"].append(len(found))
             if not len(found):
-                for k in ("digest", "s0", "s1", "path", "shingles"):
+                for k in ("digest", "s0", "s1", "path", "body"):
                     made[k].append(None)
                 continue
-            least, data = minima(found, multipliers), packed(found)
+            least = minima(found, multipliers)
             s0, s1 = np.packbits((least[len(PATHS):] & U64(1)).astype(np.uint8)).view(np.int64)
             made["digest"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             made["s0"].append(int(s0))
             made["s1"].append(int(s1))
             made["path"].append(least[: len(PATHS)].astype(np.uint32).view(np.int32))
-            made["shingles"].append(data)
+            made["body"].append(press.compress(b" ".join(parts)))
         return made
 
     return struct_udf(run, SIGNED_DDL, SIGNED)(text)
 
 
-def _common(left: Column | str, right: Column | str) -> Column:
-    """The number of hashes that two packed sets share."""
+def _common(left: Column | str, right: Column | str, words: int) -> Column:
+    """The number of shingles that two texts share, by their compressed words."""
+    shingles = Shingles(words)
 
     @F.arrow_udf("long")
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([len(np.intersect1d(unpacked(a.as_py()), unpacked(b.as_py()))) for a, b in zip(left, right, strict=True)], type=pa.int64())
+        of = shingles.of_body
+        return pa.array([len(np.intersect1d(of(a), of(b), assume_unique=True)) for a, b in zip(left, right, strict=True)], type=pa.int64())
 
     return run(left, right)
 
@@ -176,26 +189,26 @@ def _may_link(a: str, b: str, percent: int) -> str:
     return f"(100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {_distance(a, b)} <= {MAX_SKETCH_DISTANCE})"
 
 
-def _sets(signed: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """(name, set_<name>, n_<name>): the sets of at least the rows in ``ids`` (one column).
+def _bodies(signed: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(name, body_<name>, n_<name>): the words of at least the rows in ``ids`` (one column of a written table).
 
-    A bitmap of sixteen bits an id, but at most FILTER_BITS, keeps most other sets out of
+    A bitmap of sixteen bits an id, but at most FILTER_BITS, keeps most other rows out of
     the shuffle; it may let some pass, which the join that follows leaves out.
     """
     size = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     spots = ids.toDF("id").select(place(F.col("id")).alias("spot"))
     bitmap = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS int))")).alias("bits"))
-    found = signed.select(F.col("row").alias(name), F.col("shingles").alias(f"set_{name}"), F.col("n").alias(f"n_{name}")).withColumn("_spot", place(F.col(name)))
+    found = signed.select(F.col("row").alias(name), F.col("body").alias(f"body_{name}"), F.col("n").alias(f"n_{name}")).withColumn("_spot", place(F.col(name)))
     kept = found.join(F.broadcast(bitmap), F.shiftright("_spot", 6) == F.col("word")).where("(shiftrightunsigned(bits, CAST(_spot & 63 AS int)) & 1) = 1")
     return kept.drop("_spot", "word", "bits")
 
 
-def _confirm(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes of intersection and union of their full sets."""
-    both = pairs.join(_sets(signed, pairs.select("a"), "a"), "a").join(_sets(signed, pairs.select("b"), "b"), "b")
-    both = both.select("a", "b", "n_a", "n_b", _common("set_a", "set_b").alias("shared"))
-    return both.select("a", "b", "shared", (F.col("n_a") + F.col("n_b") - F.col("shared")).alias("either"))
+def _confirmed(pairs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a written table that are links by their full sets."""
+    both = pairs.join(_bodies(signed, pairs.select("a"), "a"), "a").join(_bodies(signed, pairs.select("b"), "b"), "b")
+    both = both.select("a", "b", "n_a", "n_b", _common("body_a", "body_b", words).alias("shared"))
+    return both.where(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
 
 
 def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -205,31 +218,50 @@ def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _block_links(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links that connect the nodes of each bucket of at most BLOCK nodes.
+def _shared_counts(bodies: pa.ChunkedArray, sizes: np.ndarray, shingles: Shingles) -> np.ndarray:
+    """The sizes of all intersections of the sets of a bucket, as products of incidence matrices.
 
-    Only nodes with a screened partner in the bucket bring their sets, pairs of nodes that
-    are in one component already (not ``open``) left aside; a product of incidence
-    matrices has all intersections of a bucket at once.
+    Sets enter by ranges of hashes, so that RANGE of them are in memory at once, and one whole set.
+    """
+    shared, ranges = np.zeros((len(sizes), len(sizes)), dtype=np.int64), -(-int(sizes.sum()) // RANGE)
+    for r in range(ranges):
+        ends = np.array([r * (1 << 64) // ranges, (r + 1) * (1 << 64) // ranges - 1], dtype=U64)
+        parts = []
+        for body in bodies:
+            found = shingles.of_body(body)
+            a, b = np.searchsorted(found, ends[0]), np.searchsorted(found, ends[1], "right")
+            parts.append(found[a:b].copy() if ranges > 1 else found)
+        owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        _, place, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        # what only one set has is in no intersection
+        several = np.flatnonzero(times[place] > 1)
+        _, place = np.unique(place[several], return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[several][order], place[order]
+        for k in range(0, int(place[-1]) + 1 if len(place) else 0, 8192):
+            a, b = np.searchsorted(place, [k, k + 8192])
+            matrix = np.zeros((len(sizes), 8192), dtype=np.float32)
+            matrix[owner[a:b], place[a:b] - k] = 1
+            shared += (matrix @ matrix.T).astype(np.int64)
+    return shared
+
+
+def _block_links(rows: DataFrame, signed: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """Confirmed links that connect the nodes of each bucket of at most BLOCK nodes, as a written table.
+
+    Only nodes with a screened partner in the bucket bring their words, pairs of nodes that
+    are in one component already (not ``open``) left aside.
     """
     members = rows.groupBy("key").agg(F.collect_list(F.struct("node", "n", "s0", "s1", "open")).alias("m"))
     paired = F.expr(f"filter(m, x -> exists(m, y -> y.node <> x.node AND x.open + y.open > 0 AND {_may_link('x.', 'y.', percent)}))")
     alive = materialise(members.select("key", F.explode(paired).alias("x")).select("key", F.col("x.node").alias("node")), "alive")
+    shingles = Shingles(words)
 
     def connect(bucket: pa.Table) -> pa.Table:
-        nodes = bucket.column("node").to_pylist()
-        sets = [unpacked(x.as_py()) for x in bucket.column("set_node")]
-        every, place = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        shared = np.zeros((len(sets), len(sets)), dtype=np.int64)
-        for k in range(0, len(every), 8192):
-            inside = (place >= k) & (place < k + 8192)
-            matrix = np.zeros((len(sets), 8192), dtype=np.float32)
-            matrix[owner[inside], place[inside] - k] = 1
-            shared += (matrix @ matrix.T).astype(np.int64)
-        size = shared.diagonal()
+        nodes, size = bucket.column("node").to_pylist(), bucket.column("n_node").to_numpy()
+        shared = _shared_counts(bucket.column("body_node"), size, shingles)
         linked = np.argwhere(np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1))
-        root = list(range(len(sets)))
+        root = list(range(len(nodes)))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -243,7 +275,10 @@ def _block_links(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
                 tree.append((nodes[x], nodes[y]))
         return pa.table({"a": pa.array([min(x) for x in tree], pa.int64()), "b": pa.array([max(x) for x in tree], pa.int64())})
 
-    return alive.join(_sets(signed, alive.select("node"), "node").drop("n_node"), "node").groupBy("key").applyInArrow(connect, "a long, b long").distinct()
+    brought = alive.join(_bodies(signed, alive.select("node"), "node"), "node")
+    made = materialise(brought.groupBy("key").applyInArrow(connect, "a long, b long").distinct(), name)
+    drop_table(alive)
+    return made
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
@@ -256,27 +291,22 @@ def _pivots(rows: DataFrame) -> DataFrame:
     return ordered.select("key", F.expr("p[0].node").alias("pivot"), F.expr("p[0].n").alias("p_n"), F.expr("get(p, 1).node").alias("second"), F.expr("get(p, 2).node").alias("third"))
 
 
-def _centres(pivots: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """key, set_pivot and set_centre: what two of the three most central nodes have, where all resemble the pivot."""
-
-    @F.arrow_udf("binary")
-    def run(first: pa.Array, second: pa.Array, third: pa.Array) -> pa.Array:
-        made = []
-        for a, b, c in zip(first.to_pylist(), second.to_pylist(), third.to_pylist(), strict=True):
-            if b is not None and c is not None:
-                p = unpacked(a)
-                tokens, times = np.unique(np.concatenate([p, unpacked(b), unpacked(c)]), return_counts=True)
-                centre = tokens[times > 1]
-                shared = len(np.intersect1d(p, centre))
-                if 100 * shared >= percent * (len(p) + len(centre) - shared):
-                    a = packed(centre << U64(64 - 8 * HASH_BYTES))
-            made.append(a)
-        return pa.array(made, pa.binary())
-
+def _centred(pivots: DataFrame, signed: DataFrame) -> DataFrame:
+    """key, and the words of its three most central nodes."""
     found = pivots.select("key", "pivot", "second", "third")
     for name in ("pivot", "second", "third"):
-        found = found.join(_sets(signed, pivots.select(name).distinct(), name).drop(f"n_{name}"), name, "left")
-    return found.select("key", "set_pivot", run("set_pivot", "set_second", "set_third").alias("set_centre"))
+        found = found.join(_bodies(signed, pivots.select(name), name).drop(f"n_{name}"), name, "left")
+    return found.select("key", "body_pivot", "body_second", "body_third")
+
+
+def _centre(p: np.ndarray, others: list[np.ndarray], percent: int) -> tuple[np.ndarray, bool]:
+    """What two of the three most central nodes have, and whether the pivot resembles that."""
+    if len(others) < 2:
+        return p, True
+    tokens, times = np.unique(np.concatenate([p, *others]), return_counts=True)
+    centre = tokens[times > 1]
+    shared = len(np.intersect1d(p, centre, assume_unique=True))
+    return (centre, 100 * shared >= percent * (len(p) + len(centre) - shared)) if len(centre) else (p, True)
 
 
 FACED = pa.struct([("shared", pa.int64()), ("kids", pa.list_(pa.int64()))])
@@ -288,12 +318,12 @@ def _least(shingles: np.ndarray, seed: np.ndarray, count: int) -> np.ndarray:
     return spread if count >= len(spread) else np.partition(spread, count - 1)[:count]
 
 
-def _face(key: str, own: str, pivot: str, centre: str, percent: int) -> Column:
+def _face(words: int, percent: int) -> Column:
     """Tokens shared with the pivot, and the buckets to go on to.
 
     Two texts that resemble the pivot and link to each other, but not both to it, agree
-    on some of their differences from the centre (the pivot without what it alone has, as
-    all others would differ by that): nodes of similarity ``NEAR`` or more go on by the
+    on some of their differences from the centre (what two of the three most central nodes
+    have, as by the rest of the pivot all others would differ): nodes of similarity ``NEAR`` or more go on by the
     symmetric difference. Two others have in common what the centre lacks: they go on by
     that, and at least 0.58 of it is common. Distance is a metric, so a partner of a
     near node is at most the link distance further off: nodes in that margin do both.
@@ -303,115 +333,149 @@ def _face(key: str, own: str, pivot: str, centre: str, percent: int) -> Column:
     ``DRAWS`` least tokens of the partner are therefore enough if the other draws down to
     their rank: ``DRAWS`` times its differences over the least that a partner can have,
     its own less the link distance. Close outside the link distance that means all.
+    Where the pivot itself is far from the centre, as in a bucket of texts with one passage
+    in common, nodes may be close to the centre and to each other and not to the pivot:
+    those within the link distance of the centre go on to a bucket of their own as well.
     """
-    margin = NEAR - (1 - percent / 100)
+    margin, shingles = NEAR - (1 - percent / 100), Shingles(words)
 
-    def run(keys: pa.Array, owns: pa.Array, pivots: pa.Array, centres: pa.Array) -> dict[str, list]:
+    def run(keys: pa.Array, owns: pa.Array, pivots: pa.Array, *others: pa.Array) -> dict[str, list]:
         made: dict[str, list] = {"shared": [], "kids": []}
-        for key, a, b, c in zip(keys.to_pylist(), owns, pivots, centres, strict=True):
-            x, p, q = unpacked(a.as_py()), unpacked(b.as_py()), unpacked(c.as_py())
-            met = len(np.intersect1d(x, p))
-            new = np.setdiff1d(x, q)
-            shared = len(np.unique(x)) - len(new)
+        at, p, q, central = None, None, None, True
+        for key, a, b, *c in zip(keys.to_pylist(), owns, pivots, *others, strict=True):
+            x = shingles.of_body(a)
+            if key != at:
+                p = shingles.of_body(b)
+                at, (q, central) = key, _centre(p, [shingles.of_body(o) for o in c if o.is_valid], percent)
+            met = len(np.intersect1d(x, p, assume_unique=True))
+            new = np.setdiff1d(x, q, assume_unique=True)
+            shared = len(x) - len(new)
             either = len(new) + len(q)
             seed = odd_constants(1, key & 0xFFFFFFFFFFFFFFFF)
             kids = [np.empty(0, dtype=U64)]
             if shared < NEAR * either:
                 kids.append((_least(new if len(new) else x, seed, FAR_DRAWS) << U64(8)) ^ U64(1))
             if margin * either <= shared < either:
-                apart, draws = np.setxor1d(x, q), DRAWS
+                apart, draws = np.setxor1d(x, q, assume_unique=True), DRAWS
                 if 100 * met < percent * (len(x) + len(p) - met):
                     least = max(len(apart) - (100 - percent) / percent * len(x), 1)
-                    draws = int(np.ceil(DRAWS * len(apart) / least))
+                    draws = int(np.ceil(draws * len(apart) / least))
                 kids.append((_least(apart, seed, draws) << U64(8)) ^ U64(2))
+            if not central and percent * (either - shared) <= (100 - percent) * len(x):
+                kids.append(np.array([3], dtype=U64))
             made["shared"].append(met)
             made["kids"].append((_mix(np.concatenate(kids)) ^ _mix(seed)).view(np.int64))
         return made
 
-    return struct_udf(run, "shared long, kids array<long>", FACED)(key, own, pivot, centre)
+    return struct_udf(run, "shared long, kids array<long>", FACED)("key", "body_node", "body_pivot", "body_second", "body_third")
 
 
 def _direct(judged: DataFrame) -> DataFrame:
-    """Blocks of about BLOCK nodes: a share of the linked nodes of a bucket and all its open ones."""
-    half = BLOCK // 2
-    parts = F.expr(f"CAST(ceil((crowd - opens) / {half}) AS int)")
-    mine = F.when(F.col("open") == 1, F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int")))
-    dealt = judged.where(f"opens <= {half}").select("key", F.explode(mine).alias("part"), "node", "n", "s0", "s1", "open")
-    return dealt.withColumn("key", F.xxhash64("key", "part")).drop("part")
-
+    """Blocks of about BLOCK nodes in which every open node meets all nodes of its bucket.
 
-def candidate_links(nodes: DataFrame, signed: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Screened pairs of the small first buckets, and confirmed links of all others."""
+    With few open nodes a block is a share of the linked nodes and all open ones, else two
+    parts of the bucket.
+    """
+    half = BLOCK // 2
+    parts = F.expr(f"CAST(ceil((crowd - if(opens <= {half}, opens, 0)) / {half}) AS int)")
+    own = F.pmod(F.xxhash64("node"), F.greatest(F.col("parts"), F.lit(1))).cast("int")
+    every = F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)
+    few = F.when(F.col("open") == 1, F.transform(every, lambda p: F.struct(p.alias("p"), p.alias("q")))).otherwise(F.array(F.struct(F.col("own").alias("p"), F.col("own").alias("q"))))
+    many = F.transform(F.filter(every, lambda p: p != F.col("own")), lambda p: F.struct(F.least(p, F.col("own")).alias("p"), F.greatest(p, F.col("own")).alias("q")))
+    dealt = judged.where(f"opens <= {half} OR crowd <= {WIDE * BLOCK}").withColumn("parts", parts).withColumn("own", own)
+    dealt = dealt.select("key", F.explode(F.when(F.col("opens") <= half, few).otherwise(many)).alias("part"), "node", "n", "s0", "s1", "open")
+    return dealt.withColumn("key", F.xxhash64("key", "part.p", "part.q")).drop("part")
+
+
+def candidate_links(nodes: DataFrame, signed: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Screened pairs of the small first buckets, and confirmed links of all others; written tables."""
     trees = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, path[t]))")
     rows = nodes.select(F.explode(trees).alias("key"), "node", F.lit(1).alias("open"))
-    pairs, links = None, []
+    pairs, links, written = None, [], None
     while True:
         crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.sum("open").alias("unlinked")).where("crowd > 1 AND unlinked > 0").drop("unlinked")
-        together = rows.join(crowd, "key")
-        shared = materialise(together.join(nodes.select("node", "n", "s0", "s1"), "node"), "buckets")
+        shared = materialise(rows.join(crowd, "key").join(nodes.select("node", "n", "s0", "s1"), "node"), "buckets")
+        if written is not None:
+            drop_table(written)
         least = 1
         if pairs is None:
             pairs, least = materialise(_small_pairs(shared.where(f"crowd <= {SMALL}"), percent), "pairs"), SMALL
-        links.append(materialise(_block_links(shared.where(f"crowd > {least} AND crowd <= {BLOCK}"), signed, percent), "links"))
-        large = shared.where(f"crowd > {BLOCK}").drop("crowd")
+        release(nodes.sparkSession)
+        links.append(_block_links(shared.where(f"crowd > {least} AND crowd <= {BLOCK}"), signed, words, percent, "links"))
+        large = shared.where(f"crowd > {BLOCK}").drop("crowd", "open")
         if large.isEmpty():
             drop_table(shared)
             return pairs, links
-        large = large.drop("open")
         pivots = materialise(_pivots(large), "pivots")
         met = materialise(large.join(pivots, "key").where("node <> pivot").select("key", "node", "n", "s0", "s1", "pivot", "p_n"), "met")
-        faced = met.join(_sets(signed, met.select("node"), "node").drop("n_node"), "node").join(_centres(pivots, signed, percent), "key")
-        faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face("key", "set_node", "set_pivot", "set_centre", percent).alias("f"))
-        linked = f"100 * f.shared >= {percent} * (n + p_n - f.shared)"
-        judged = materialise(faced.withColumn("linked", F.expr(linked)), "faced")
-        links.append(judged.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+        drop_table(shared)
+        release(nodes.sparkSession)
+        faced = met.join(_bodies(signed, met.select("node"), "node").drop("n_node"), "node").join(_centred(pivots, signed), "key")
+        faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face(words, percent).alias("f"))
+        judged = materialise(faced.withColumn("linked", F.expr(f"100 * f.shared >= {percent} * (n + p_n - f.shared)")), "faced")
+        drop_table(met)
+        drop_table(pivots)
+        links.append(materialise(judged.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "links"))
         opened = judged.withColumn("open", F.expr("CAST(NOT linked AS int)"))
         left = opened.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.sum("open").alias("opens")).where("opens > 0")
         opened = opened.join(left, "key")
-        links.append(materialise(_block_links(_direct(opened), signed, percent), "direct"))
-        rows = opened.where(f"opens > {BLOCK // 2}").select(F.explode("f.kids").alias("key"), "node", "open").distinct()
-        drop_table(shared)
-        drop_table(met)
-        del crowd, together, shared, large, pivots, met, faced, judged, opened, left
+        release(nodes.sparkSession)
+        links.append(_block_links(_direct(opened), signed, words, percent, "links"))
+        rows = written = materialise(opened.where(f"opens > {BLOCK // 2} AND crowd > {WIDE * BLOCK}").select(F.explode("f.kids").alias("key"), "node", "open").distinct(), "kids")
+        drop_table(judged)
+        del crowd, shared, large, pivots, met, faced, judged, opened, left
         release(nodes.sparkSession)
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row per row of ``docs``."""
-    on_workers(docs.sparkSession)
+def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """doc_id, n, component_id, and _text (a hash of the text), a row per row of ``docs``."""
+    spark = docs.sparkSession
+    on_workers(spark)
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    signed = materialise(source.select("doc_id", "row", sign(F.col("text"), words).alias("s")).select("doc_id", "row", "s.*"), "signed")
-    classes = materialise(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
-    nodes = signed.where("n > 0").select(F.col("row").alias("node"), "n", "s0", "s1", "path").join(classes.select("node"), "node", "left_semi")
-    nodes = materialise(nodes, "nodes")
-    release(docs.sparkSession)
-    asked, links = candidate_links(nodes, signed, percent)
-    release(docs.sparkSession)
+    signed = materialise(source.select("doc_id", "row", F.xxhash64("text").alias("_text"), sign(F.col("text"), words).alias("s")).select("doc_id", "row", "_text", "s.*"), "signed")
+    full = signed.where("n > 0")
+    classes = materialise(full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
+    nodes = materialise(full.select(F.col("row").alias("node"), "n", "s0", "s1", "path").join(classes.select("node"), "node", "left_semi"), "nodes")
+    release(spark)
+    asked, links = candidate_links(nodes, signed, words, percent)
+    drop_table(nodes)
+    release(spark)
     nearest = materialise(asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
-    first = materialise(_confirm(nearest, signed).where(f"100 * shared >= {percent} * either").select("a", "b"), "first")
-    for more in links:
-        first = first.unionByName(more)
-    label = components(first)
-    release(docs.sparkSession)
+    first = materialise(_confirmed(nearest, signed, words, percent), "links")
+    drop_table(nearest)
+    label = components(reduce(DataFrame.unionByName, [first, *links]))
+    for done in (first, *links):
+        drop_table(done)
+    release(spark)
     of = lambda k: label.select(F.col("node").alias(k), F.col("label").alias(f"of_{k}"))
     rest = asked.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
     rest = materialise(rest, "rest")
-    second = materialise(_confirm(rest, signed).where(f"100 * shared >= {percent} * either").select("a", "b"), "second")
-    label = components(first.unionByName(second))
-    release(docs.sparkSession)
+    drop_table(asked)
+    release(spark)
+    second = materialise(_confirmed(rest, signed, words, percent), "links")
+    drop_table(rest)
+    if not second.isEmpty():
+        label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second))
+    release(spark)
+
+    placed = materialise(classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+    least = placed.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_size"))
+    placed = spread_join(placed, least, "label", placed.count()).select("digest", "component_id", F.col("copies").alias("_size"))
+    whole = spread_join(full.select("doc_id", "n", "_text", "digest"), placed, "digest", full.count())
+    empty = signed.where("n = 0").select("doc_id", "n", "_text", F.col("doc_id").alias("component_id"))
+    return whole.select("doc_id", "n", "_text", "component_id").unionByName(empty)
+
 
-    placed = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "label").select("digest", "component_id")
-    whole = signed.select("doc_id", "n", "digest").join(placed, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, a row per row of ``docs``."""
+    found = _grouped(docs, doc_id, text, words, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component."""
-    gone = groups(docs, doc_id, text, words, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` whose doc_id is the smallest of the component of their text."""
+    gone = _grouped(docs, doc_id, text, words, percent).where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("_text").alias("_gone_text")).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_gone_text")), "left_anti")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

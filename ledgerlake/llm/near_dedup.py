@@ -8,8 +8,11 @@ compared exhaustively: up to ``SMALL`` nodes as screened pairs, which many bucke
 and above by bringing the sets of the bucket together, which is cheaper where a bucket is
 dense.
 
-A large bucket is first compared with one pivot, its most central node by sketch, which
-then leaves it, so the recursion always ends. The others branch by the minwise tokens of
+A large bucket is first compared with one pivot, which then leaves it, so the recursion
+always ends: the node that by sketch is nearest to the bucket's centre, which is what two
+of three central nodes have. The nearer the pivot is to the centre, the more of a group of
+copies link to it; two nodes that only differ from the centre in different places are
+linked only if both link to a pivot that is no further from it. The others branch by the minwise tokens of
 what they do not share with its centre (see ``_face``): tokens that the whole bucket has in
 common, be it a passage or a text copied with small changes, can not be chosen again.
 Nodes linked to the pivot are in one component; a bucket of such nodes only is done, and
@@ -25,7 +28,8 @@ are not yet in one component; components therefore equal those of all confirmed
 Recall of a pair at similarity 0.8 by level-one buckets alone is 1 - 0.2 ** TREES, over
 0.99999; a link to the centre of a large bucket is found at the first level. Elsewhere in
 large buckets nodes draw as many tokens as the least overlap of the differences of two
-linked nodes asks for (see ``_face``), which gives over 0.999 down to two further levels;
+linked nodes asks for (see ``_face``): a tree keeps a pair with 0.75 or more at each
+further level, so all trees together keep it with 0.9999 at the first and 0.999 at the second of these;
 buckets of at most ``WIDE`` nodes have no further level and lose nothing.
 
 Nothing but counts and checksums reaches the driver. Words and signatures are written
@@ -62,11 +66,13 @@ BLOCK = 256
 #: Blocks' worth of nodes up to which a bucket is dealt into blocks instead of split again.
 WIDE = 4
 SKETCH_BITS = 128
-#: Similarity to a pivot from which on differences from it decide the branch.
-NEAR = 0.4
-#: Least differences from the pivot that a near node goes on by, and what it lacks that a far one does.
+#: Share of a node that its centre lacks, below which all differences from the centre decide the branch.
+NEAR = 0.5
+#: Least tokens that a near node goes on by, and a far one.
 DRAWS = 3
 FAR_DRAWS = 2
+#: The chance that none of the drawn tokens of a node is among those in common with a partner.
+MISS = 0.125
 #: Sketch bits that may differ: a pair of similarity 0.8 differs in 12.8 with deviation 3.4.
 MAX_SKETCH_DISTANCE = 30
 #: Bytes that a worker remembers of hashes of words, and of sets.
@@ -138,6 +144,11 @@ def minima(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return least >> U64(32)
 
 
+def sketch_of(least: np.ndarray) -> list[int]:
+    """One bit of each minwise hash, as two numbers."""
+    return np.packbits((least & U64(1)).astype(np.uint8)).view(np.int64).tolist()
+
+
 SIGNED = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64()), ("path", pa.list_(pa.int32())), ("body", pa.binary())])
 SIGNED_DDL = "n long, digest binary, s0 long, s1 long, path array<int>, body binary"
 
@@ -158,10 +169,10 @@ def sign(text: Column, words: int) -> Column:
                     made[k].append(None)
                 continue
             least = minima(found, multipliers)
-            s0, s1 = np.packbits((least[len(PATHS):] & U64(1)).astype(np.uint8)).view(np.int64)
+            s0, s1 = sketch_of(least[len(PATHS) :])
             made["digest"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            made["s0"].append(int(s0))
-            made["s1"].append(int(s1))
+            made["s0"].append(s0)
+            made["s1"].append(s1)
             made["path"].append(least[: len(PATHS)].astype(np.uint32).view(np.int32))
             made["body"].append(press.compress(b" ".join(parts)))
         return made
@@ -281,32 +292,43 @@ def _block_links(rows: DataFrame, signed: DataFrame, words: int, percent: int, n
     return made
 
 
-def _pivots(rows: DataFrame) -> DataFrame:
-    """The most central node of each bucket: the one nearest to the majority of each sketch bit."""
+def _central(rows: DataFrame) -> DataFrame:
+    """Three central nodes of each bucket: of each third of its nodes the one nearest to the majority of each sketch bit."""
     votes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("votes"), *[F.sum(F.expr(f"shiftrightunsigned(s0, {k}) & 1")).alias(f"v{k}") for k in range(64)])
     majority = votes.select("key", F.expr(" | ".join(f"shiftleft(CAST(2 * v{k} > votes AS bigint), {k})" for k in range(64))).alias("majority"))
-    ranked = rows.join(majority, "key").select("key", F.struct(F.expr("bit_count(s0 ^ majority)").alias("off"), "node", "n").alias("p"))
+    ranked = rows.join(majority, "key").select("key", F.struct(F.expr("bit_count(s0 ^ majority)").alias("off"), "node").alias("p"))
     thirds = ranked.groupBy("key").agg(*[F.expr(f"min(p) FILTER (WHERE pmod(xxhash64(p.node), 3) = {k})").alias(f"p{k}") for k in range(3)])
     ordered = thirds.select("key", F.expr("array_sort(array_compact(array(p0, p1, p2)))").alias("p"))
-    return ordered.select("key", F.expr("p[0].node").alias("pivot"), F.expr("p[0].n").alias("p_n"), F.expr("get(p, 1).node").alias("second"), F.expr("get(p, 2).node").alias("third"))
+    return ordered.select("key", *[F.expr(f"get(p, {k}).node").alias(name) for k, name in enumerate(CENTRAL)])
+
+
+CENTRAL = ("first", "second", "third")
+CENTRE = pa.struct([("c0", pa.int64()), ("c1", pa.int64())])
 
 
-def _centred(pivots: DataFrame, signed: DataFrame) -> DataFrame:
-    """key, and the words of its three most central nodes."""
-    found = pivots.select("key", "pivot", "second", "third")
-    for name in ("pivot", "second", "third"):
-        found = found.join(_bodies(signed, pivots.select(name), name).drop(f"n_{name}"), name, "left")
-    return found.select("key", "body_pivot", "body_second", "body_third")
+def _centre(three: list[np.ndarray]) -> np.ndarray:
+    """What two of three sets have; the first set where there are fewer, or no such tokens."""
+    tokens, times = np.unique(np.concatenate(three), return_counts=True)
+    return tokens[times > 1] if len(three) == 3 and (times > 1).any() else three[0]
 
 
-def _centre(p: np.ndarray, others: list[np.ndarray], percent: int) -> tuple[np.ndarray, bool]:
-    """What two of the three most central nodes have, and whether the pivot resembles that."""
-    if len(others) < 2:
-        return p, True
-    tokens, times = np.unique(np.concatenate([p, *others]), return_counts=True)
-    centre = tokens[times > 1]
-    shared = len(np.intersect1d(p, centre, assume_unique=True))
-    return (centre, 100 * shared >= percent * (len(p) + len(centre) - shared)) if len(centre) else (p, True)
+def _centred(central: DataFrame, signed: DataFrame, words: int) -> DataFrame:
+    """key, the words of its three central nodes, and the sketch (c0, c1) of its centre."""
+    shingles = Shingles(words)
+
+    def run(*bodies: pa.Array) -> dict[str, list]:
+        made: dict[str, list] = {"c0": [], "c1": []}
+        for three in zip(*bodies, strict=True):
+            sketch = sketch_of(minima(_centre([shingles.of_body(x) for x in three if x.is_valid]), BITS))
+            for name, value in zip(made, sketch, strict=True):
+                made[name].append(value)
+        return made
+
+    found = central
+    for name in CENTRAL:
+        found = found.join(_bodies(signed, central.select(name), name).drop(f"n_{name}"), name, "left")
+    names = [f"body_{name}" for name in CENTRAL]
+    return found.withColumn("c", struct_udf(run, "c0 long, c1 long", CENTRE)(*names)).select("key", *names, "c.*")
 
 
 FACED = pa.struct([("shared", pa.int64()), ("kids", pa.list_(pa.int64()))])
@@ -321,53 +343,59 @@ def _least(shingles: np.ndarray, seed: np.ndarray, count: int) -> np.ndarray:
 def _face(words: int, percent: int) -> Column:
     """Tokens shared with the pivot, and the buckets to go on to.
 
-    Two texts that resemble the pivot and link to each other, but not both to it, agree
-    on some of their differences from the centre (what two of the three most central nodes
-    have, as by the rest of the pivot all others would differ): nodes of similarity ``NEAR`` or more go on by the
-    symmetric difference. Two others have in common what the centre lacks: they go on by
-    that, and at least 0.58 of it is common. Distance is a metric, so a partner of a
-    near node is at most the link distance further off: nodes in that margin do both.
+    The centre is what two of the three central nodes have: by the rest of the pivot all
+    others would differ. Of two linked nodes each has all but a share of 1 - ``percent`` of
+    its tokens in common with the other, so of the tokens that the centre lacks as well all
+    but that much: far nodes, which have many of those, go on by some of them. Near ones,
+    with a share below ``NEAR``, go on by all differences, what they lack of the centre too.
+    A partner of a far node may be near by that share: nodes in this margin do both.
 
     Differences of two linked nodes may overlap little, but the node farther from the
     centre, not linked to the pivot, holds at least about half of the differences of a partner nearer to it.
-    ``DRAWS`` least tokens of the partner are therefore enough if the other draws down to
-    their rank: ``DRAWS`` times its differences over the least that a partner can have,
-    its own less the link distance. Close outside the link distance that means all.
+    ``DRAWS`` least tokens of the partner then miss the common ones with a probability of
+    ``MISS`` at most, and so does the other if it draws ``log(MISS) / log(1 - f)`` tokens, f
+    being the least share of its own differences that is common: they less the link
+    distance. Close outside the link distance that means all.
     Where the pivot itself is far from the centre, as in a bucket of texts with one passage
     in common, nodes may be close to the centre and to each other and not to the pivot:
     those within the link distance of the centre go on to a bucket of their own as well.
     """
-    margin, shingles = NEAR - (1 - percent / 100), Shingles(words)
+    shingles, slack = Shingles(words), max(1 - percent / 100, 1e-9)
+    margin = (NEAR - slack) * percent / 100
+    draws_for = lambda share: int(np.ceil(np.log(MISS) / np.log1p(-min(share, 1 - MISS))))
 
-    def run(keys: pa.Array, owns: pa.Array, pivots: pa.Array, *others: pa.Array) -> dict[str, list]:
+    def run(keys: pa.Array, owns: pa.Array, pivots: pa.Array, *central: pa.Array) -> dict[str, list]:
         made: dict[str, list] = {"shared": [], "kids": []}
-        at, p, q, central = None, None, None, True
-        for key, a, b, *c in zip(keys.to_pylist(), owns, pivots, *others, strict=True):
+        at, p, q, near = None, None, None, True
+        for key, a, b, *c in zip(keys.to_pylist(), owns, pivots, *central, strict=True):
             x = shingles.of_body(a)
             if key != at:
                 p = shingles.of_body(b)
-                at, (q, central) = key, _centre(p, [shingles.of_body(o) for o in c if o.is_valid], percent)
+                at, q = key, _centre([shingles.of_body(o) for o in c if o.is_valid])
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                near = 100 * shared >= percent * (len(p) + len(q) - shared)
             met = len(np.intersect1d(x, p, assume_unique=True))
             new = np.setdiff1d(x, q, assume_unique=True)
             shared = len(x) - len(new)
             either = len(new) + len(q)
             seed = odd_constants(1, key & 0xFFFFFFFFFFFFFFFF)
             kids = [np.empty(0, dtype=U64)]
-            if shared < NEAR * either:
-                kids.append((_least(new if len(new) else x, seed, FAR_DRAWS) << U64(8)) ^ U64(1))
-            if margin * either <= shared < either:
+            if len(new) >= margin * len(x):
+                common = 1 - slack * len(x) / len(new)
+                kids.append((_least(new, seed, max(FAR_DRAWS, draws_for(common)) if common > 0 else len(new)) << U64(8)) ^ U64(1))
+            if len(new) < NEAR * len(x) and shared < either:
                 apart, draws = np.setxor1d(x, q, assume_unique=True), DRAWS
                 if 100 * met < percent * (len(x) + len(p) - met):
                     least = max(len(apart) - (100 - percent) / percent * len(x), 1)
-                    draws = int(np.ceil(draws * len(apart) / least))
+                    draws = max(DRAWS, draws_for(least / len(apart)))
                 kids.append((_least(apart, seed, draws) << U64(8)) ^ U64(2))
-            if not central and percent * (either - shared) <= (100 - percent) * len(x):
+            if not near and percent * (either - shared) <= (100 - percent) * len(x):
                 kids.append(np.array([3], dtype=U64))
             made["shared"].append(met)
             made["kids"].append((_mix(np.concatenate(kids)) ^ _mix(seed)).view(np.int64))
         return made
 
-    return struct_udf(run, "shared long, kids array<long>", FACED)("key", "body_node", "body_pivot", "body_second", "body_third")
+    return struct_udf(run, "shared long, kids array<long>", FACED)("key", "body_node", "body_pivot", *(f"body_{name}" for name in CENTRAL))
 
 
 def _direct(judged: DataFrame) -> DataFrame:
@@ -406,15 +434,20 @@ def candidate_links(nodes: DataFrame, signed: DataFrame, words: int, percent: in
         if large.isEmpty():
             drop_table(shared)
             return pairs, links
-        pivots = materialise(_pivots(large), "pivots")
+        centres = materialise(_centred(materialise(_central(large), "central"), signed, words), "centres")
+        off = F.struct((F.bit_count(F.expr("s0 ^ c0")) + F.bit_count(F.expr("s1 ^ c1"))).alias("off"), "node", "n")
+        nearest = large.join(centres.select("key", "c0", "c1"), "key").groupBy("key").agg(F.min(off).alias("p"))
+        pivots = materialise(nearest.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("p_n")), "pivots")
         met = materialise(large.join(pivots, "key").where("node <> pivot").select("key", "node", "n", "s0", "s1", "pivot", "p_n"), "met")
         drop_table(shared)
         release(nodes.sparkSession)
-        faced = met.join(_bodies(signed, met.select("node"), "node").drop("n_node"), "node").join(_centred(pivots, signed), "key")
+        facing = pivots.join(_bodies(signed, pivots.select("pivot"), "pivot").drop("n_pivot"), "pivot")
+        faced = met.join(_bodies(signed, met.select("node"), "node").drop("n_node"), "node").join(centres.drop("c0", "c1"), "key").join(facing.drop("pivot", "p_n"), "key")
         faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face(words, percent).alias("f"))
         judged = materialise(faced.withColumn("linked", F.expr(f"100 * f.shared >= {percent} * (n + p_n - f.shared)")), "faced")
         drop_table(met)
         drop_table(pivots)
+        drop_table(centres)
         links.append(materialise(judged.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "links"))
         opened = judged.withColumn("open", F.expr("CAST(NOT linked AS int)"))
         left = opened.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.sum("open").alias("opens")).where("opens > 0")
@@ -423,7 +456,7 @@ def candidate_links(nodes: DataFrame, signed: DataFrame, words: int, percent: in
         links.append(_block_links(_direct(opened), signed, words, percent, "links"))
         rows = written = materialise(opened.where(f"opens > {BLOCK // 2} AND crowd > {WIDE * BLOCK}").select(F.explode("f.kids").alias("key"), "node", "open").distinct(), "kids")
         drop_table(judged)
-        del crowd, shared, large, pivots, met, faced, judged, opened, left
+        del crowd, shared, large, centres, nearest, pivots, facing, met, faced, judged, opened, left
         release(nodes.sparkSession)
 
 

@@ -6,15 +6,16 @@ first version, heaviest slot first to the lightest shard, and ``rebalanced`` edi
 version, moving only slots that overfull shards must give up. Records never move
 between slots, so an edit moves whole slots and nothing else.
 
-The map has SLOTS rows whatever the data, which bounds the broadcast and the one list
+The query's map has SLOTS rows whatever the data (slots without rows have a shard too, so
+a stored version places records that come later), which bounds the broadcast and the one list
 that is folded; the records are shuffled once, by slot, with a few numbers each and
 without their text. The law is ``bytes``: sizes of shards are near equal. No record is
 heavy enough in expectation to matter among thousands of slots, and copies of one text
 spread over slots by their ids.
 
 Defined results: a null text has size 1 and the checksum of an empty one; records with
-a null id share the slot of the empty string; equal ids share a slot and are placed in
-the order of checksum and size; an empty table gives an empty table and map; other
+a null id are spread over slots by checksum and size; equal ids share a slot and are placed
+in the order of checksum and size; a record whose slot a map lacks is an error; an empty table gives an empty table and map; other
 columns are ignored by the query.
 """
 
@@ -34,8 +35,9 @@ SHARDS = 16
 TOLERANCE = 0.01
 
 
-def slot_of(doc_id: Column, slots: int = SLOTS) -> Column:
-    digits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10)
+def slot_of(doc_id: Column, other: Column, slots: int = SLOTS) -> Column:
+    """The slot of an id, by ``other`` (a string) where it is null."""
+    digits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), other).cast("binary")), 1, 8), 16, 10)
     return F.pmod(digits.cast("long"), F.lit(slots))
 
 
@@ -43,12 +45,16 @@ def records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32 and virtual_slot of each row."""
     raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     found = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return found.withColumn("virtual_slot", slot_of(F.col("doc_id"), slots))
+    return found.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.concat_ws("/", F.lit(""), "text_crc32", "size"), slots))
 
 
-def slot_bytes(rows: DataFrame) -> DataFrame:
-    """virtual_slot, bytes and n_rows of each slot that has rows; partial sums come before the shuffle."""
-    return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
+def slot_bytes(rows: DataFrame, slots: int | None = None) -> DataFrame:
+    """virtual_slot, bytes and n_rows of each slot that has rows, or of all ``slots``; partial sums come before the shuffle."""
+    found = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
+    if slots is None:
+        return found
+    every = rows.sparkSession.range(slots).withColumnRenamed("id", "virtual_slot")
+    return every.join(found, "virtual_slot", "left").select("virtual_slot", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("bytes", "n_rows")])
 
 
 def _spread(slots: Column, loads: Column, shards: int) -> Column:
@@ -81,7 +87,7 @@ def rebalanced(slot_map: DataFrame, found: DataFrame, shards: int = SHARDS, tole
     In each shard slots stay, heaviest first, while they fit under the mean load plus the
     tolerance; the others, new slots, and slots of shards that are no more, are spread.
     """
-    version = slot_map.select(F.coalesce(F.max("version"), F.lit(0)).alias("last"))
+    last = slot_map.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
     known = found.join(slot_map.where(f"shard < {shards}").select("virtual_slot", "shard"), "virtual_slot", "left")
     everywhere, inside = W.partitionBy(F.lit(0)), W.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(W.unboundedPreceding, 0)
     most = F.sum("bytes").over(everywhere) / shards * (1 + tolerance)
@@ -92,7 +98,7 @@ def rebalanced(slot_map: DataFrame, found: DataFrame, shards: int = SHARDS, tole
     moving = judged.where("NOT stays").agg(_heaviest_first(judged).alias("slots"))
     both = moving.withColumn("k", F.lit(0)).join(sums.withColumn("k", F.lit(0)), "k")
     moved = both.select(F.explode(_spread(F.col("slots"), loads, shards)).alias("p")).select("p.*")
-    return stay.select("virtual_slot", "shard").unionByName(moved).join(F.broadcast(version)).select("virtual_slot", "shard", (F.col("last") + 1).alias("version"))
+    return stay.select("virtual_slot", "shard").unionByName(moved).select("virtual_slot", "shard", F.lit(last + 1).alias("version"))
 
 
 def store_map(slot_map: DataFrame, path: str) -> None:
@@ -113,15 +119,18 @@ def place(rows: DataFrame, slot_map: DataFrame, found: DataFrame) -> DataFrame:
     it in its shard are counted on the map.
     """
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
-    starts = slot_map.join(found, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first"))
+    starts = slot_map.join(found.select("virtual_slot", "n_rows"), "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first"))
     inside = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    return rows.withColumn("nth", F.row_number().over(inside)).join(F.broadcast(starts), "virtual_slot").withColumn("position", F.col("first") + F.col("nth") - 1).drop("first", "nth")
+    placed = rows.withColumn("nth", F.row_number().over(inside)).join(F.broadcast(starts), "virtual_slot", "left")
+    unknown = F.raise_error(F.concat(F.lit("no shard for slot "), F.col("virtual_slot").cast("string"))).cast("int")
+    placed = placed.withColumn("shard", F.coalesce("shard", unknown))
+    return placed.withColumn("position", F.col("first") + F.col("nth") - 1).drop("first", "nth")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the position in the shard), grown_shard and virtual_slot."""
     rows = materialise(records(table(spark, sf_dir, "documents")), "records")
-    found = materialise(slot_bytes(rows), "slots")
+    found = materialise(slot_bytes(rows, SLOTS), "slots")
     path = f"{shared_dir(spark)}/ledgerlake/slot-map-{uuid.uuid4().hex}"
     store_map(balanced(found), path)
     placed = place(rows, load_map(spark, path, 1), found)
@@ -139,11 +148,13 @@ def crc_table() -> list[int]:
 
 def oracle() -> str:
     return f"""
-WITH RECURSIVE r AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+WITH RECURSIVE q AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
     xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST(('0x' || x) AS BIGINT)),
-        lambda c, b: xor(c >> 8, {crc_table()}[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32,
-    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) % {SLOTS} AS virtual_slot FROM documents),
-found AS (SELECT virtual_slot, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n_rows FROM r GROUP BY 1),
+        lambda c, b: xor(c >> 8, {crc_table()}[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+    FROM documents),
+r AS (SELECT *, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '/' || text_crc32 || '/' || size)), 1, 8)) AS BIGINT) % {SLOTS} AS virtual_slot FROM q),
+found AS (SELECT s AS virtual_slot, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, count(size) AS n_rows
+  FROM range({SLOTS}) AS t(s) LEFT JOIN r ON virtual_slot = s GROUP BY 1),
 ordered AS (SELECT row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS k, * FROM found),
 spread AS (SELECT 0::BIGINT AS k, [0::BIGINT for x in range({SHARDS})] AS loads, -1::BIGINT AS virtual_slot, -1 AS shard
   UNION ALL SELECT o.k, list_transform(s.loads, lambda v, i: v + CASE WHEN i = list_position(s.loads, list_min(s.loads)) THEN o.bytes ELSE 0 END),

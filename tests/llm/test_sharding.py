@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from ledgerlake.llm import sharding as s
 from tests.llm.util import documents, frame
 
@@ -47,3 +49,19 @@ def test_query_stores_its_map(spark, tmp_path, monkeypatch):
         slots = {r.virtual_slot: r.shard for r in s.load_map(spark, stored[-1], 1).collect()}
         assert len(found) == len(rows) and all(slots[r.virtual_slot] == r.shard for r in found)
     assert len(stored) == 2
+
+
+def test_place_by_an_older_map(spark):
+    old, new = (s.records(spark.range(a, b).selectExpr("id AS doc_id", "'t' AS text")) for a, b in ((0, 50), (50, 100)))
+    slot_map = s.balanced(s.slot_bytes(old, s.SLOTS), 4)
+    assert slot_map.count() == s.SLOTS
+    found = s.place(new, slot_map, s.slot_bytes(new, s.SLOTS)).collect()
+    assert sorted(r.doc_id for r in found) == list(range(50, 100)) and all(r.shard in range(4) for r in found)
+    with pytest.raises(Exception, match="no shard for slot"):
+        s.place(new, slot_map.limit(1), s.slot_bytes(new)).collect()
+
+
+def test_null_and_equal_ids(spark):
+    rows = spark.range(400).selectExpr("CAST(if(id % 2 = 0, null, 7) AS long) AS doc_id", "repeat('x', CAST(id AS int)) AS text")
+    found = s.records(rows).collect()
+    assert len({r.virtual_slot for r in found if r.doc_id is None}) > 150 and len({r.virtual_slot for r in found if r.doc_id is not None}) == 1

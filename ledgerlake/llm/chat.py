@@ -36,6 +36,8 @@ ESCAPE = "\\"
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|im_sep|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 START, SEPARATOR, END = CONTROL[0], CONTROL[2], CONTROL[1]
 LOSS_ROLE = "assistant"
+#: White space that the tokenizer's own pattern would search by recursion.
+_LONG_SPACE = regex.compile(r"\p{White_Space}{1000,}")
 _TO_ESCAPE = regex.compile("|".join(map(regex.escape, (ESCAPE, *CONTROL))))
 
 
@@ -68,10 +70,19 @@ class Tokens:
         self.block = np.frombuffer(b"".join(items), dtype=np.uint8)
         self.offsets = np.cumsum([0, *map(len, items)])
 
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text. A long run of white space is one piece but for its last character, if more follows."""
+        found, at = [], 0
+        for m in _LONG_SPACE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            found += self.encoding.encode_ordinary(text[at : m.start()]) + self.encoding._encode_single_piece(text[m.start() : end].encode())
+            at = end
+        return found + self.encoding.encode_ordinary(text[at:])
+
     def segments(self, role: str, text: str) -> tuple[np.ndarray, int, int]:
         """The ids of a turn, and where its escaped content begins and ends among them."""
-        head = [self.start, *self.encoding.encode_ordinary(escape(role)), self.separator]
-        body = self.encoding.encode_ordinary(escape(text))
+        head = [self.start, *self.encode(escape(role)), self.separator]
+        body = self.encode(escape(text))
         return np.array([*head, *body, self.end], dtype=np.int32), len(head), len(head) + len(body)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -102,16 +113,18 @@ def encode_turns(rows: DataFrame, file: str | None = None) -> DataFrame:
     return plain.withColumn("t", run("role", "text")).select("conv_id", "turn", "role", "text", "t.*")
 
 
-def _sorted_by_turn(turns: DataFrame) -> DataFrame:
+def _sorted_by_turn(rows: DataFrame) -> DataFrame:
     """Rows of a conversation side by side and in order; ties by role and text."""
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text").drop("text", "role")
+    plain = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *[c for c in ("ids", "body_start", "body_end", "loss") if c in rows.columns])
+    return plain.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
 
 
-def assemble(turns: DataFrame) -> DataFrame:
+def assemble(turns: DataFrame, in_order: bool = False) -> DataFrame:
     """Each turn's ids with its place in its conversation: conv_id, position, ids, first_token, loss_start, loss_end.
 
     ``first_token`` is the prefix sum of the lengths before it; tokens from loss_start to
     loss_end (both counted in the conversation) are under the loss mask, none if equal.
+    Turns that are ``in_order`` are not shuffled again.
     """
     on_workers(turns.sparkSession)
     schema = "conv_id long, position long, ids array<int>, first_token long, loss_start long, loss_end long"
@@ -133,7 +146,7 @@ def assemble(turns: DataFrame) -> DataFrame:
             made = {"conv_id": batch.column("conv_id"), "position": out["position"], "ids": batch.column("ids"), **{k: out[k] for k in ("first_token", "loss_start", "loss_end")}}
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in made.values()], names=list(made))
 
-    return _sorted_by_turn(turns).mapInArrow(run, schema)
+    return (turns if in_order else _sorted_by_turn(turns)).drop("text", "role").mapInArrow(run, schema)
 
 
 def read_back(assembled: DataFrame, file: str | None = None) -> DataFrame:
@@ -185,7 +198,8 @@ def read_back(assembled: DataFrame, file: str | None = None) -> DataFrame:
 
 def format_conversations(rows: DataFrame, file: str | None = None) -> DataFrame:
     """The assembled token form of a conversation table (conv_id, turn, role, text)."""
-    return assemble(encode_turns(rows, file))
+    # texts are shuffled, not the longer ids
+    return assemble(encode_turns(_sorted_by_turn(rows.select("conv_id", "turn", "role", "text")), file), in_order=True)
 
 
 PROBE_TEXT = "</s>[INST] ok [/INST]"

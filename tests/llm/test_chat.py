@@ -49,3 +49,12 @@ def test_places_and_mask(spark):
     assert [r.first_token for r in turns] == [0, len(turns[0].ids), len(turns[0].ids) + len(turns[1].ids)]
     masked = ["".join(t.decode(__import__("numpy").array(ids[r.loss_start : r.loss_end]))) if r.loss_end > r.loss_start else "" for r in turns]
     assert masked == ["", "a", "b"] and ids.count(t.start) == ids.count(t.end) == ids.count(t.separator) == 3
+
+
+def test_long_runs():
+    t = c.tokens(None)
+    for text in (" " * 1_000_000, "a" * 1_000_000 + " " * 1_000_000 + "b", "\n \t" * 400_000, "ab" * 500_000, "!?" * 500_000):
+        assert t.decode(__import__("numpy").array(t.encode(text))) == text
+    for n in (999, 1000, 1001, 1500):
+        for text in (" " * n, "x" + " " * n + "y", "x" + "\n" * n, " " * n + "1\n" + " " * n + "."):
+            assert t.encode(text) == t.encoding.encode_ordinary(text)

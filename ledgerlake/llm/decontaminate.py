@@ -7,11 +7,12 @@ so is a run that is a whole shorter item. ``scan`` reports the spans; ``clean``
 them from texts, or drops texts that they cover beyond a limit.
 
 The automaton of a bounded benchmark travels with the tasks. Its words are counted
-first: above ``MAX_BROADCAST_WORDS`` the items are dealt into groups below that bound
-and the documents visit one group after the other, so no task ever holds more.
+first: above ``MAX_BROADCAST_WORDS`` the items are dealt into groups below that bound,
+and the documents visit one group after the other: what a visit found is written to the
+shared folder before the next, so no task ever holds more than one group's automaton.
 
 Defined results: null or empty texts, of documents and items, have no words and match
-nothing; equal items count as several; an empty benchmark leaves all documents clean;
+nothing; items of one id count as one, equal items of different ids as several; an empty benchmark leaves all documents clean;
 columns of the given names are replaced and all others are kept.
 """
 
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import on_workers, table
+from .common import drop_table, materialise, on_workers, table
 from .pyexec import struct_udf
 
 WINDOW = 10
-#: Words of benchmark text per automaton: about 150 bytes a word in a worker.
-MAX_BROADCAST_WORDS = 1_000_000
+#: Words of benchmark text per automaton: 700 to 950 bytes a word in a worker, as measured.
+MAX_BROADCAST_WORDS = 250_000
 #: Word bytes stay, upper-case ASCII is lowered, all other ASCII separates.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 IS_WORD = np.frombuffer(NORMAL, dtype=np.uint8) != 0x20
@@ -176,8 +177,10 @@ def item_groups(benchmark: DataFrame, most: int = MAX_BROADCAST_WORDS) -> Iterat
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, into: str = "_scan", most: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """``docs`` with a struct: n_words, the contaminated spans of words, and the ids of the items found."""
     on_workers(docs.sparkSession)
-    merged = None
-    for group in item_groups(benchmark, most):
+    text, out, written = f"`{text}`", docs, None
+    groups = item_groups(benchmark, most)
+    group, following = next(groups), next(groups, None)
+    while True:
         shared = docs.sparkSession.sparkContext.broadcast(group)
         built: list[SuffixAutomaton] = []
 
@@ -191,22 +194,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
                 spans, items = sam.scan(words)
                 made["n_words"].append(len(words))
                 made["spans"].append([{"start": a, "end": b} for a, b in spans])
-                made["items"].append(sorted(sam.names[k] for k in items))
+                made["items"].append(sorted({sam.names[k] for k in items}))
             return made
 
-        found = struct_udf(run, SCAN_DDL, SCAN)(F.col(f"`{text}`"))
-        merged = [found] if merged is None else [*merged, found]
-    if len(merged) == 1:
-        return docs.withColumn(into, merged[0])
-    out, names = docs, [f"{into}_{k}" for k in range(len(merged))]
-    for name, found in zip(names, merged, strict=True):
-        out = out.withColumn(name, found)
-    every = lambda field: "concat(" + ", ".join(f"{n}.{field}" for n in names) + ")"
-    joined = f"""named_struct('n_words', {names[0]}.n_words, 'spans', aggregate(array_sort({every("spans")}), CAST(array() AS array<struct<start: bigint, end: bigint>>),
+        found, before = struct_udf(run, SCAN_DDL, SCAN)(F.col(text)), written
+        out = out.withColumn(into, found) if before is None else out.withColumn("_more", found).withColumn(into, F.expr(_united(into, "_more"))).drop("_more")
+        if following is None:
+            return out
+        out = written = materialise(out, "scan")
+        if before is not None:
+            drop_table(before)
+        shared.unpersist()
+        group, following = following, next(groups, None)
+
+
+def _united(a: str, b: str) -> str:
+    """SQL: the struct of two scans of one text."""
+    return f"""named_struct('n_words', {a}.n_words, 'spans', aggregate(array_sort(concat({a}.spans, {b}.spans)), CAST(array() AS array<struct<start: bigint, end: bigint>>),
         (a, s) -> CASE WHEN size(a) > 0 AND a[size(a) - 1].end >= s.start
                        THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, s.end))))
-                       ELSE concat(a, array(s)) END), 'items', array_sort({every("items")}))"""
-    return out.withColumn(into, F.expr(joined)).drop(*names)
+                       ELSE concat(a, array(s)) END), 'items', array_sort(array_union({a}.items, {b}.items)))"""
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -225,10 +232,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     of the words lie in such spans goes as a whole; clean texts stay as they are.
     """
     on_workers(docs.sparkSession)
-    groups = list(item_groups(benchmark, most))
-    shared = docs.sparkSession.sparkContext.broadcast(groups[0])
+    groups = item_groups(benchmark, most)
+    first, single = next(groups), next(groups, None) is None
+    shared = docs.sparkSession.sparkContext.broadcast(first if single else [])
     built: list[SuffixAutomaton] = []
-    judged = docs if len(groups) == 1 else scan(docs, benchmark, text, window, "_scan", most)
+    judged = docs if single else scan(docs, benchmark, text, window, "_scan", most)
 
     def run(texts: pa.Array, *scanned: pa.Array) -> dict[str, list]:
         made: dict[str, list] = {"gone": [], "cut": []}
@@ -249,7 +257,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
         return made
 
     cleaned = struct_udf(run, "gone boolean, cut string", pa.struct([("gone", pa.bool_()), ("cut", pa.string())]))
-    inputs = [F.col(f"`{text}`")] if len(groups) == 1 else [F.col(f"`{text}`"), F.col("_scan")]
+    inputs = [F.col(f"`{text}`")] if single else [F.col(f"`{text}`"), F.col("_scan")]
     found = judged.withColumn("_clean", cleaned(*inputs)).where("NOT _clean.gone")
     return found.withColumn(text, F.coalesce("_clean.cut", F.col(f"`{text}`"))).drop("_clean", "_scan")
 

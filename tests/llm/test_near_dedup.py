@@ -118,3 +118,10 @@ def test_links_far_from_the_pivot(spark):
     for n_chains in (40, 1100):
         rows = planted(1100, n_chains)
         assert {r.doc_id: r.component_id for r in n.groups(frame(spark, rows), words=4).collect()} == components_of(rows, 4)
+
+
+def test_deduplicate_judges_rows(spark):
+    copy, other = prose(70, 80), prose(71, 80)
+    docs = spark.createDataFrame([(1, copy), (7, copy), (7, other), (None, copy), (None, ""), (3, None)], "doc_id long, text string")
+    kept = sorted((repr(r.doc_id), r.text or "") for r in n.deduplicate(docs).collect())
+    assert kept == sorted([("1", copy), ("7", other), ("None", ""), ("3", "")])

@@ -15,8 +15,10 @@ card or account number took in what follows or precedes it, the text is cut ther
   to the size of the format (65,536 x 65,536; 17 x 4,297 days from 1900 to 2099).
 
 All of it is built-in expressions inside one projection: no user function, no shuffle.
-Texts without candidates skip everything but one search. The key is a parameter; whoever
-holds it can invert the permutations.
+Texts without candidates skip everything but one search. Cards, accounts and phones are
+permuted without their separators, so a number has one pseudonym however it is written.
+The key is a parameter, by default the session's ``spark.ledgerlake.pii.key``; whoever
+holds it can invert the permutations. Where none is set, as in tests, it is a public one.
 
 Defined results: null stays null, empty stays empty; an empty table gives an empty
 table; other columns are kept, and the working columns start with ``_p_``.
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: The public key of sessions that set none.
 KEY = "ledgerlake"
+KEY_SETTING = "spark.ledgerlake.pii.key"
 ROUNDS = 8
 
 #: Each kind with its pattern; the first that matches at a place counts.
@@ -45,7 +49,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap search that every candidate passes.
-HINT = r"[0-9@]"
+HINT = r"[0-9@]|AKIA|(?:sk|pk|ghp)[-_]|[a-f]{32}|[A-F]{32}"
 YEARS = 73049
 LEFT, RIGHT = 17, 4297
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -102,9 +106,12 @@ def _card(m: str, key: str) -> str:
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     body = _letters("substr(n, 1, length(n) - 1)", "card", key)
     whole = _let("b", body, f"concat(b, pmod(10 - {_luhn('b', 1)} % 10, 10))")
-    # digits go back to their places among blanks and dashes
-    laid = f"aggregate(split({m}, ''), named_struct('o', '', 'k', 0), (s, c) -> if(c RLIKE '[0-9]', named_struct('o', concat(s.o, substr(w, s.k + 1, 1)), 'k', s.k + 1), named_struct('o', concat(s.o, c), 'k', s.k)), s -> s.o)"
-    return _let("n", digits, f"if({_is_card('n')}, {_let('w', whole, laid)}, {m})")
+    return _let("n", digits, f"if({_is_card('n')}, {_let('w', whole, _laid(m, '[0-9]'))}, {m})")
+
+
+def _laid(m: str, kind: str) -> str:
+    """SQL: the characters of ``w`` in the places of those of a kind in ``m``, among its separators."""
+    return f"aggregate(split({m}, ''), named_struct('o', '', 'k', 0), (s, c) -> if(c RLIKE '{kind}', named_struct('o', concat(s.o, substr(w, s.k + 1, 1)), 'k', s.k + 1), named_struct('o', concat(s.o, c), 'k', s.k)), s -> s.o)"
 
 
 def _rest(v: str) -> str:
@@ -133,9 +140,15 @@ def _valid_part(m: str) -> str:
 
 def _iban(m: str, key: str) -> str:
     """Country, two check digits (modulo 97), account; blanks stay in place."""
-    check = f"lpad(98 - {_rest('concat(replace(b, ' + _sql(' ') + ', ' + _sql('') + '), substr(' + m + ', 1, 2), ' + _sql('00') + ')')}, 2, '0')"
-    moved = _let("b", f"substr({_letters(m, 'iban', key, '4')}, 5)", f"concat(substr({m}, 1, 2), {check}, b)")
-    return f"if({_is_iban(m)}, {moved}, {m})"
+    check = f"lpad(98 - {_rest('concat(b, substr(' + m + ', 1, 2), ' + _sql('00') + ')')}, 2, '0')"
+    moved = _let("b", f"substr({_letters('t', 'iban', key, '4')}, 5)", f"concat(substr({m}, 1, 2), {check}, b)")
+    return f"if({_is_iban(m)}, {_let('t', f'replace({m}, {_sql(chr(32))}, {_sql(chr(0)[:0])})', _let('w', moved, _laid(m, '[0-9A-Z]')))}, {m})"
+
+
+def _phone(m: str, key: str) -> str:
+    """All digits but the first of an international number; separators stay in place."""
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    return _let("n", digits, _let("w", _letters("n", "phone", key, f"if(startswith({m}, '+'), 1, 0)"), _laid(m, "[0-9]")))
 
 
 def _ip(m: str, key: str) -> str:
@@ -173,7 +186,7 @@ def _pseudonym(m: str, key: str) -> str:
         "iban": _iban(m, key),
         "ip": _ip(m, key),
         "date": _date(m, key),
-        "phone": _letters(m, "phone", key, f"if(startswith({m}, '+'), length(regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[^0-9])', 0)), 0)"),
+        "phone": _phone(m, key),
         "ssn": _letters(m, "ssn", key),
         "card": _card(m, key),
     }
@@ -183,9 +196,13 @@ def _pseudonym(m: str, key: str) -> str:
     return f"CASE {cases} ELSE {m} END"
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with the pseudonymised text in place of the text."""
-    return _worked(docs, text, key).withColumn(text, F.col("_p_text")).drop("_p_found", "_p_between", "_p_made", "_p_text")
+    return _worked(docs, text, session_key(docs.sparkSession) if key is None else key).withColumn(text, F.col("_p_text")).drop("_p_found", "_p_between", "_p_made", "_p_text")
 
 
 def _worked(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -213,6 +230,6 @@ def _worked(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, and n_replaced of every document."""
-    found = _worked(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", KEY)
+    found = _worked(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", session_key(spark))
     replaced = F.expr("CAST(size(filter(_p_made, (m, i) -> m <> _p_found[i])) AS bigint)")
     return found.select("doc_id", F.col("_p_text").alias("text"), replaced.alias("n_replaced"))

@@ -15,7 +15,8 @@ can split. Only three fitted strengths and one overall rate reach the driver.
 Defined results: a null url, or one without ``://``, has an empty host and path, no
 rule, and the overall rate as its prior; null outcomes and pages without outcome only
 miss in the counts; several outcomes of one page all count; equal pages are judged alike;
-an empty table gives an empty table; ``html`` and other columns are not read.
+an empty table gives an empty table; columns of the names given to results are replaced,
+``html`` and other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ Z = 1.64
 LOWEST = 0.5
 #: Prior strength (in labelled pages) where the spread can't be fitted, and the range of fits.
 STRENGTH, WEAKEST, STRONGEST = 10.0, 1.0, 1000.0
-#: Suffixes of two labels; any other suffix is the last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: A suffix of two labels, as a pattern: a generic label under a country's; any other suffix is the last label.
+LONG_SUFFIX = r"(?:ac|co|com|edu|gen|go|gob|gouv|gov|id|ltd|mil|ne|net|nhs|nom|or|org|plc|sch|web)\.[a-z][a-z]"
 
 
 @dataclass(frozen=True)
@@ -72,8 +73,7 @@ def matched(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _levels() -> dict[str, Column]:
-    long = "|".join(s.replace(".", r"\.") for s in LONG_SUFFIXES)
+def _levels(long: str) -> dict[str, Column]:
     suffix = F.regexp_extract("host", rf"((?:^|\.)(?:{long})|[^.]*)$", 1)
     suffix = F.regexp_replace(suffix, r"^\.", "")
     domain = F.regexp_extract("host", rf"([^.]*\.(?:{long})|[^.]*\.[^.]*|[^.]*)$", 1)
@@ -93,7 +93,7 @@ def _strength(units: DataFrame) -> float:
     return round(min(max((1 - spread) / spread, WEAKEST), STRONGEST), 6) if spread > 0 else STRONGEST
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id") -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", long_suffix: str = LONG_SUFFIX) -> DataFrame:
     """(host, n, k, mean, lower) for every host of ``pages`` (with a column host).
 
     ``outcomes`` has page_id and good (boolean).
@@ -101,7 +101,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id")
     judged = outcomes.where("good IS NOT NULL").select(F.col("page_id").alias("_page"), F.col("good").cast("long").alias("good"))
     labelled = pages.select(F.col(f"`{page_id}`").alias("_page"), "host").join(judged, "_page", "left")
     hosts = labelled.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    hosts = materialise(hosts.withColumns(_levels()), "hosts")
+    hosts = materialise(hosts.withColumns(_levels(long_suffix)), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
@@ -116,10 +116,10 @@ def reputations(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id")
     return scored.select("host", "n", "k", "mean", lower.alias("lower"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, lowest: float = LOWEST) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, lowest: float = LOWEST, long_suffix: str = LONG_SUFFIX) -> DataFrame:
     """``pages`` with host, path, rule, verdict (``allow`` or ``block``) and the host's lower bound."""
-    found = parsed(pages, url)
-    bounds = reputations(found, outcomes, page_id).select(F.col("host"), F.col("lower").alias("host_lower_bound"))
+    found = parsed(pages, url).drop("host_lower_bound", "rule", "verdict")
+    bounds = reputations(found, outcomes, page_id, long_suffix).select(F.col("host"), F.col("lower").alias("host_lower_bound"))
     name, verdict = matched(rules)
     own = F.when(F.col("host_lower_bound") >= F.lit(lowest), F.lit("allow")).otherwise(F.lit("block"))
     return found.join(bounds, "host", "left").withColumns({"rule": name, "verdict": F.coalesce(verdict, own)})
@@ -140,7 +140,7 @@ def oracle() -> str:
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     longest = sorted(RULES, key=lambda r: (-len(r.name), r.name))
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in longest) + " END"
-    long = "|".join(s.replace(".", r"\.") for s in LONG_SUFFIXES)
+    long = LONG_SUFFIX
     fit = lambda units: f"""(SELECT CASE WHEN u < 2 OR k IN (0, n) OR n - nn / n - (u - 1) <= 0 THEN {STRENGTH} WHEN s <= 0 THEN {STRONGEST}
       ELSE round(least(greatest((1 - s) / s, {WEAKEST}), {STRONGEST}), 6) END FROM (SELECT *, (kk - k * k / n - k / n * (1 - k / n) * (u - 1)) / (k / n * (1 - k / n) * (n - nn / n - (u - 1))) AS s
       FROM (SELECT count(*) AS u, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(k) AS DOUBLE) AS k, CAST(sum(n * n) AS DOUBLE) AS nn, sum(k * k / n) AS kk FROM {units} WHERE n > 0)))"""

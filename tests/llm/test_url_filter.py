@@ -25,3 +25,14 @@ def test_reputation_shrinks_to_domain(spark):
 
 def test_empty(spark):
     assert u.judge(pages(spark, ["a"]).limit(0), outcomes(spark, [])).count() == 0
+
+
+def test_clashing_names_and_odd_urls(spark):
+    urls = ["http://A.example.co.nz/x", "http://b.other.co.nz/x", None, "no scheme", "http://" + "h" * 50000 + "/" + "p" * 50000, "http://A.example.co.nz/x"]
+    pages = spark.createDataFrame([(k, u, "r", "v", 1.0, "h", "p") for k, u in enumerate(urls)], "page_id long, url string, rule string, verdict string, host_lower_bound double, host string, path string")
+    outcomes = spark.createDataFrame([(0, True), (0, False), (1, None), (9, True)], "page_id long, good boolean")
+    found = {r.page_id: r for r in u.judge(pages, outcomes).collect()}
+    assert len(found) == 6 and found[0].host == "a.example.co.nz" == found[5].host and found[0].verdict == found[5].verdict and found[2].host == found[3].path == ""
+    domains = {r.host: r.domain for r in u.parsed(pages).withColumns(u._levels(u.LONG_SUFFIX)).collect()}
+    assert domains["a.example.co.nz"] == "example.co.nz" and domains["b.other.co.nz"] == "other.co.nz"
+    assert u.judge(pages.limit(0), outcomes.limit(0)).count() == 0

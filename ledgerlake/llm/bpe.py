@@ -11,7 +11,7 @@ such sequence only, and a position once given up is never tried again.
 Decoding (and writing ids as decimal numbers) gathers bytes from one table with
 offsets, without a loop over tokens.
 
-A worker's memory is one Arrow batch plus caches that are emptied at a fixed size; rows
+A worker's memory is one Arrow batch plus caches that are emptied at a fixed number of bytes; rows
 are independent, so a lost executor costs only the recomputation of its partitions.
 Defined results: a null text is an empty one and has no tokens; an empty table gives
 an empty table; repeated rows give repeated results; columns of the given names are
@@ -32,11 +32,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import on_workers, table
+from .common import ByteMemo, on_workers, table
 from .pyexec import struct_udf
 
 DEFAULT_FILE = "word_bpe_49k.json"
-CACHE_ENTRIES = {"pairs": 150_000, "chunks": 150_000, "words": 250_000}
+#: Bytes that a worker remembers.
+CACHES = {"pairs": 24 << 20, "chunks": 48 << 20, "words": 48 << 20}
 INFINITE = 1 << 60
 END = "\0"
 #: Separators of str.split() that the tokenizer does not regard as white space.
@@ -71,20 +72,6 @@ class OffsetTable:
         return self.block[places[: -self.tail]].tobytes()
 
 
-class Memo(dict):
-    """A dictionary that fills itself and starts anew at a fixed size."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
-
-
 class Bpe:
     """Encoder and decoder for a tokenizer file with end-of-word tokens.
 
@@ -111,7 +98,7 @@ class Bpe:
             self.rank[vocab[a], vocab[b]] = k
             if joined not in self.halves:
                 self.halves[joined], self.formed[joined] = (vocab[a], vocab[b]), k
-        self.compatible = Memo(lambda pair: self._untouched(*pair, INFINITE), CACHE_ENTRIES["pairs"])
+        self.compatible = ByteMemo(lambda pair: self._untouched(*pair, INFINITE), CACHES["pairs"])
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             if i not in self.halves or self._untouched(*self.halves[i], self.formed[i]):
@@ -125,8 +112,8 @@ class Bpe:
         names = {i: t for t, i in (vocab | self.special).items()}
         self.names = OffsetTable([names.get(i, "").encode() for i in range(max(names) + 1)])
         self.decimals = OffsetTable([str(i).encode() for i in range(max(names) + 1)])
-        self.chunks = Memo(self._encode_chunk, CACHE_ENTRIES["chunks"])
-        self.words = Memo(self._encode_word, CACHE_ENTRIES["words"])
+        self.chunks = ByteMemo(self._encode_chunk, CACHES["chunks"])
+        self.words = ByteMemo(self._encode_word, CACHES["words"])
 
     def _spine(self, token: int, side: int, limit: int) -> list[tuple[int, int]]:
         """The tokens along one edge of a merge tree, each with the rank at which it ends."""

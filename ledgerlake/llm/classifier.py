@@ -7,7 +7,7 @@ and a logistic curve through the margins makes scores.
 
 The model is fitted on at most ``MAX_ROWS`` labelled rows, those with the smallest hash
 of their id, each with all its features, and on fewer where these rows have more than
-``MAX_FEATURES`` features together. Their ids and labels, so bounded, are broadcast to the scan of the documents:
+``MAX_FEATURES`` features together (an id whose rows have over a quarter of that is left out). Their ids and labels, so bounded, are broadcast to the scan of the documents:
 no text is shuffled, and only the features of these rows reach the driver. The model is
 one vector of BUCKETS numbers, broadcast to the workers, which score whole texts row by
 row.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, on_workers, table
+from .common import ByteMemo, materialise, on_workers, table
 
 BUCKETS = 1 << 18
 MAX_ROWS = 6000
@@ -40,7 +40,8 @@ SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 30
 SEED = 7
-WORD_CACHE = 150_000
+#: Bytes of hashes that a worker remembers.
+WORD_CACHE = 32 << 20
 U64 = np.uint64
 UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -55,15 +56,16 @@ def shape_of(word: str) -> str:
     return "".join(made[:8])
 
 
-class WordHashes(dict):
+def _hashes_of(word: str) -> bytes:
+    digest = lambda x: hashlib.blake2b(x.encode(), digest_size=8).digest()
+    return digest(word.lower()) + digest("\0" + shape_of(word))
+
+
+class WordHashes(ByteMemo):
     """For each word, 16 bytes: the hash of its lower-case form and of its shape."""
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        digest = lambda x: hashlib.blake2b(x.encode(), digest_size=8).digest()
-        self[word] = value = digest(word.lower()) + digest("\0" + shape_of(word))
-        return value
+    def __init__(self) -> None:
+        super().__init__(_hashes_of, WORD_CACHE)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -149,8 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_y").cast(pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["h", "y", "f"])
 
     drawn = materialise(rows.mapInArrow(hashed, "h long, y long, f array<int>"), "sample")
-    sizes = drawn.groupBy("h").agg(F.sum(F.size("f")).alias("n")).toArrow().sort_by("h")
-    fits = np.cumsum(sizes.column("n").to_numpy()) <= MAX_FEATURES
+    sizes = drawn.groupBy("h").agg(F.sum(F.size("f") + 1).alias("n")).toArrow().sort_by("h")
+    each = sizes.column("n").to_numpy()
+    alone = each <= MAX_FEATURES // 4
+    fits = alone & (np.cumsum(np.where(alone, each, 0)) <= MAX_FEATURES)
     if not fits.all():
         # whole rows, in the order of their hashes
         drawn = drawn.where(F.col("h").isin(sizes.column("h").to_numpy()[fits].tolist()))

@@ -32,7 +32,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ByteMemo, on_workers, table
+from .common import ByteMemo as Memo
+from .common import on_workers, table
 from .pyexec import struct_udf
 
 DEFAULT_FILE = "word_bpe_49k.json"
@@ -98,7 +99,7 @@ class Bpe:
             self.rank[vocab[a], vocab[b]] = k
             if joined not in self.halves:
                 self.halves[joined], self.formed[joined] = (vocab[a], vocab[b]), k
-        self.compatible = ByteMemo(lambda pair: self._untouched(*pair, INFINITE), CACHES["pairs"])
+        self.compatible = Memo(lambda pair: self._untouched(*pair, INFINITE), CACHES["pairs"])
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             if i not in self.halves or self._untouched(*self.halves[i], self.formed[i]):
@@ -112,8 +113,8 @@ class Bpe:
         names = {i: t for t, i in (vocab | self.special).items()}
         self.names = OffsetTable([names.get(i, "").encode() for i in range(max(names) + 1)])
         self.decimals = OffsetTable([str(i).encode() for i in range(max(names) + 1)])
-        self.chunks = ByteMemo(self._encode_chunk, CACHES["chunks"])
-        self.words = ByteMemo(self._encode_word, CACHES["words"])
+        self.chunks = Memo(self._encode_chunk, CACHES["chunks"])
+        self.words = Memo(self._encode_word, CACHES["words"])
 
     def _spine(self, token: int, side: int, limit: int) -> list[tuple[int, int]]:
         """The tokens along one edge of a merge tree, each with the rank at which it ends."""

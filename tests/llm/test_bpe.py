@@ -44,3 +44,10 @@ def test_frames(spark, reference):
 def test_caches_start_anew():
     memo = bpe.Memo(lambda k: k * 2, 3)
     assert [memo[k] for k in range(7)] == [0, 2, 4, 6, 8, 10, 12] and len(memo) <= 3
+
+
+def test_caches_are_bounded_by_bytes():
+    memo = bpe.Memo(lambda k: k * 1000, 10_000)
+    for k in "abcdefghijklmnopqrstuvwxyz":
+        assert memo[k] == memo[k] == k * 1000 and sum(len(v) for v in memo.values()) <= 10_000
+    assert memo["long" * 10] and "long" * 10 not in memo and memo

@@ -244,7 +244,7 @@ def block_tables(raw: DataFrame, fallback: DataFrame | None = None, skip_actions
     signed = F.when((F.col("creator_action_ordinal") == 0) & (F.size("signatures") > 0), F.col("signatures"))
     rows = state.as_of(contract_rows(changed).withColumnRenamed("code", "account"), timeline, "account", "position", "abi", fallback, "abi").withColumnRenamed("account", "code")
     rows = rows.withColumn("data_json", decoding.decode_row(F.col("abi"), F.col("table"), F.col("value")))
-    place = lambda: state.version(F.col("arrival_ordinal"), F.col("delta_idx") * 65536 + F.col("row_idx"))
+    place = lambda: state.version(F.col("arrival_ordinal"), state.row_sequence(F.col("delta_idx"), F.col("row_idx")))
     abi = account_rows(changed).join(of_block, "arrival_ordinal", "left")
     listed = lambda section: F.from_json(F.get_json_object("abi", f"$.{section}"), "array<struct<name: string>>")["name"]
     return {

@@ -6,12 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SEQUENCE_BITS = 32
+#: A version has 35 bits for a block's place in the feed and 28 for a document's place in its block.
+PLACE_BITS = 35
+SEQUENCE_BITS = 28
+#: Of the latter 22 are for the row in its delta, the others for the delta.
+ROW_BITS = 22
+
+
+def _within(value: Column, bits: int, what: str) -> Column:
+    wrong = F.raise_error(F.concat(F.lit(f"{what} beyond {bits} bits: "), value.cast("string"))).cast("long")
+    return F.when(value.isNull() | ((value >= 0) & (value < 1 << bits)), value.cast("long")).otherwise(wrong)
 
 
 def version(block: Column, sequence: Column) -> Column:
-    """One ordered number from a block's place and a document's place in it."""
-    return F.call_function("shiftleft", block.cast("long"), F.lit(SEQUENCE_BITS)).bitwiseOR(sequence.cast("long"))
+    """One ordered number, never negative, from a block's place and a document's place in it; an error where it would not fit."""
+    return F.call_function("shiftleft", _within(block, PLACE_BITS, "place"), F.lit(SEQUENCE_BITS)).bitwiseOR(_within(sequence, SEQUENCE_BITS, "sequence"))
+
+
+def row_sequence(delta: Column, row: Column) -> Column:
+    """A row's place in its block, by its delta and its place there."""
+    return F.call_function("shiftleft", _within(delta, SEQUENCE_BITS - ROW_BITS, "delta"), F.lit(ROW_BITS)).bitwiseOR(_within(row, ROW_BITS, "row"))
 
 
 def latest(changes: DataFrame, key: list[str], order: str = "_version", operation: str = "_op", ties: list[str] | None = None) -> DataFrame:
@@ -69,7 +83,18 @@ def resume_block(explicit: int | None, checkpoint: DataFrame, blocks: DataFrame,
     return joined.select(F.coalesce(F.lit(explicit).cast("long"), F.col("c") + 1, F.col("b") + 1, F.col("a") + 1, F.lit(1)).cast("long").alias("start_block"))
 
 
-def forks(blocks: DataFrame, order: str = "arrival_ordinal", number: str = "block_num", stream: str | None = None) -> DataFrame:
-    """Arrivals at or below the height before them: a replay after a fork."""
-    w = W.partitionBy(*([F.col(stream)] if stream else [F.lit(0)])).orderBy(order)
-    return blocks.withColumn("previous", F.lag(number).over(w)).where(F.col(number) <= F.col("previous"))
+def forks(blocks: DataFrame, order: str = "arrival_ordinal", number: str = "block_num", stream: str | None = None, run_bits: int = 14) -> DataFrame:
+    """Arrivals at or below the height before them: a replay after a fork.
+
+    Arrivals are compared within runs of 2 ** ``run_bits`` places; only the last height of
+    each run is ordered over the whole stream, for the first arrival of the next.
+    """
+    of = [F.col(stream)] if stream else [F.lit(0)]
+    keyed = blocks.withColumn("_of", of[0]).withColumn("_run", F.shiftright(F.col(order).cast("long"), run_bits))
+    ends = keyed.groupBy("_of", "_run").agg(F.max_by(number, order).alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(W.partitionBy("_of").orderBy("_run"))).drop("_end")
+    inside = F.lag(number).over(W.partitionBy("_of", "_run").orderBy(order))
+    found = keyed.withColumn("previous", inside).withColumnRenamed("_of", "_stream").withColumnRenamed("_run", "_place")
+    joined = found.join(ends, F.col("_stream").eqNullSafe(F.col("_of")) & F.col("_place").eqNullSafe(F.col("_run")), "left")
+    joined = joined.withColumn("previous", F.coalesce("previous", "_before"))
+    return joined.where(F.col(number) <= F.col("previous")).drop("_stream", "_place", "_of", "_run", "_before")

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..codec import wire
 from ..operators.ingest import RAW
 
-FRAME_BITS = 24
+FRAME_BITS = 14
 
 
 def write_frames(path: str, frames: list[bytes]) -> None:
@@ -56,11 +56,18 @@ class _Frames:
         self.irreversible = on("irreversibleOnly", "false")
         self.most, self.resume = int(options.get("maxFilesPerTrigger", 0)), int(options.get("resumeFile", 0))
 
-    def files(self) -> list[str]:
-        return sorted(x for x in os.listdir(self.folder) if not x.endswith(".part"))
+    def files(self) -> list[tuple[int, str]]:
+        """Number and name of each file: the number that names it, or its place if not all names are numbers."""
+        names = sorted(x for x in os.listdir(self.folder) if not x.endswith(".part"))
+        stems = [x.split(".")[0] for x in names]
+        if all(x.isdigit() for x in stems):
+            return sorted((int(stem), name) for stem, name in zip(stems, names, strict=True))
+        return list(enumerate(names))
 
     def rows(self, part: FilePart) -> Iterator[tuple]:
         for k, frame in enumerate(read_frames(part.path)):
+            if k >> FRAME_BITS:
+                raise ValueError(f"{part.path} has more than {1 << FRAME_BITS} frames")
             kind, r = wire.result(frame)
             this, prev = r.get("this_block"), r.get("prev_block") or {}
             if kind != "blocks" or not this or this["block_num"] < self.first or (self.last and this["block_num"] > self.last) or (self.irreversible and this["block_num"] > r["lib"]["block_num"]):
@@ -71,14 +78,14 @@ class _Frames:
 
 class FeedReader(_Frames, DataSourceReader):
     def partitions(self) -> list[FilePart]:
-        return [FilePart(k, os.path.join(self.folder, x)) for k, x in enumerate(self.files())]
+        return [FilePart(k, os.path.join(self.folder, x)) for k, x in self.files()]
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
         return self.rows(partition)
 
 
 class FeedStream(_Frames, DataSourceStreamReader):
-    """Offsets count files; a batch takes at most ``maxFilesPerTrigger`` of them."""
+    """Offsets are file numbers; a batch takes at most ``maxFilesPerTrigger`` files."""
 
     def __init__(self, options: dict[str, str]):
         super().__init__(options)
@@ -88,13 +95,14 @@ class FeedStream(_Frames, DataSourceStreamReader):
         return {"files": 0}
 
     def latestOffset(self) -> dict:
-        there = len(self.files())
-        self.at = min(self.at + self.most, there) if self.most else there
+        later = [k for k, _ in self.files() if k >= self.at]
+        if later:
+            self.at = (later[: self.most] if self.most else later)[-1] + 1
         return {"files": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[FilePart]:
         self.at = max(self.at, end["files"])
-        return [FilePart(k, os.path.join(self.folder, x)) for k, x in enumerate(self.files()) if start["files"] <= k < end["files"]]
+        return [FilePart(k, os.path.join(self.folder, x)) for k, x in self.files() if start["files"] <= k < end["files"]]
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
         return self.rows(partition)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import ingest, state
 
@@ -18,6 +19,7 @@ CURRENT = {"perm": "_version", "token": "_version"}
 PROGRESS = "batch long, block_num long, arrival_ordinal long"
 #: Compacted rows of current tables; a negative number sorts before all batches.
 COMPACTED = -1
+SCHEMAS: dict[str, StructType] = {}
 
 
 class Store:
@@ -32,11 +34,12 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def create(self) -> None:
-        """All tables, empty, where they are missing."""
-        none = self.spark.createDataFrame([], ingest.RAW)
-        for kind, rows in ingest.block_tables(none).items():
+        """All tables, empty, where they are missing; compactions that were cut off are finished."""
+        for kind in CURRENT:
+            self.recover(kind)
+        for kind in ingest.KEYS:
             if not self.exists(kind):
-                rows.withColumn("batch", F.lit(COMPACTED).cast("long")).write.parquet(self.path(kind))
+                self.spark.createDataFrame([], self._schema(kind)).write.parquet(self.path(kind))
         if not self.exists("progress"):
             self.spark.createDataFrame([], PROGRESS).write.parquet(self.path("progress"))
 
@@ -58,9 +61,12 @@ class Store:
         found = self.spark.read.option("basePath", self.path(kind)).schema(self._schema(kind)).parquet(self.path(kind))
         return found.where(F.coalesce("batch", F.lit(COMPACTED)) <= self.confirmed())
 
-    def _schema(self, kind: str):
-        empty = ingest.block_tables(self.spark.createDataFrame([], ingest.RAW))[kind]
-        return empty.withColumn("batch", F.lit(0).cast("long")).schema
+    def _schema(self, kind: str) -> StructType:
+        """A table's columns; the plan that they come from is made once a process."""
+        if not SCHEMAS:
+            empty = ingest.block_tables(self.spark.createDataFrame([], ingest.RAW))
+            SCHEMAS.update({k: rows.withColumn("batch", F.lit(0).cast("long")).schema for k, rows in empty.items()})
+        return SCHEMAS[kind]
 
     def table(self, kind: str) -> DataFrame:
         """The present rows: the latest version of each key; of histories, each id's last arrival."""
@@ -72,16 +78,28 @@ class Store:
 
     def compact(self, kind: str) -> None:
         """Fold a current table's confirmed log, tombstones with it, into one base; older batches go."""
+        self.recover(kind)
         last, found = self.confirmed(), self.table(kind)
         base = found.drop("batch").withColumn("_op", F.lit("index"))
-        base.write.mode("overwrite").parquet(f"{self.root}/_compacting/{kind}")
+        # The new base is whole, beside the table, before anything goes; a rename that a crash
+        # cut off is made up by the next ``recover``, with which a start or compaction begins.
+        base.write.mode("overwrite").parquet(f"{self.root}/_compacted/{kind}/batch={last}")
+        self.recover(kind)
+
+    def recover(self, kind: str) -> None:
+        """Finish a compaction: drop what the written base holds, then put it in place."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         fs_path = jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(self.root).getFileSystem(conf)
-        target = fs_path(f"{self.path(kind)}/batch={COMPACTED}")
-        fs.delete(target, True)
-        fs.rename(fs_path(f"{self.root}/_compacting/{kind}"), target)
-        for item in fs.listStatus(fs_path(self.path(kind))):
-            name = item.getPath().getName()
-            if name.startswith("batch=") and COMPACTED < int(name.removeprefix("batch=")) <= last:
-                fs.delete(item.getPath(), True)
+        fs, waiting = fs_path(self.root).getFileSystem(conf), fs_path(f"{self.root}/_compacted/{kind}")
+        if not fs.exists(waiting):
+            return
+        for made in fs.listStatus(waiting):
+            last = int(made.getPath().getName().removeprefix("batch="))
+            if not fs.exists(fs_path(made.getPath(), "_SUCCESS")):
+                fs.delete(made.getPath(), True)
+                continue
+            for item in fs.listStatus(fs_path(self.path(kind))):
+                name = item.getPath().getName()
+                if name.startswith("batch=") and int(name.removeprefix("batch=")) <= last:
+                    fs.delete(item.getPath(), True)
+            fs.rename(made.getPath(), fs_path(f"{self.path(kind)}/batch={COMPACTED}"))

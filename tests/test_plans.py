@@ -71,3 +71,25 @@ def test_against_duckdb(spark, name):
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     expected = sorted(repr([plain(r[k]) for k in order]) for r in result.fetchall())
     assert sorted(repr([plain(v) for v in r]) for r in found.collect()) == expected
+
+
+def test_versions_grow_with_files_and_rows(spark):
+    """No file number or row wraps a version; what does not fit is an error."""
+    from ledgerlake.sources.feed import FRAME_BITS
+
+    places = [(f << FRAME_BITS | k, d, r) for f in (0, 127, 128, 256, 2_000_000) for k in (0, 999) for d, r in ((0, 0), (0, 70_000), (1, 0), (5, 4_000_000))]
+    frame = spark.createDataFrame(places, "arrival_ordinal long, delta_idx long, row_idx long")
+    made = [r.v for r in frame.coalesce(1).select(state.version(F.col("arrival_ordinal"), state.row_sequence(F.col("delta_idx"), F.col("row_idx"))).alias("v")).collect()]
+    assert made == sorted(set(made)) and made[0] >= 0
+    for bad in ((1 << 35, 0, 0), (0, 64, 0), (0, 0, 1 << 22), (-1, 0, 0)):
+        with pytest.raises(Exception, match="beyond"):
+            spark.createDataFrame([bad], frame.schema).select(state.version(F.col("arrival_ordinal"), state.row_sequence(F.col("delta_idx"), F.col("row_idx")))).collect()
+
+
+def test_forks_across_runs(spark):
+
+    heights = [10, 11, 12, 11, 12, 13, 14, 13, 15, 15]
+    rows = spark.createDataFrame(list(enumerate(heights)), "arrival_ordinal long, block_num long")
+    expected = [(k, heights[k], heights[k - 1]) for k in range(1, len(heights)) if heights[k] <= heights[k - 1]]
+    for bits in (0, 1, 2, 14):
+        assert [tuple(r) for r in state.forks(rows, run_bits=bits).orderBy("arrival_ordinal").collect()] == expected

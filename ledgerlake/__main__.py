@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .serve import Service, server
 from .sources import config as configuration
 from .sources import websocket
+from .sources.chain import ChainClient
 from .streaming import runner
 from .streaming.store import Store
 
@@ -48,8 +49,16 @@ def tables(options: argparse.Namespace) -> None:
         runner.start(spark, config, bounded=options.bounded).awaitTermination()
     else:
         store = Store(spark, config.table("").rstrip("/"))
-        head = store.progress().selectExpr("coalesce(max(block_num), 0) AS head", "coalesce(max(block_num), 0) AS lib")
-        server(Service(store.table, head, config.api.max_limit), config.api.host, config.api.port).serve_forever()
+        client = ChainClient(config.chain.http, config.chain.dialect) if config.chain.http else None
+        standing = lambda: standing_of(store, client.info() if client else None)
+        server(Service(store.table, standing, config.api.max_limit), config.api.host, config.api.port).serve_forever()
+
+
+def standing_of(store: Store, info: dict | None) -> DataFrame:
+    """Head and last irreversible block by the chain; without it by what is stored, and then no block counts as irreversible."""
+    if info:
+        return store.spark.createDataFrame([(info["head"], info["lib"])], "head long, lib long")
+    return store.progress().selectExpr("coalesce(max(block_num), 0) AS head", "0L AS lib")
 
 
 if __name__ == "__main__":

@@ -11,8 +11,10 @@ from __future__ import annotations
 import json
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from collections.abc import Callable
 from urllib.parse import parse_qsl, urlsplit
 
+import pyspark
 from pyspark.sql import DataFrame
 
 from .plans import filters, history, state
@@ -23,10 +25,14 @@ class NotFound(LookupError):
 
 
 class Service:
-    """Routes to plans; ``tables`` gives a logical table by name, ``chain`` one row of head and lib."""
+    """Routes to plans; ``tables`` gives a logical table by name, ``chain`` one row of head and lib, or a function that makes it anew."""
 
-    def __init__(self, tables, chain: DataFrame, max_limit: int = filters.MAX_LIMIT):
-        self.tables, self.chain, self.max_limit = tables, chain, max_limit
+    def __init__(self, tables, chain: DataFrame | Callable[[], DataFrame], max_limit: int = filters.MAX_LIMIT):
+        self.tables, self.standing, self.max_limit = tables, chain, max_limit
+
+    @property
+    def chain(self) -> DataFrame:
+        return self.standing() if callable(self.standing) else self.standing
 
     def lib(self) -> int:
         row = self.chain.first()
@@ -104,7 +110,7 @@ class Service:
 
     def health(self, args: dict) -> dict:
         row = self.rows(state.get_health(self.tables("action"), self.chain))[0]
-        return {"version": self.chain.sparkSession.version, "health": row}
+        return {"version": pyspark.__version__, "health": row}
 
     def v1_actions(self, args: dict) -> dict:
         found = history.v1_get_actions(self.tables("action"), self.needed(args, "account_name"), int(args.get("pos", -1)), int(args.get("offset", -20)))

@@ -10,6 +10,9 @@ from dataclasses import dataclass, field, fields
 class Chain:
     name: str = "chain"
     system_account: str = "eosio"
+    #: The node's HTTP interface, which knows head and last irreversible block; none if empty.
+    http: str = ""
+    dialect: str = "rest"
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ import urllib.request
 import pytest
 
 from ledgerlake.operators import ingest, state
+from ledgerlake.__main__ import standing_of
 from ledgerlake.serve import Service, server
 from ledgerlake.sources import config, feed
 from ledgerlake.streaming import runner
@@ -115,3 +116,13 @@ def test_config(tmp_path):
     (tmp_path / "bad.toml").write_text('feed = "a"\nwarehouse = "b"\n[indexer]\nstart = 1\n')
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "bad.toml"))
+
+
+def test_head_and_lib(spark, tmp_path):
+    """The chain's word is asked each time; without it nothing counts as irreversible."""
+    store = Store(spark, str(tmp_path / "store"))
+    store.confirm(0, 70, 5)
+    answers = [{"head": 50, "lib": 40}, {"head": 52, "lib": 41}, None]
+    service = Service(store.table, lambda: standing_of(store, answers.pop(0)))
+    assert [service.lib(), service.lib(), service.lib()] == [40, 41, 0]
+    assert standing_of(store, None).first().asDict() == {"head": 70, "lib": 0}

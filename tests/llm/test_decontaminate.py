@@ -63,3 +63,12 @@ def test_clean(spark):
     assert found == many == {0: "Before it: ! After.", 2: texts[2], 3: None, 4: "ÄÖ " * 30 + " 中文"}
     assert {r.doc_id: r.text for r in d.clean(docs, bench, max_span=20).collect()} == dict(enumerate(texts))
     assert d.clean(docs, bench).columns == docs.columns
+
+
+def test_items_of_one_id_and_groups(spark):
+    passage = " ".join(f"w{k}" for k in range(30))
+    items = spark.createDataFrame([("1", passage), ("1", passage), ("2", "w3 w4 w5"), (None, passage)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "before " + passage + " after"), (2, None), (3, "x " * 20000 + passage)], "doc_id long, text string")
+    whole = [tuple(r) for r in d.scan(docs, items).orderBy("doc_id").select("_scan").collect()]
+    split = [tuple(r) for r in d.scan(docs, items, most=30).orderBy("doc_id").select("_scan").collect()]
+    assert whole == split and whole[0][0]["items"] == ["", "1", "2"] and [(s.start, s.end) for s in whole[2][0]["spans"]] == [(20000, 20030)]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..codec import keys, schema
 from ..codec.cursor import Cursor, DecodeError
+from ..operators import state
 
 
 def _text_or_null(make) -> str | None:
@@ -36,6 +40,43 @@ def decode_row(abi: Column, table: Column, data: Column) -> Column:
     return _named("tables")(abi, table, data)
 
 
+def decode_in_force(probes: DataFrame, versions: DataFrame, section: str, key: str, position: str, name: str, data: str, fallback: DataFrame | None = None, into: str = "data_json") -> DataFrame:
+    """Each probe with its data as JSON text, by the schema of its key in force at its position; null where there is none or it does not decode.
+
+    ``versions`` has the key, the position and ``abi``, null where a schema was removed;
+    ``fallback`` (key, abi) serves positions before any version; a version counts at its
+    own position. Both sides are sorted by key and position and read in one pass, so a
+    schema travels once for each part of a key, not once a row, and a worker holds the one
+    in force. Probes of hot keys are dealt to several tasks (see ``state.spread``).
+    """
+    dealt, copied = state.spread(probes, key, position)
+    known = versions.select(key, position, F.col("abi").alias("_abi"))
+    if fallback is not None:
+        known = known.unionByName(fallback.select(key, F.lit(None).cast(probes.schema[position].dataType).alias(position), F.col("abi").alias("_abi")))
+    rows = dealt.withColumn("_probe", F.lit(True)).unionByName(copied(known).withColumn("_probe", F.lit(False)), allowMissingColumns=True)
+    order = [key, "_part", position, "_probe", "_abi"]
+    # a stated number of partitions, as decoding is work of the processor: sizes would join them to a few
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, key, "_part").sortWithinPartitions(*order)
+    keep = probes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, force = None, None
+        for batch in batches:
+            made = []
+            for k, part, probe, abi, n, d in zip(*(batch.column(c).to_pylist() for c in (key, "_part", "_probe", "_abi", name, data)), strict=True):
+                if (k, part) != at:
+                    at, force = (k, part), None
+                if not probe:
+                    force = None if abi is None else schema.schema_of(abi)
+                else:
+                    made.append(None if force is None or n is None or d is None else _text_or_null(lambda: schema.to_json(force.decode_named(section, n, d))))
+            found = batch.select(keep).filter(batch.column("_probe"))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(made, pa.string())], names=[*keep, into])
+
+    return rows.mapInArrow(run, StructType([*probes.schema.fields]).add(into, "string"))
+
+
 def unpack_schema(data: Column) -> Column:
     """A packed schema as JSON text; null if it isn't one."""
 

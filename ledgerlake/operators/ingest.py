@@ -7,8 +7,8 @@ tables:
 1. the three blobs are decoded in Arrow batches, each block by itself, to flat rows;
 2. traces collapse to actions by one aggregation per (block, transaction, digest);
 3. schema changes, from system actions and account rows, form a timeline per account, and
-   each action and table row meets the schema in force at its position (``state.as_of``);
-4. contract data is decoded in a second pass, only for rows that survived the filters.
+   each action and table row is decoded by the schema in force at its position, in one
+   sorted merge of both (``decoding.decode_in_force``), only for rows that survived the filters.
 
 Positions order everything in a block as the feed does: transactions by index, groups of
 traces by first appearance, then deltas; a schema set by an action counts for its own data.
@@ -235,15 +235,14 @@ def block_tables(raw: DataFrame, fallback: DataFrame | None = None, skip_actions
     of_block = header.select("arrival_ordinal", F.col("timestamp").alias("@timestamp"), "producer")
     actions, changed = hold(collapse(traces(raw), skip_actions)), hold(deltas(raw))
     timeline = schema_timeline(actions, changed)
-    probes = actions.withColumn("position", _position(TRACE_PHASE, "trx_idx", "first_idx"))
-    with_abi = state.as_of(probes, timeline, "account", "position", "abi", fallback, "abi")
-    empty = F.length("data") == 0
-    decoded = F.when(empty, F.lit("{}")).otherwise(decoding.decode_action(F.col("abi"), F.col("name"), F.col("data")))
-    action = typed_extracts(with_abi.withColumn("data_json", decoded)).join(of_block, "arrival_ordinal", "left")
+    probes = actions.drop("status", "trace_idx").withColumn("position", _position(TRACE_PHASE, "trx_idx", "first_idx"))
+    found = decoding.decode_in_force(probes, timeline, "actions", "account", "position", "name", "data", fallback)
+    decoded = found.withColumn("data_json", F.when(F.length("data") == 0, F.lit("{}")).otherwise(F.col("data_json")))
+    action = typed_extracts(decoded).join(of_block, "arrival_ordinal", "left")
     act = F.struct("account", "name", "authorization", F.col("data_json").alias("data"), F.when(F.col("data_json").isNull(), columns.hex_text(F.col("data"))).alias("hex_data"))
     signed = F.when((F.col("creator_action_ordinal") == 0) & (F.size("signatures") > 0), F.col("signatures"))
-    rows = state.as_of(contract_rows(changed).withColumnRenamed("code", "account"), timeline, "account", "position", "abi", fallback, "abi").withColumnRenamed("account", "code")
-    rows = rows.withColumn("data_json", decoding.decode_row(F.col("abi"), F.col("table"), F.col("value")))
+    rows = contract_rows(changed).withColumnRenamed("code", "account")
+    rows = hold(decoding.decode_in_force(rows, timeline, "tables", "account", "position", "table", "value", fallback).withColumnRenamed("account", "code"))
     place = lambda: state.version(F.col("arrival_ordinal"), state.row_sequence(F.col("delta_idx"), F.col("row_idx")))
     abi = account_rows(changed).join(of_block, "arrival_ordinal", "left")
     listed = lambda section: F.from_json(F.get_json_object("abi", f"$.{section}"), "array<struct<name: string>>")["name"]

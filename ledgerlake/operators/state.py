@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,24 +42,53 @@ def latest(changes: DataFrame, key: list[str], order: str = "_version", operatio
     return found.where(F.col("_last")[operation] != "delete").select(*[F.col(f"`{c}`") for c in key], "_last.*")
 
 
+#: So many keys at most are dealt to several parts, each of about so many rows.
+HOT_KEYS = 256
+PART_ROWS = 1_000
+
+
+def spread(probes: DataFrame, key: str, position: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``probes`` with a part ``_part`` of their key, and a function that gives rows of the key's other side to all its parts.
+
+    The HOT_KEYS keys with most probes have a part for each PART_ROWS of them, all others
+    one: such a key has at most one in HOT_KEYS of all probes. So what is broadcast has
+    HOT_KEYS rows, and copies on the other side are as many as there are parts. Rows of
+    keys without probes are left out.
+    """
+    counts = probes.groupBy(key).agg(F.count(F.lit(1)).alias("_probes"))
+    parts = F.ceil(F.col("_probes") / PART_ROWS).cast("int").alias("_parts")
+    hot = F.broadcast(counts.orderBy(F.desc("_probes"), key).limit(HOT_KEYS).select(key, parts).where("_parts > 1"))
+    several = F.coalesce("_parts", F.lit(1))
+    dealt = probes.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(position), several).cast("int")).drop("_parts")
+
+    def copied(rows: DataFrame) -> DataFrame:
+        found = rows.join(counts.select(key), key, "left_semi").join(hot, key, "left")
+        return found.withColumn("_part", F.explode(F.sequence(F.lit(0), several - 1))).drop("_parts")
+
+    return dealt, copied
+
+
 def as_of(probes: DataFrame, versions: DataFrame, key: str, position: str, value: str, fallback: DataFrame | None = None, into: str = "found") -> DataFrame:
     """Each probe with the value of its key in force at its position (a version counts at its own position).
 
     Versions of a key are few against probes: they become one sorted array a key, and each
-    probe picks from its key's array, so probes of a hot key stay spread over tasks. A
-    version with a null value is a tombstone: it hides earlier ones and the fallback,
-    which (columns key and value) otherwise serves keys and positions before any version.
+    probe picks from its key's array; probes of hot keys are dealt to several tasks (see
+    ``spread``). A version with a null value is a tombstone: it hides earlier ones and the
+    fallback, which (columns key and value) otherwise serves keys and positions before any
+    version. Large values, such as schemas to decode by, are better met by a sorted merge:
+    ``functions.decoding.decode_in_force``.
     """
+    probes, copied = spread(probes, key, position)
     lists = versions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).alias("v")))).alias("_all"))
     # a version equal to the one before it changes nothing
-    lists = lists.select(key, F.expr("filter(_all, (x, i) -> i = 0 OR NOT (x.v <=> _all[i - 1].v))").alias("_versions"))
-    joined = probes.join(lists, key, "left")
+    lists = copied(lists.select(key, F.expr("filter(_all, (x, i) -> i = 0 OR NOT (x.v <=> _all[i - 1].v))").alias("_versions")))
+    joined = probes.join(lists, [key, "_part"], "left")
     before = F.filter("_versions", lambda x: x["p"] <= F.col(position))
     joined = joined.withColumn("_at", F.when(F.size(before) > 0, F.element_at(before, -1)))
     if fallback is None:
-        return joined.withColumn(into, F.col("_at.v")).drop("_versions", "_at")
-    joined = joined.join(fallback.select(key, F.col(value).alias("_fallback")), key, "left")
-    return joined.withColumn(into, F.when(F.col("_at").isNull(), F.col("_fallback")).otherwise(F.col("_at.v"))).drop("_versions", "_at", "_fallback")
+        return joined.withColumn(into, F.col("_at.v")).drop("_versions", "_at", "_part")
+    joined = joined.join(copied(fallback.select(key, F.col(value).alias("_fallback"))), [key, "_part"], "left")
+    return joined.withColumn(into, F.when(F.col("_at").isNull(), F.col("_fallback")).otherwise(F.col("_at.v"))).drop("_versions", "_at", "_fallback", "_part")
 
 
 def as_of_by_window(rows: DataFrame, key: str, order: list[str], value: Column, into: str = "found") -> DataFrame:

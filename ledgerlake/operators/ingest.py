@@ -5,7 +5,7 @@ deltas; the last three binary). ``block_tables`` turns a frame of them into the
 tables:
 
 1. the three blobs are decoded in Arrow batches, each block by itself, to flat rows;
-2. traces collapse to actions by one aggregation per (block, transaction, digest);
+2. traces collapse to actions per (block, transaction, digest), in the same batches;
 3. schema changes, from system actions and account rows, form a timeline per account, and
    each action and table row is decoded by the schema in force at its position, in one
    sorted merge of both (``decoding.decode_in_force``), only for rows that survived the filters.
@@ -38,6 +38,10 @@ TRACE = """trx_idx long, trace_idx long, trx_id string, status int, cpu_usage_us
   receiver string, account string, name string, authorization array<struct<actor: string, permission: string>>, data binary,
   act_digest string, global_sequence decimal(20,0), recv_sequence decimal(20,0), auth_sequence array<struct<account: string, sequence: decimal(20,0)>>, code_sequence long, abi_sequence long,
   action_ordinal long, creator_action_ordinal long"""
+ACTION = """trx_idx long, act_digest string, first_idx long, trx_id string, cpu_usage_us long, net_usage_words long, signatures array<string>,
+  account string, name string, authorization array<struct<actor: string, permission: string>>, data binary, global_sequence decimal(20,0), code_sequence long, abi_sequence long,
+  action_ordinal long, creator_action_ordinal long, notified array<string>,
+  receipts array<struct<receiver: string, global_sequence: decimal(20,0), recv_sequence: decimal(20,0), auth_sequence: array<struct<account: string, sequence: decimal(20,0)>>>>"""
 DELTA = "delta_idx long, row_idx long, kind string, present boolean, data binary"
 
 
@@ -93,6 +97,29 @@ def traces(raw: DataFrame) -> DataFrame:
     return _exploded(raw, "traces", _trace_rows, TRACE)
 
 
+#: Fields of a receipt, and of a trace that its group's action does not have.
+RECEIPT_FIELDS = ("receiver", "global_sequence", "recv_sequence", "auth_sequence")
+OF_TRACE = {"receiver", "recv_sequence", "auth_sequence", "status", "trace_idx"}
+
+
+def _action_rows(blob: bytes) -> list[dict]:
+    members: dict[tuple[int, str], list[dict]] = {}
+    for r in _trace_rows(blob):
+        if r["status"] == 0 and r["act_digest"] is not None:
+            members.setdefault((r["trx_idx"], r["act_digest"]), []).append(r)
+    rows = []
+    for found in members.values():
+        primary = next((r for r in found if r["receiver"] == r["account"]), found[0])
+        row = {k: v for k, v in primary.items() if k not in OF_TRACE}
+        rows.append(row | {"first_idx": found[0]["trace_idx"], "notified": [r["receiver"] for r in found], "receipts": [{k: r[k] for k in RECEIPT_FIELDS} for r in found]})
+    return rows
+
+
+def collapsed(raw: DataFrame, skip_actions: list[str] | None = None) -> DataFrame:
+    """The actions of ``collapse(traces(raw))``, grouped where a block is decoded, as a block holds all traces of its transactions: no shuffle."""
+    return _exploded(raw, "traces", _action_rows, ACTION).where(~is_skipped(skip_actions or [], "account", "name"))
+
+
 def deltas(raw: DataFrame) -> DataFrame:
     """One row per changed row of every state table; a blob that does not decode is an error."""
     return _exploded(raw, "deltas", lambda blob: [{"delta_idx": d, "row_idx": k, "kind": x["name"], **r} for d, x in enumerate(wire.deltas(blob)) for k, r in enumerate(x["rows"])], DELTA)
@@ -233,9 +260,9 @@ def block_tables(raw: DataFrame, fallback: DataFrame | None = None, skip_actions
     """
     header = hold(headers(raw))
     of_block = header.select("arrival_ordinal", F.col("timestamp").alias("@timestamp"), "producer")
-    actions, changed = hold(collapse(traces(raw), skip_actions)), hold(deltas(raw))
+    actions, changed = hold(collapsed(raw, skip_actions)), hold(deltas(raw))
     timeline = schema_timeline(actions, changed)
-    probes = actions.drop("status", "trace_idx").withColumn("position", _position(TRACE_PHASE, "trx_idx", "first_idx"))
+    probes = actions.withColumn("position", _position(TRACE_PHASE, "trx_idx", "first_idx"))
     found = decoding.decode_in_force(probes, timeline, "actions", "account", "position", "name", "data", fallback)
     decoded = found.withColumn("data_json", F.when(F.length("data") == 0, F.lit("{}")).otherwise(F.col("data_json")))
     action = typed_extracts(decoded).join(of_block, "arrival_ordinal", "left")

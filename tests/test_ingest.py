@@ -71,6 +71,13 @@ def test_skip_and_primary(spark):
     assert (int(r.global_sequence), r.notified) == (2, ["bob", "c"])
 
 
+def test_collapse_in_place(spark):
+    """Grouping where blocks are decoded gives what the aggregation over traces gives."""
+    raw = feed(spark, [whole_block(40 + k, 1000 + k) for k in range(3)])
+    made, found = ingest.collapsed(raw), ingest.collapse(ingest.traces(raw))
+    assert made.count() == 3 and sorted(map(repr, made.collect())) == sorted(map(repr, found.select(made.columns).collect()))
+
+
 def test_latest_over_arrivals(spark):
     row = lambda present, amount: blobs.delta("contract_row", [(present, blobs.contract_row("tok", "al", "accounts", 1, blobs.asset(amount)))])
     code = blobs.delta("account", [(True, blobs.account_row("tok", blobs.packed_abi(blobs.TOKEN_ABI)))])

@@ -58,13 +58,12 @@ def asset_text(amount: Column, precision: Column, code: Column) -> Column:
 
 def parse_asset(text: Column) -> Column:
     """Struct of amount (bigint units), precision and code; null if the text is no asset."""
-    number, code = F.substring_index(text, " ", 1), F.substring(text, F.instr(text, " ") + 1, F.length(text))
-    whole, part = F.regexp_extract(number, r"^([+-]?[0-9]+)", 1), F.regexp_extract(number, r"[.](.*)$", 1)
-    precision = F.length(part)
-    units = F.try_add(F.abs(whole.cast("decimal(38,0)")) * F.rpad(F.lit("1"), precision + 1, F.lit("0")).cast("decimal(19,0)"), F.coalesce(F.nullif(part, F.lit("")).cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)")))
-    fits = text.rlike("^[+-]?[0-9]{1,19}([.][0-9]*)? [A-Z]{1,7}$") & (precision <= LONGEST_PRECISION)
-    amount = F.when(whole.startswith("-"), -units).otherwise(units)
-    bounded = F.when(fits & (units <= F.lit("9223372036854775807").cast("decimal(38,0)")), amount.cast("long"))
+    number, code = F.substring_index(text, " ", 1), F.substring_index(text, " ", -1)
+    point = F.instr(number, ".")
+    precision = F.when(point > 0, F.length(number) - point).otherwise(0)
+    units = F.replace(number, F.lit("."), F.lit("")).try_cast("long")
+    fits = text.rlike("^[+-]?[0-9]{1,19}([.][0-9]{0,18})? [A-Z]{1,7}$") & (units > F.lit(-(1 << 63)))
+    bounded = F.when(fits, units)
     return F.when(bounded.isNotNull(), F.struct(bounded.alias("amount"), precision.alias("precision"), code.alias("code")))
 
 

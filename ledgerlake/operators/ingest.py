@@ -233,13 +233,15 @@ def contract_rows(changed: DataFrame) -> DataFrame:
 
 def typed_extracts(actions: DataFrame, data: str = "data_json", name: str = "name") -> DataFrame:
     """``@transfer`` and ``@newaccount`` from the decoded data of actions so named, on any contract."""
-    at = lambda path: F.get_json_object(data, f"$.{path}")
-    quantity = columns.parse_asset(at("quantity"))
-    transfer = F.struct(at("from").alias("from"), at("to").alias("to"), columns.asset_number(quantity["amount"], quantity["precision"]).alias("amount"), quantity["code"].alias("symbol"), at("memo").alias("memo"))
-    created = F.coalesce(at("newact"), at("name"))
-    account = F.struct(created.alias("newact"), at("creator").alias("creator"))
-    out = actions.withColumn("@transfer", F.when((F.col(name) == "transfer") & at("from").isNotNull() & at("to").isNotNull(), transfer))
-    return out.withColumn("@newaccount", F.when((F.col(name) == "newaccount") & created.isNotNull(), account))
+    fields = "from string, to string, quantity string, memo string, newact string, name string, creator string"
+    # steps of their own, as the text is parsed once and the asset as well
+    found = actions.withColumn("_d", F.when(F.col(name).isin("transfer", "newaccount"), F.from_json(data, fields)))
+    found = found.withColumn("_q", F.when(F.col(name) == "transfer", columns.parse_asset(F.col("_d.quantity"))))
+    transfer = F.struct("_d.from", "_d.to", columns.asset_number(F.col("_q.amount"), F.col("_q.precision")).alias("amount"), F.col("_q.code").alias("symbol"), "_d.memo")
+    created = F.coalesce("_d.newact", "_d.name")
+    account = F.struct(created.alias("newact"), "_d.creator")
+    out = found.withColumn("@transfer", F.when((F.col(name) == "transfer") & F.col("_d.from").isNotNull() & F.col("_d.to").isNotNull(), transfer))
+    return out.withColumn("@newaccount", F.when((F.col(name) == "newaccount") & created.isNotNull(), account)).drop("_d", "_q")
 
 
 def balances(rows: DataFrame, data: str = "data_json") -> DataFrame:

@@ -1,109 +1,81 @@
-"""The way back: binary feed data from values, for recorded feeds and tests."""
+"""The way back: binary data from values, by the same schemas that decode it (see ``schema`` and ``wire``)."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
+from typing import Any
 
 from .cursor import varuint32
 from .scalars import name_value, symbol_value
-
-TOKEN_ABI = {
-    "version": "eosio::abi/1.1",
-    "types": [],
-    "structs": [
-        {"name": "transfer", "base": "", "fields": [{"name": n, "type": t} for n, t in (("from", "name"), ("to", "name"), ("quantity", "asset"), ("memo", "string"))]},
-        {"name": "account", "base": "", "fields": [{"name": "balance", "type": "asset"}]},
-    ],
-    "actions": [{"name": "transfer", "type": "transfer", "ricardian_contract": ""}],
-    "tables": [{"name": "accounts", "index_type": "i64", "key_names": [], "key_types": [], "type": "account"}],
-    "variants": [],
-}
+from .schema import PACKED, SECTIONS, Schema
+from .wire import WIRE
 
 
-def u(size: int, value: int) -> bytes:
-    return value.to_bytes(size, "little", signed=value < 0)
+def integer(size: int) -> Callable[[int], bytes]:
+    return lambda value: value.to_bytes(size, "little", signed=value < 0)
 
 
 def name(text: str) -> bytes:
-    return u(8, name_value(text))
+    return integer(8)(name_value(text))
 
 
 def block(data: bytes | str) -> bytes:
+    """Bytes, or a text's, after their length."""
     raw = data.encode() if isinstance(data, str) else data
     return varuint32(len(raw)) + raw
 
 
-def many(items: list[bytes]) -> bytes:
-    return varuint32(len(items)) + b"".join(items)
-
-
-def optional(data: bytes | None) -> bytes:
-    return b"\0" if data is None else b"\1" + data
-
-
-def asset(amount: int, symbol: str = "4,EOS") -> bytes:
-    return u(8, amount) + u(8, symbol_value(symbol))
-
-
-def transfer(sender: str, to: str, amount: int, memo: str) -> bytes:
-    return name(sender) + name(to) + asset(amount) + block(memo)
-
-
-def packed_abi(abi: dict) -> bytes:
-    text = lambda d, *keys: b"".join(block(d[k]) for k in keys)
-    structs = [text(s, "name", "base") + many([text(f, "name", "type") for f in s["fields"]]) for s in abi["structs"]]
-    actions = [name(a["name"]) + text(a, "type", "ricardian_contract") for a in abi["actions"]]
-    tables = [name(t["name"]) + block(t["index_type"]) + many([]) + many([]) + block(t["type"]) for t in abi["tables"]]
-    return block(abi["version"]) + many([]) + many(structs) + many(actions) + many(tables) + many([]) * 3 + many([])
-
-
-def action_trace(ordinal: int, creator: int, receiver: str, account: str, act: str, data: bytes, sequence: int | None, digest: str = "dd", version: int = 1) -> bytes:
-    receipt = None if sequence is None else varuint32(0) + name(receiver) + bytes.fromhex(digest * 32) + u(8, sequence) + u(8, 5) + many([name("alice") + u(8, 9)]) + varuint32(1) + varuint32(2)
-    body = name(account) + name(act) + many([name("alice") + name("active")]) + block(data)
-    tail = b"\0" + u(8, 3) + block("") + many([]) + optional(None) + optional(None) + (block(b"") if version else b"")
-    return varuint32(version) + varuint32(ordinal) + varuint32(creator) + optional(receipt) + name(receiver) + body + tail
-
-
-def partial(n_signatures: int = 1) -> bytes:
-    head = varuint32(0) + u(4, 1) + u(2, 2) + u(4, 3) + varuint32(4) + u(1, 5) + varuint32(6) + many([])
-    return head + many([b"\0" + bytes(65)] * n_signatures) + many([])
-
-
-def transaction(actions: list[bytes], trx_id: str = "ee", status: int = 0, signed: bool = True) -> bytes:
-    head = varuint32(0) + bytes.fromhex(trx_id * 32) + u(1, status) + u(4, 150) + varuint32(12) + u(8, 7) + u(8, 96) + b"\0"
-    return head + many(actions) + optional(None) * 4 + optional(partial() if signed else None)
-
-
-def signed_block(slot: int, producer: str = "producer1", receipts: int = 1) -> bytes:
-    head = u(4, slot) + name(producer) + u(2, 0) + bytes(32) * 3 + u(4, 7) + optional(None) + many([]) + b"\0" + bytes(65)
-    return head + many([b"\0" + u(4, 150) + varuint32(12) + varuint32(0) + bytes(32)] * receipts)
-
-
-def delta(kind: str, rows: list[tuple[bool, bytes]]) -> bytes:
-    return varuint32(0) + block(kind) + many([bytes([present]) + block(data) for present, data in rows])
-
-
-def contract_row(code: str, scope: str, table: str, key: int, value: bytes) -> bytes:
-    return varuint32(0) + name(code) + name(scope) + name(table) + u(8, key) + name(scope) + block(value)
-
-
-def account_row(account: str, abi: bytes) -> bytes:
-    return varuint32(0) + name(account) + u(4, 0) + block(abi)
-
-
-def permission_row(owner: str, perm: str, keys: int = 1, accounts: list[tuple[str, str]] | None = None) -> bytes:
-    weights = many([b"\0" + bytes(33) + u(2, 1)] * keys) + many([name(x) + name(p) + u(2, 1) for x, p in accounts or []]) + many([])
-    return varuint32(0) + name(owner) + name(perm) + name("owner") + u(8, 1_500_000) + u(4, 1) + weights
-
-
-def position(num: int, byte: str) -> bytes:
-    return u(4, num) + bytes.fromhex(byte * 32)
-
-
-def frame(num: int, signed: bytes | None, traces: list[bytes], deltas: list[bytes]) -> bytes:
-    blobs = b"".join(optional(None if x is None else block(x)) for x in (signed, many(traces), many(deltas)))
-    return varuint32(1) + position(num + 9, "aa") + position(num - 1, "bb") + optional(position(num, "ab")) + optional(position(num - 1, "ac")) + blobs
+def asset(units: int, symbol: str) -> bytes:
+    return integer(8)(units) + integer(8)(symbol_value(symbol))
+
+
+#: Writers of built-in types. Keys and signatures are given as the bytes they have, times and slots as numbers.
+WRITERS: dict[str, Callable[[Any], bytes]] = {
+    "bool": lambda v: bytes([v]),
+    **{f"{sign}int{n}": integer(n // 8) for sign in ("", "u") for n in (8, 16, 32, 64, 128)},
+    "varuint32": varuint32,
+    "varint32": lambda v: varuint32(v << 1 if v >= 0 else ~(v << 1)),
+    "float32": lambda v: struct.pack("<f", v),
+    "float64": lambda v: struct.pack("<d", v),
+    "time_point": integer(8),
+    "time_point_sec": integer(4),
+    "block_timestamp_type": integer(4),
+    "name": name,
+    "string": block,
+    "bytes": block,
+    "raw": block,
+    **{f"checksum{n}": bytes.fromhex for n in (160, 256, 512)},
+    "public_key": bytes,
+    "signature": bytes,
+    "symbol": lambda v: integer(8)(symbol_value(v)),
+    "asset": lambda v: asset(*v),
+}
 
 
-def f64(value: float) -> bytes:
-    return struct.pack("<d", value)
+def encode(schema: Schema, kind: str, value: Any) -> bytes:
+    """A value of a type of ``schema`` in its binary form; decoding it gives the value's readable form."""
+    if kind.endswith("$"):
+        return b"" if value is None else encode(schema, kind[:-1], value)
+    if kind.endswith("?"):
+        return b"\0" if value is None else b"\1" + encode(schema, kind[:-1], value)
+    if kind.endswith("[]"):
+        return varuint32(len(value)) + b"".join(encode(schema, kind[:-2], v) for v in value)
+    if kind in schema.structs:
+        base, fields = schema.structs[kind]
+        return (encode(schema, base, value) if base else b"") + b"".join(encode(schema, of, value.get(field)) for field, of in fields)
+    if kind in schema.variants:
+        form, inner = value
+        return varuint32(schema.variants[kind].index(form)) + encode(schema, form, inner)
+    return encode(schema, schema.aliases[kind], value) if kind in schema.aliases else WRITERS[kind](value)
+
+
+def wire(kind: str, value: Any) -> bytes:
+    """A value of one of the feed's own types."""
+    return encode(WIRE, kind, value)
+
+
+def packed_schema(spec: dict) -> bytes:
+    """A schema in the packed form of a chain's account rows; sections that it lacks are empty."""
+    filled = {"version": ""} | {k: spec.get(k) or [] for k in (*SECTIONS[1:], "clauses", "messages", "extensions")} | ({"version": spec["version"]} if "version" in spec else {})
+    return encode(PACKED, "schema_def", filled)

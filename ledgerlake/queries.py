@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as a
+from . import samples
 from .codec import pack, schema
 from .functions import columns as c
 from .functions import decoding
@@ -392,10 +393,12 @@ ORDER_ABI = {
 
 
 def _packed_orders(spark: SparkSession, d: str) -> DataFrame:
+    orders = schema.Schema(ORDER_ABI)
+
     @F.arrow_udf("binary")
     def pack_order(key: pa.Array, cust: pa.Array, status: pa.Array, units: pa.Array, at: pa.Array) -> pa.Array:
         rows = zip(*(x.to_pylist() for x in (key, cust, status, units, at)), strict=True)
-        return pa.array([pack.u(8, k) + pack.u(4, c) + pack.block(s) + pack.asset(u, "2,USD") + pack.u(4, t) + pack.many([pack.name("tag"), pack.name(f"o{k % 5 + 1}")]) + pack.optional(pack.block(s) if k % 2 else None) for k, c, s, u, t in rows], type=pa.binary())
+        return pa.array([pack.encode(orders, "order", {"key": k, "cust": c, "status": s, "total": (u, "2,USD"), "at": t, "tags": ["tag", f"o{k % 5 + 1}"], "note": s if k % 2 else None}) for k, c, s, u, t in rows], type=pa.binary())
 
     o = a.read(spark, d, "orders")
     units, at = F.round(F.col("o_totalprice") * 100).cast("long"), (c.micros("o_orderdate") / 1000000).cast("long")
@@ -438,15 +441,15 @@ def d13_decode_or_hex(spark, d):
 def _customer_blocks(spark: SparkSession, d: str) -> DataFrame:
     """A block per customer: its balance row, a transfer with two notifications, a permission; every third repeats a scope."""
     def frames(batches):
-        abi = pack.packed_abi(pack.TOKEN_ABI)
+        abi = samples.packed_abi(samples.TOKEN_ABI)
         for batch in batches:
             made = []
             for key, units in zip(batch.column("k").to_pylist(), batch.column("units").to_pylist(), strict=True):
                 scope = "c" + "".join("abcdefghij"[int(x)] for x in str(key % 100))
-                act = [pack.action_trace(n + 1, 0, r, "tok", "transfer", pack.transfer(scope, "bank", units, "m"), key * 4 + n, "0d") for n, r in enumerate(("tok", scope, "bank"))]
-                rows = [pack.delta("account", [(True, pack.account_row("tok", abi))]), pack.delta("contract_row", [(units >= 0, pack.contract_row("tok", scope, "accounts", key, pack.asset(units)))])]
-                rows.append(pack.delta("permission", [(True, pack.permission_row(scope, "active", accounts=[("bank", "active")]))]))
-                made.append(pack.frame(key, pack.signed_block(key), [pack.transaction(act, f"{key % 256:02x}")], rows))
+                act = [samples.action_trace(n + 1, 0, r, "tok", "transfer", samples.transfer(scope, "bank", units, "m"), key * 4 + n, "0d") for n, r in enumerate(("tok", scope, "bank"))]
+                rows = [samples.delta("account", [(True, samples.account_row("tok", abi))]), samples.delta("contract_row", [(units >= 0, samples.contract_row("tok", scope, "accounts", key, samples.asset(units)))])]
+                rows.append(samples.delta("permission", [(True, samples.permission_row(scope, "active", accounts=[("bank", "active")]))]))
+                made.append(samples.frame(key, samples.signed_block(key, "maker" + "abcde"[key % 5], key % 3, 100 + key % 400, 1 + key % 50), [samples.transaction(act, f"{key % 256:02x}")], rows))
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(made, pa.binary())], names=["arrival_ordinal", "frame"])
 
     keyed = a.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.round(F.col("c_acctbal") * 100).cast("long").alias("units"))
@@ -460,7 +463,7 @@ SCOPE = "'c' || translate(CAST(c_custkey % 100 AS VARCHAR), '0123456789', 'abcde
 def t7_ingest_actions(spark, d):
     """Frames to actions: decoded, collapsed, with the schema in force, and typed."""
     on_workers(spark)
-    code = spark.createDataFrame([("tok", schema.to_json(pack.TOKEN_ABI))], "account string, abi string")
+    code = spark.createDataFrame([("tok", schema.to_json(samples.TOKEN_ABI))], "account string, abi string")
     found = ingest.block_tables(_customer_blocks(spark, d), code)["action"]
     return found.select("block_num", F.col("global_sequence").cast("long").alias("global_sequence"), F.array_join("notified", ",").alias("notified"), F.col("`@transfer`.from").alias("sender"), F.col("`@transfer`.amount").alias("amount"), F.col("@timestamp").alias("ts_text"), F.size("signatures").alias("signatures"))
 
@@ -478,7 +481,7 @@ def t12_ingest_permissions(spark, d):
     return state.latest(ingest.block_tables(_customer_blocks(spark, d))["perm"], ingest.KEYS["perm"]).select("owner", "block_num", F.array_join("accounts", ",").alias("accounts"))
 
 
-@query("SELECT c_custkey AS block_num, 'producer1' AS producer, CAST(1 AS BIGINT) AS trx_count, CAST(150 AS BIGINT) AS cpu_usage_us, CAST(12 AS BIGINT) AS net_usage_words FROM customer", views=False)
+@query("SELECT c_custkey AS block_num, 'maker' || substr('abcde', CAST(c_custkey % 5 AS INTEGER) + 1, 1) AS producer, c_custkey % 3 AS trx_count, (c_custkey % 3) * (100 + c_custkey % 400) AS cpu_usage_us, (c_custkey % 3) * (1 + c_custkey % 50) AS net_usage_words FROM customer", views=False)
 def t2_ingest_blocks(spark, d):
     on_workers(spark)
     return ingest.block_tables(_customer_blocks(spark, d))["block"].select("block_num", "producer", "trx_count", "cpu_usage_us", "net_usage_words")

@@ -3,7 +3,8 @@ import json
 import pytest
 
 from ledgerlake.operators import ingest, state
-from ledgerlake.codec import pack as blobs
+from ledgerlake import samples as blobs
+from ledgerlake.codec import pack
 
 
 def feed(spark, frames):
@@ -11,12 +12,12 @@ def feed(spark, frames):
 
 
 def whole_block(num=42, slot=1000):
-    moves = [blobs.action_trace(k + 1, 0, r, "eosio.token", "transfer", blobs.transfer("alice", "bob", 10000, "hi"), 777 + k) for k, r in enumerate(("eosio.token", "alice", "bob"))]
+    moves = [blobs.action_trace(k + 1, 0, r, "coin.vault", "transfer", blobs.transfer("ada", "ben", 10000, "rent"), 5150 + k) for k, r in enumerate(("coin.vault", "ada", "ben"))]
     failed = blobs.transaction([blobs.action_trace(1, 0, "x", "x", "y", b"", 900, "cc")], "ff", status=1)
     rows = [
         blobs.delta("account", [(True, blobs.account_row("other", blobs.packed_abi(blobs.TOKEN_ABI))), (True, b"\7")]),
-        blobs.delta("permission", [(True, blobs.permission_row("bob", "active", accounts=[("carol", "active")]))]),
-        blobs.delta("contract_row", [(True, b"\7"), (True, blobs.contract_row("eosio.token", "alice", "accounts", 5, blobs.asset(123456))), (False, blobs.contract_row("unknown", "z", "t", 2**64 - 1, b"\1\2"))]),
+        blobs.delta("permission", [(True, blobs.permission_row("ben", "active", accounts=[("cleo", "active")]))]),
+        blobs.delta("contract_row", [(True, b"\7"), (True, blobs.contract_row("coin.vault", "ada", "accounts", 5, blobs.asset(712500))), (False, blobs.contract_row("unknown", "z", "t", 2**64 - 1, b"\1\2"))]),
         blobs.delta("ignored", [(True, b"")]),
     ]
     return blobs.frame(num, blobs.signed_block(slot), [blobs.transaction(moves), failed], rows)
@@ -24,29 +25,29 @@ def whole_block(num=42, slot=1000):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    fallback = spark.createDataFrame([("eosio.token", json.dumps(blobs.TOKEN_ABI))], "account string, abi string")
+    fallback = spark.createDataFrame([("coin.vault", json.dumps(blobs.TOKEN_ABI))], "account string, abi string")
     return {k: [r.asDict(True) for r in v.collect()] for k, v in ingest.block_tables(feed(spark, [whole_block()]), fallback).items()}
 
 
 def test_action(tables):
     (a,) = tables["action"]
-    assert (a["global_sequence"], a["block_num"], a["@timestamp"], a["producer"]) == (777, 42, "2000-01-01T00:08:20.000", "producer1")
-    assert a["notified"] == ["eosio.token", "alice", "bob"] and [r["global_sequence"] for r in a["receipts"]] == [777, 778, 779]
-    assert json.loads(a["act"]["data"]) == {"from": "alice", "to": "bob", "quantity": "1.0000 EOS", "memo": "hi"} and a["act"]["hex_data"] is None
-    assert a["@transfer"] == {"from": "alice", "to": "bob", "amount": 1.0, "symbol": "EOS", "memo": "hi"} and a["@newaccount"] is None
-    assert a["signatures"][0].startswith("SIG_K1_") and a["trx_id"] == "ee" * 32 and a["act"]["authorization"] == [{"actor": "alice", "permission": "active"}]
+    assert (a["global_sequence"], a["block_num"], a["@timestamp"], a["producer"]) == (5150, 42, "2000-01-01T00:08:20.000", "millstone")
+    assert a["notified"] == ["coin.vault", "ada", "ben"] and [r["global_sequence"] for r in a["receipts"]] == [5150, 5151, 5152]
+    assert json.loads(a["act"]["data"]) == {"from": "ada", "to": "ben", "quantity": "1.0000 ORE", "memo": "rent"} and a["act"]["hex_data"] is None
+    assert a["@transfer"] == {"from": "ada", "to": "ben", "amount": 1.0, "symbol": "ORE", "memo": "rent"} and a["@newaccount"] is None
+    assert a["signatures"][0].startswith("SIG_K1_") and a["trx_id"] == "5e" * 32 and a["act"]["authorization"] == [{"actor": "ada", "permission": "active"}]
 
 
 def test_block_and_state(tables):
     (b,) = tables["block"]
-    assert (b["block_num"], b["trx_count"], b["cpu_usage_us"], b["net_usage_words"], b["schedule_version"]) == (42, 1, 150, 12, 7)
+    assert (b["block_num"], b["trx_count"], b["cpu_usage_us"], b["net_usage_words"], b["schedule_version"]) == (42, 1, 410, 23, 3)
     first, second = sorted(tables["delta"], key=lambda r: r["ordinal"])
-    assert (first["ordinal"], json.loads(first["data"]), first["value_hex"]) == (0, {"balance": "12.3456 EOS"}, None)
+    assert (first["ordinal"], json.loads(first["data"]), first["value_hex"]) == (0, {"balance": "71.2500 ORE"}, None)
     assert (second["ordinal"], second["data"], second["value_hex"], second["primary_key"], second["present"]) == (1, None, "0102", str(2**64 - 1), False)
     (t,) = tables["token"]
-    assert (t["scope"], t["symbol"], t["precision"], t["amount"], t["_op"]) == ("alice", "EOS", 4, 12.3456, "index")
+    assert (t["scope"], t["symbol"], t["precision"], t["amount"], t["_op"]) == ("ada", "ORE", 4, 71.25, "index")
     (p,) = tables["perm"]
-    assert (p["owner"], p["name"], p["accounts"], len(p["keys"]), p["last_updated"]) == ("bob", "active", ["carol@active"], 1, "1970-01-01T00:00:01.500")
+    assert (p["owner"], p["name"], p["accounts"], len(p["keys"]), p["last_updated"]) == ("ben", "active", ["cleo@active"], 1, "1970-01-02T00:00:00.250")
     (x,) = tables["abi"]
     assert (x["account"], x["actions"], x["tables"]) == ("other", ["transfer"], ["accounts"])
 
@@ -54,7 +55,7 @@ def test_block_and_state(tables):
 def test_schema_in_force(spark):
     """A schema set by an action counts for later actions; empty bytes remove it, also against the fallback."""
     move = lambda seq, d: blobs.action_trace(1, 0, "tok", "tok", "transfer", blobs.transfer("a", "b", 1, ""), seq, d)
-    code = lambda seq, d, abi: blobs.action_trace(1, 0, "eosio", "eosio", "setabi", blobs.name("tok") + blobs.block(abi), seq, d)
+    code = lambda seq, d, abi: blobs.action_trace(1, 0, "eosio", "eosio", "setabi", pack.name("tok") + pack.block(abi), seq, d)
     packed = blobs.packed_abi(blobs.TOKEN_ABI)
     one = blobs.transaction([move(1, "01"), code(2, "02", packed), move(3, "03"), code(4, "04", b""), move(5, "05")])
     two = blobs.frame(2, None, [blobs.transaction([move(6, "06")])], [blobs.delta("account", [(True, blobs.account_row("tok", packed)), (False, blobs.account_row("tok", b""))])])
@@ -65,10 +66,10 @@ def test_schema_in_force(spark):
 
 
 def test_skip_and_primary(spark):
-    traces = [blobs.action_trace(1, 0, "bob", "c", "act", b"", 1), blobs.action_trace(2, 0, "c", "c", "act", b"", 2), blobs.action_trace(3, 0, "c", "c", "noisy", b"", 3, "ab"), blobs.action_trace(4, 0, "c", "c", "plain", b"", None, "ac")]
+    traces = [blobs.action_trace(1, 0, "ben", "c", "act", b"", 1), blobs.action_trace(2, 0, "c", "c", "act", b"", 2), blobs.action_trace(3, 0, "c", "c", "noisy", b"", 3, "ab"), blobs.action_trace(4, 0, "c", "c", "plain", b"", None, "4d")]
     raw = feed(spark, [blobs.frame(1, blobs.signed_block(1), [blobs.transaction(traces, signed=False)], [])])
     (r,) = ingest.collapse(ingest.traces(raw), ["c::noisy"]).collect()
-    assert (int(r.global_sequence), r.notified) == (2, ["bob", "c"])
+    assert (int(r.global_sequence), r.notified) == (2, ["ben", "c"])
 
 
 def test_collapse_in_place(spark):

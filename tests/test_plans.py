@@ -8,7 +8,7 @@ from ledgerlake.functions import columns as c
 from ledgerlake.functions import decoding
 from ledgerlake.operators import state
 from ledgerlake.plans import filters, history
-from ledgerlake.codec import pack as blobs
+from ledgerlake import samples as blobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,7 +40,7 @@ def test_sql_functions(spark):
     decoding.register(spark)
     spark.createDataFrame([(json.dumps(blobs.TOKEN_ABI), "accounts", bytearray(blobs.asset(1)), bytearray(34)), (None, "x", bytearray(b""), None)], "abi string, t string, d binary, k binary").createOrReplaceTempView("coded")
     found = spark.sql("SELECT decode_row(abi, t, d) AS d, public_key_text(k) AS k FROM coded").collect()
-    assert sorted((r.d or "", r.k or "") for r in found) == [("", ""), ('{"balance":"0.0001 EOS"}', "PUB_K1_11111111111111111111111111111111149Mr2R")]
+    assert sorted((r.d or "", r.k or "") for r in found) == [("", ""), ('{"balance":"0.0001 ORE"}', "PUB_K1_11111111111111111111111111111111149Mr2R")]
 
 
 def test_as_of_edges(spark):

@@ -7,7 +7,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
-from ledgerlake.codec import pack as blobs
+from ledgerlake import samples as blobs
 from ledgerlake.codec.cursor import Cursor, varuint32
 from ledgerlake.sources import chain, feed, websocket
 

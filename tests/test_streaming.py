@@ -11,18 +11,19 @@ from ledgerlake.serve import Service, server
 from ledgerlake.sources import config, feed
 from ledgerlake.streaming import runner
 from ledgerlake.streaming.store import Store
-from ledgerlake.codec import pack as blobs
+from ledgerlake import samples as blobs
+from ledgerlake.codec import keys
 from tests.test_ingest import whole_block
 
 
 def balance(num, amount, present=True):
-    return blobs.frame(num, blobs.signed_block(num), [], [blobs.delta("contract_row", [(present, blobs.contract_row("eosio.token", "alice", "accounts", 5, blobs.asset(amount)))])])
+    return blobs.frame(num, blobs.signed_block(num), [], [blobs.delta("contract_row", [(present, blobs.contract_row("coin.vault", "ada", "accounts", 5, blobs.asset(amount)))])])
 
 
 @pytest.fixture
 def setup(spark, tmp_path):
     (tmp_path / "feed").mkdir()
-    code = blobs.frame(41, blobs.signed_block(999), [], [blobs.delta("account", [(True, blobs.account_row("eosio.token", blobs.packed_abi(blobs.TOKEN_ABI)))])])
+    code = blobs.frame(41, blobs.signed_block(999), [], [blobs.delta("account", [(True, blobs.account_row("coin.vault", blobs.packed_abi(blobs.TOKEN_ABI)))])])
     feed.write_frames(str(tmp_path / "feed" / "0001"), [code, whole_block(42), balance(43, 20000)])
     feed.write_frames(str(tmp_path / "feed" / "0002"), [balance(44, 30000), whole_block(45, 1003)])
     feed.register(spark)
@@ -39,7 +40,7 @@ def test_batch_source(spark, setup):
     read = lambda **o: [r.block_num for r in spark.read.format("block_feed").options(**o).load(setup.feed).orderBy("arrival_ordinal").collect()]
     assert read() == [41, 42, 43, 44, 45] and read(startBlock="43", stopBlock="44") == [43, 44] and read(irreversibleOnly="true") == [41, 42, 43, 44, 45][:0]
     (r,) = spark.read.format("block_feed").options(startBlock="42", stopBlock="42", fetchTraces="false").load(setup.feed).collect()
-    assert r.traces is None and r.deltas is not None and r.prev_id == "ac" * 32
+    assert r.traces is None and r.deltas is not None and r.prev_id == "4d" * 32
 
 
 def test_stream_equals_batch_and_resumes(spark, setup):
@@ -51,7 +52,7 @@ def test_stream_equals_batch_and_resumes(spark, setup):
     assert store.table("action").count() == 1 and store.table("block").count() == 5
     for kind in ("perm", "token"):
         assert rows(store.table(kind)) == rows(state.latest(whole[kind], ingest.KEYS[kind])), kind
-    assert [r.amount for r in store.table("token").collect()] == [12.3456] and store.confirmed() == 0
+    assert [r.amount for r in store.table("token").collect()] == [71.25] and store.confirmed() == 0
     feed.write_frames(f"{setup.feed}/0003", [balance(46, 1, present=False)])
     runner.start(spark, setup, bounded=True).awaitTermination()
     assert store.table("token").count() == 0 and store.confirmed() == 1
@@ -94,20 +95,21 @@ def test_service(spark, setup):
         except urllib.error.HTTPError as e:
             return e.code, json.load(e)
 
-    status, found = ask("/v2/history/get_actions?account=alice&filter=eosio.token:transfer&transfer.memo=HI&limit=5")
-    assert status == 200 and found["lib"] == 40 and found["total"] == {"value": 1, "relation": "eq"} and found["actions"][0]["notified"] == ["eosio.token", "alice", "bob"]
+    status, found = ask("/v2/history/get_actions?account=ada&filter=coin.vault:transfer&transfer.memo=RENT&limit=5")
+    assert status == 200 and found["lib"] == 40 and found["total"] == {"value": 1, "relation": "eq"} and found["actions"][0]["notified"] == ["coin.vault", "ada", "ben"]
     assert ask("/v2/history/get_actions?sort=up")[0] == 400 and ask("/v2/history/get_actions?filter=x")[0] == 400 and ask("/nothing")[0] == 404
-    assert ask(f"/v2/history/get_transaction?id={'EE' * 32}")[1]["executed"] and not ask("/v2/history/get_transaction?id=00")[1]["executed"]
-    assert len(ask("/v2/history/get_deltas?code=eosio.token&present=true")[1]["deltas"]) == 4
+    assert ask(f"/v2/history/get_transaction?id={'5E' * 32}")[1]["executed"] and not ask("/v2/history/get_transaction?id=00")[1]["executed"]
+    assert len(ask("/v2/history/get_deltas?code=coin.vault&present=true")[1]["deltas"]) == 4
     assert ask("/v2/history/get_abi_snapshot?contract=other&block=41")[1]["present"] is False and ask("/v2/history/get_abi_snapshot?contract=other")[1]["abi"]["actions"][0]["name"] == "transfer"
     assert ask("/v2/history/get_creator?account=x")[0] == 404 and ask("/v2/history/get_created_accounts?account=x")[1]["accounts"] == []
-    key = "EOS1111111111111111111111111111111114T1Anm"
-    assert ask(f"/v2/state/get_key_accounts?public_key={key}")[1]["account_names"] == ["bob"] == ask("/v1/history/get_key_accounts", {"public_key": key})[1]["account_names"]
-    assert ask("/v1/history/get_controlled_accounts", {"controlling_account": "carol"})[1]["controlled_accounts"] == ["bob"]
-    account = ask("/v2/state/get_account?account=alice")[1]
-    assert account["total_actions"] == 1 and account["tokens"][0]["contract"] == "eosio.token" and account["permissions"] == []
-    assert ask("/v1/history/get_actions", {"account_name": "bob"})[1]["actions"][0]["account_action_seq"] == 0
-    assert ask("/v1/history/get_transaction", {"id": "ee" * 32})[1]["traces"][0]["receipt_sequence"] == 777 and ask("/v1/history/get_transaction", {"id": "0"})[0] == 404
+    bare = blobs.PUBLIC_KEY[1:]
+    key = "ORE" + keys.base58(bare + keys.checksum(bare))
+    assert ask(f"/v2/state/get_key_accounts?public_key={key}")[1]["account_names"] == ["ben"] == ask("/v1/history/get_key_accounts", {"public_key": key})[1]["account_names"]
+    assert ask("/v1/history/get_controlled_accounts", {"controlling_account": "cleo"})[1]["controlled_accounts"] == ["ben"]
+    account = ask("/v2/state/get_account?account=ada")[1]
+    assert account["total_actions"] == 1 and account["tokens"][0]["contract"] == "coin.vault" and account["permissions"] == []
+    assert ask("/v1/history/get_actions", {"account_name": "ben"})[1]["actions"][0]["account_action_seq"] == 0
+    assert ask("/v1/history/get_transaction", {"id": "5e" * 32})[1]["traces"][0]["receipt_sequence"] == 5150 and ask("/v1/history/get_transaction", {"id": "0"})[0] == 404
     assert ask("/v2/health")[1]["health"]["lag"] == 5 and ask("/")[1]["engine"] == "spark"
     http.shutdown()
 

@@ -311,7 +311,11 @@ def t13_delta_ordinal(spark, d):
 
 @query("SELECT event_id, (user_id << 28) | ((event_id % 60) << 22) | event_id AS version FROM events", views=False)
 def t16_doc_version(spark, d):
-    return a.read(spark, d, "events").select("event_id", state.version(F.col("user_id"), state.row_sequence(F.col("event_id") % 60, F.col("event_id"))).alias("version"))
+    # ids of any size in one layout of bits: what is beyond a row's bits belongs to the delta's, and what is beyond those to the place
+    e, rows, sequences = F.col("event_id"), state.ROW_BITS, state.SEQUENCE_BITS
+    delta = (e % 60).bitwiseOR(F.shiftright(e, rows)).bitwiseAND((1 << sequences - rows) - 1)
+    place = F.col("user_id").bitwiseOR(F.shiftright(e, sequences))
+    return a.read(spark, d, "events").select("event_id", state.version(place, state.row_sequence(delta, e.bitwiseAND((1 << rows) - 1))).alias("version"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL", views=False)

@@ -86,6 +86,18 @@ def test_versions_grow_with_files_and_rows(spark):
             spark.createDataFrame([bad], frame.schema).select(state.version(F.col("arrival_ordinal"), state.row_sequence(F.col("delta_idx"), F.col("row_idx")))).collect()
 
 
+def test_document_versions_of_large_ids(spark, tmp_path):
+    """Event ids beyond a row's 22 bits, and beyond a sequence's 28, give the version that the SQL states."""
+    import duckdb
+
+    ids = [0, 59, (1 << 22) - 1, 1 << 22, 5_999_999, (1 << 28) - 1, (1 << 28) + 7, (1 << 33) + 12345, None]
+    spark.createDataFrame([(e, u) for e in ids for u in (0, 1, 89_999, None)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    found = [tuple(r) for r in queries.QUERIES["t16_doc_version"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(repr, found)) == sorted(map(repr, con.sql(queries.ORACLE_SQL["t16_doc_version"]).fetchall()))
+
+
 def test_forks_across_runs(spark):
 
     heights = [10, 11, 12, 11, 12, 13, 14, 13, 15, 15]

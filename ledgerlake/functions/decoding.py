@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,24 +41,26 @@ def decode_row(abi: Column, table: Column, data: Column) -> Column:
     return _named("tables")(abi, table, data)
 
 
-def decode_in_force(probes: DataFrame, versions: DataFrame, section: str, key: str, position: str, name: str, data: str, fallback: DataFrame | None = None, into: str = "data_json") -> DataFrame:
+def decode_in_force(probes: DataFrame, versions: DataFrame, section: str, key: str, position: str, place: Column, name: str, data: str, fallback: DataFrame | None = None, into: str = "data_json") -> DataFrame:
     """Each probe with its data as JSON text, by the schema of its key in force at its position; null where there is none or it does not decode.
 
     ``versions`` has the key, the position and ``abi``, null where a schema was removed;
     ``fallback`` (key, abi) serves positions before any version; a version counts at its
     own position. Both sides are sorted by key and position and read in one pass, so a
     schema travels once for each part of a key, not once a row, and a worker holds the one
-    in force. Probes of hot keys are dealt to several tasks (see ``state.spread``).
+    in force. Probes of hot keys are dealt to several tasks by ranges of ``place``, a
+    number that orders as the position does (see ``state.ranges``).
     """
-    dealt, copied = state.spread(probes, key, position)
+    # a stated number of partitions, as decoding is work of the processor: sizes would join them to a few
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, met = state.ranges(probes, key, place, tasks)
     known = versions.select(key, position, F.col("abi").alias("_abi"))
     if fallback is not None:
         known = known.unionByName(fallback.select(key, F.lit(None).cast(probes.schema[position].dataType).alias(position), F.col("abi").alias("_abi")))
-    rows = dealt.withColumn("_probe", F.lit(True)).unionByName(copied(known).withColumn("_probe", F.lit(False)), allowMissingColumns=True)
+    rows = dealt.withColumn("_probe", F.lit(True)).unionByName(met(known, position, "_abi").withColumn("_probe", F.lit(False)), allowMissingColumns=True)
     order = [key, "_part", position, "_probe", "_abi"]
-    # a stated number of partitions, as decoding is work of the processor: sizes would join them to a few
-    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(tasks, key, "_part").sortWithinPartitions(*order)
+    # the parts of a key go to tasks one after the other, so no two meet before all tasks have one
+    rows = rows.repartitionById(tasks, F.pmod(F.hash(key).cast("long") + F.col("_part"), F.lit(tasks)).cast("int")).sortWithinPartitions(*order)
     keep = probes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +80,18 @@ def decode_in_force(probes: DataFrame, versions: DataFrame, section: str, key: s
     return rows.mapInArrow(run, StructType([*probes.schema.fields]).add(into, "string"))
 
 
+@lru_cache(512)
+def _unpacked(data: bytes) -> str | None:
+    found = schema.unpacked_schema(data)
+    return None if found is None else schema.to_json(found)
+
+
 def unpack_schema(data: Column) -> Column:
     """A packed schema as JSON text; null if it isn't one."""
 
     @F.arrow_udf("string")
     def run(found: pa.Array) -> pa.Array:
-        return pa.array([schema.to_json(x) if d and (x := schema.unpacked_schema(d)) is not None else None for d in found.to_pylist()], type=pa.string())
+        return pa.array([_unpacked(d) if d else None for d in found.to_pylist()], type=pa.string())
 
     return run(data)
 

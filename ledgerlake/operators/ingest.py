@@ -42,22 +42,33 @@ ACTION = """trx_idx long, act_digest string, first_idx long, trx_id string, cpu_
   account string, name string, authorization array<struct<actor: string, permission: string>>, data binary, global_sequence decimal(20,0), code_sequence long, abi_sequence long,
   action_ordinal long, creator_action_ordinal long, notified array<string>,
   receipts array<struct<receiver: string, global_sequence: decimal(20,0), recv_sequence: decimal(20,0), auth_sequence: array<struct<account: string, sequence: decimal(20,0)>>>>"""
-DELTA = "delta_idx long, row_idx long, kind string, present boolean, data binary"
+DELTA = """delta_idx long, row_idx long, kind string, present boolean, data binary, ordinal long,
+  contract struct<code: string, scope: string, table: string, primary_key: string, payer: string, value: binary>"""
+#: Blobs whose rows are Python objects at a time.
+STEP = 128
+KEEP = ["arrival_ordinal", "block_num", "block_id"]
 
 
-def _exploded(raw: DataFrame, column: str, rows_of, ddl: str) -> DataFrame:
-    """Each raw block with an array of decoded rows, exploded."""
+def _rows_of(column: str, rows_of, ddl: str):
+    """The decoded rows of a blob, as an array; none of a null."""
 
     @F.arrow_udf(f"array<struct<{ddl_fields(ddl)}>>")
     def run(blobs: pa.Array) -> pa.Array:
-        return pa.array([rows_of(x) if x is not None else [] for x in blobs.to_pylist()], type=target)
+        # few blobs at a time: many rows held as objects keep Python's garbage collector busy
+        parts = [blobs.slice(k, STEP).to_pylist() for k in range(0, len(blobs), STEP)]
+        made = [pa.array([rows_of(x) if x is not None else [] for x in part], type=target) for part in parts]
+        return pa.concat_arrays(made) if made else pa.array([], type=target)
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import ArrayType, StructType
 
     target = to_arrow_type(ArrayType(StructType.fromDDL(ddl)))
-    keep = ["arrival_ordinal", "block_num", "block_id"]
-    return raw.where(F.col("block_num").isNotNull()).select(*keep, F.explode(run(F.col(column))).alias("r")).select(*keep, "r.*")
+    return run(F.col(column))
+
+
+def _exploded(raw: DataFrame, column: str, rows_of, ddl: str) -> DataFrame:
+    """Each raw block with an array of decoded rows, exploded."""
+    return raw.where(F.col("block_num").isNotNull()).select(*KEEP, F.explode(_rows_of(column, rows_of, ddl)).alias("r")).select(*KEEP, "r.*")
 
 
 def ddl_fields(ddl: str) -> str:
@@ -120,9 +131,30 @@ def collapsed(raw: DataFrame, skip_actions: list[str] | None = None) -> DataFram
     return _exploded(raw, "traces", _action_rows, ACTION).where(~is_skipped(skip_actions or [], "account", "name"))
 
 
+def _delta_rows(blob: bytes) -> list[dict]:
+    rows, decoded = [], 0
+    for d, changed in enumerate(wire.deltas(blob)):
+        kind = changed["name"]
+        for k, r in enumerate(changed["rows"]):
+            row = {"delta_idx": d, "row_idx": k, "kind": kind, "present": r["present"]}
+            found = wire.row("contract_row", r["data"]) if kind == "contract_row" else None
+            if found:
+                found["primary_key"] = str(found["primary_key"])
+                row |= {"contract": found, "ordinal": decoded}
+                decoded += 1
+            else:
+                row["data"] = r["data"]
+            rows.append(row)
+    return rows
+
+
 def deltas(raw: DataFrame) -> DataFrame:
-    """One row per changed row of every state table; a blob that does not decode is an error."""
-    return _exploded(raw, "deltas", lambda blob: [{"delta_idx": d, "row_idx": k, "kind": x["name"], **r} for d, x in enumerate(wire.deltas(blob)) for k, r in enumerate(x["rows"])], DELTA)
+    """One row per changed row of every state table; a blob that does not decode is an error.
+
+    A contract's row comes as its fields in ``contract``, instead of bytes in ``data``,
+    with its ordinal: the count, in its block, of such rows that decoded before.
+    """
+    return _exploded(raw, "deltas", _delta_rows, DELTA)
 
 
 def _header_row(blob: bytes) -> list[dict]:
@@ -196,8 +228,9 @@ def account_rows(changed: DataFrame) -> DataFrame:
         rows = (wire.row("account", d) for d in found.to_pylist())
         return pa.array([{"account": r["name"], "packed": r["abi"]} if r and r["abi"] else None for r in rows], type=kind)
 
-    found = changed.where("kind = 'account' AND present").select("arrival_ordinal", "block_num", "delta_idx", "row_idx", _position(DELTA_PHASE, "delta_idx", "row_idx").alias("position"), parsed("data").alias("r")).where("r IS NOT NULL")
-    return found.select("arrival_ordinal", "block_num", "delta_idx", "row_idx", "position", "r.account", decoding.unpack_schema(F.col("r.packed")).alias("abi")).where("abi IS NOT NULL")
+    of = [f"`{c}`" for c in changed.columns if c in ("@timestamp", "arrival_ordinal", "block_num", "delta_idx", "row_idx")]
+    found = changed.where("kind = 'account' AND present").select(*of, _position(DELTA_PHASE, "delta_idx", "row_idx").alias("position"), parsed("data").alias("r")).where("r IS NOT NULL")
+    return found.select(*of, "position", "r.account", decoding.unpack_schema(F.col("r.packed")).alias("abi")).where("abi IS NOT NULL")
 
 
 def permission_rows(changed: DataFrame) -> DataFrame:
@@ -216,19 +249,9 @@ def permission_rows(changed: DataFrame) -> DataFrame:
 
 
 def contract_rows(changed: DataFrame) -> DataFrame:
-    """Changed rows of contracts with their ordinal: the count, in their block, of such rows that decoded before."""
-    from pyspark.sql import Window as W
-
-    kind = pa.struct([("code", pa.string()), ("scope", pa.string()), ("table", pa.string()), ("primary_key", pa.string()), ("payer", pa.string()), ("value", pa.binary())])
-
-    @F.arrow_udf("code string, scope string, table string, primary_key string, payer string, value binary")
-    def parsed(found: pa.Array) -> pa.Array:
-        rows = (wire.row("contract_row", d) for d in found.to_pylist())
-        return pa.array([r and r | {"primary_key": str(r["primary_key"])} for r in rows], type=kind)
-
-    found = changed.where("kind = 'contract_row'").withColumn("r", parsed("data")).where("r IS NOT NULL")
-    ordinal = F.row_number().over(W.partitionBy("arrival_ordinal").orderBy("delta_idx", "row_idx")) - 1
-    return found.select("arrival_ordinal", "block_num", "block_id", "delta_idx", "row_idx", "present", _position(DELTA_PHASE, "delta_idx", "row_idx").alias("position"), "r.*", ordinal.cast("long").alias("ordinal"))
+    """Changed rows of contracts that decoded, with their ordinal."""
+    kept = [c for c in changed.columns if c not in ("kind", "data", "contract")]
+    return changed.where("contract IS NOT NULL").select(*kept, _position(DELTA_PHASE, "delta_idx", "row_idx").alias("position"), "contract.*")
 
 
 def typed_extracts(actions: DataFrame, data: str = "data_json", name: str = "name") -> DataFrame:
@@ -252,6 +275,12 @@ def balances(rows: DataFrame, data: str = "data_json") -> DataFrame:
     return found.select("arrival_ordinal", "delta_idx", "row_idx", "block_num", "code", "scope", F.col("_a.code").alias("symbol"), F.col("_a.precision").alias("precision"), number.alias("amount"), F.when(F.col("present"), F.lit("index")).otherwise(F.lit("delete")).alias("_op"))
 
 
+def decoded(raw: DataFrame) -> DataFrame:
+    """Raw blocks with their three blobs as arrays of rows ``header``, ``actions`` and ``changes``, in one pass; what is not used later is not decoded."""
+    of = [_rows_of("block", _header_row, HEADER).alias("header"), _rows_of("traces", _action_rows, ACTION).alias("actions"), _rows_of("deltas", _delta_rows, DELTA).alias("changes")]
+    return raw.where(F.col("block_num").isNotNull()).select(*KEEP, *of)
+
+
 def block_tables(raw: DataFrame, fallback: DataFrame | None = None, skip_actions: list[str] | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """The tables action, block, delta, abi, perm and token of a frame of raw blocks.
 
@@ -260,26 +289,32 @@ def block_tables(raw: DataFrame, fallback: DataFrame | None = None, skip_actions
     tables share: a writer of several tables passes ``DataFrame.persist``. ``fallback`` (account, abi) has schemas for contracts
     without any in the feed so far.
     """
-    header = hold(headers(raw))
-    of_block = header.select("arrival_ordinal", F.col("timestamp").alias("@timestamp"), "producer")
-    actions, changed = hold(collapsed(raw, skip_actions)), hold(deltas(raw))
+    return tables_of(hold(decoded(raw)), fallback, skip_actions, hold)
+
+
+def tables_of(blocks: DataFrame, fallback: DataFrame | None = None, skip_actions: list[str] | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """The tables of ``block_tables``, of decoded blocks. A table reads these several times: who keeps them decodes once."""
+    def listed_rows(rows: str, *more: str) -> DataFrame:
+        of_block = {"@timestamp": F.get("header", F.lit(0))["timestamp"], "producer": F.get("header", F.lit(0))["producer"]}
+        return blocks.select(*KEEP, *[of_block[m].alias(m) for m in more], F.explode(rows).alias("r")).select(*KEEP, *[f"`{m}`" for m in more], "r.*")
+
+    header = listed_rows("header")
+    actions, changed = listed_rows("actions", "@timestamp", "producer").where(~is_skipped(skip_actions or [], "account", "name")), listed_rows("changes", "@timestamp")
     timeline = schema_timeline(actions, changed)
     probes = actions.withColumn("position", _position(TRACE_PHASE, "trx_idx", "first_idx"))
-    found = decoding.decode_in_force(probes, timeline, "actions", "account", "position", "name", "data", fallback)
-    decoded = found.withColumn("data_json", F.when(F.length("data") == 0, F.lit("{}")).otherwise(F.col("data_json")))
-    action = typed_extracts(decoded).join(of_block, "arrival_ordinal", "left")
+    found = decoding.decode_in_force(probes, timeline, "actions", "account", "position", F.col("position.block"), "name", "data", fallback)
+    action = typed_extracts(found.withColumn("data_json", F.when(F.length("data") == 0, F.lit("{}")).otherwise(F.col("data_json"))))
     act = F.struct("account", "name", "authorization", F.col("data_json").alias("data"), F.when(F.col("data_json").isNull(), columns.hex_text(F.col("data"))).alias("hex_data"))
     signed = F.when((F.col("creator_action_ordinal") == 0) & (F.size("signatures") > 0), F.col("signatures"))
     rows = contract_rows(changed).withColumnRenamed("code", "account")
-    rows = hold(decoding.decode_in_force(rows, timeline, "tables", "account", "position", "table", "value", fallback).withColumnRenamed("account", "code"))
+    rows = hold(decoding.decode_in_force(rows, timeline, "tables", "account", "position", F.col("position.block"), "table", "value", fallback).withColumnRenamed("account", "code"))
     place = lambda: state.version(F.col("arrival_ordinal"), state.row_sequence(F.col("delta_idx"), F.col("row_idx")))
-    abi = account_rows(changed).join(of_block, "arrival_ordinal", "left")
     listed = lambda section: F.from_json(F.get_json_object("abi", f"$.{section}"), "array<struct<name: string>>")["name"]
     return {
         "action": action.select("@timestamp", "global_sequence", "block_num", "block_id", "trx_id", "producer", act.alias("act"), "notified", "receipts", "action_ordinal", "creator_action_ordinal", "cpu_usage_us", "net_usage_words", "code_sequence", "abi_sequence", "act_digest", signed.alias("signatures"), "@transfer", "@newaccount"),
         "block": header.where("producer IS NOT NULL").select(F.col("timestamp").alias("@timestamp"), "block_num", "block_id", "prev_id", "producer", "schedule_version", "trx_count", "cpu_usage_us", "net_usage_words", "arrival_ordinal"),
-        "delta": rows.join(of_block.drop("producer"), "arrival_ordinal", "left").select("@timestamp", "block_num", "block_id", "ordinal", "code", "scope", "table", "primary_key", "payer", "present", F.col("data_json").alias("data"), F.when(F.col("data_json").isNull(), columns.hex_text(F.col("value"))).alias("value_hex"), "arrival_ordinal"),
-        "abi": abi.select("@timestamp", "block_num", "account", "abi", listed("actions").alias("actions"), listed("tables").alias("tables"), "arrival_ordinal"),
+        "delta": rows.select("@timestamp", "block_num", "block_id", "ordinal", "code", "scope", "table", "primary_key", "payer", "present", F.col("data_json").alias("data"), F.when(F.col("data_json").isNull(), columns.hex_text(F.col("value"))).alias("value_hex"), "arrival_ordinal"),
+        "abi": account_rows(changed).select("@timestamp", "block_num", "account", "abi", listed("actions").alias("actions"), listed("tables").alias("tables"), "arrival_ordinal"),
         "perm": permission_rows(changed).withColumn("_version", place()).drop("arrival_ordinal", "delta_idx", "row_idx"),
         "token": balances(rows).withColumn("_version", place()).drop("arrival_ordinal", "delta_idx", "row_idx"),
     }

@@ -68,6 +68,38 @@ def spread(probes: DataFrame, key: str, position: str) -> tuple[DataFrame, Calla
     return dealt, copied
 
 
+def ranges(probes: DataFrame, key: str, place: Column, tasks: int) -> tuple[DataFrame, Callable[[DataFrame, str, str], DataFrame]]:
+    """``probes`` with a part ``_part`` of their key, and a function that gives versions (key, position, value) to the parts that need them.
+
+    As ``spread``, but a part is a range of ``place``, which orders as the position does:
+    its bounds are approximate quantiles, so probes of one place stay together. A version
+    goes to the part of its own place only; each part also gets the last version of the
+    parts before it, at a null position. So versions are not copied, however many a hot key
+    has, and there are ``tasks`` parts of a key at most. Rows of keys without probes are
+    left out.
+    """
+    whole = max(tasks, 2)
+    counts = probes.groupBy(key).agg(F.count(F.lit(1)).alias("_probes"))
+    most = counts.orderBy(F.desc("_probes"), key).limit(HOT_KEYS).where(F.col("_probes") > PART_ROWS)
+    bounds = F.percentile_approx(place, [k / whole for k in range(1, whole)]).alias("_bounds")
+    hot = probes.join(F.broadcast(most), key).groupBy(key).agg(bounds, F.least(F.ceil(F.first("_probes") / PART_ROWS), F.lit(whole)).cast("int").alias("_parts"))
+    below = F.size(F.filter("_bounds", lambda b: b < place))
+    part = F.when(F.col("_bounds").isNotNull(), F.floor(below * F.col("_parts") / whole)).otherwise(0).cast("int")
+    dealt = lambda rows: rows.join(F.broadcast(hot), key, "left").withColumn("_part", part)
+
+    def met(versions: DataFrame, position: str, value: str) -> DataFrame:
+        known = dealt(versions.join(counts.select(key), key, "left_semi"))
+        last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(position, value)).alias("_last")
+        ends = known.where("_parts > 1").groupBy(key, "_part").agg(last)
+        every = hot.select(key, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")).join(ends, [key, "_part"], "left")
+        before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        carried = every.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).where("_before IS NOT NULL")
+        carried = carried.select(key, F.lit(None).cast(versions.schema[position].dataType).alias(position), F.col("_before.v").alias(value), "_part")
+        return known.select(key, position, value, "_part").unionByName(carried)
+
+    return dealt(probes).drop("_bounds", "_parts"), met
+
+
 def as_of(probes: DataFrame, versions: DataFrame, key: str, position: str, value: str, fallback: DataFrame | None = None, into: str = "found") -> DataFrame:
     """Each probe with the value of its key in force at its position (a version counts at its own position).
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -457,9 +458,25 @@ def _customer_blocks(spark: SparkSession, d: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(made, pa.binary())], names=["arrival_ordinal", "frame"])
 
     keyed = a.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.round(F.col("c_acctbal") * 100).cast("long").alias("units"))
+    # a small file would be one task's, and packing is work of the processor
+    keyed = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return ingest.raw_from_frames(keyed.mapInArrow(frames, "arrival_ordinal long, frame binary"))
 
 
+_held: list[DataFrame] = []
+
+
+def _decoded_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The decoded blocks of customers, kept until the next query that asks for them: a table reads them several times."""
+    while _held:
+        old = _held.pop()
+        if old.sparkSession.sparkContext._jsc is not None:
+            old.unpersist()
+    # on disk: rows of nested objects would fill an executor's heap, and its collector's time
+    _held.append(ingest.decoded(_customer_blocks(spark, d)).persist(StorageLevel.DISK_ONLY))
+    return _held[0]
+
+
 SCOPE = "'c' || translate(CAST(c_custkey % 100 AS VARCHAR), '0123456789', 'abcdefghij')"
 
 
@@ -494,7 +511,7 @@ def t2_ingest_blocks(spark, d):
 @query(f"SELECT c_custkey AS block_num, 0 AS ordinal, {SCOPE} AS scope, CAST(c_custkey AS VARCHAR) AS primary_key, c_acctbal >= 0 AS present FROM customer", views=False)
 def t13_ingest_deltas(spark, d):
     on_workers(spark)
-    return ingest.block_tables(_customer_blocks(spark, d))["delta"].select("block_num", F.col("ordinal").cast("int").alias("ordinal"), "scope", "primary_key", "present")
+    return ingest.tables_of(_decoded_blocks(spark, d))["delta"].select("block_num", F.col("ordinal").cast("int").alias("ordinal"), "scope", "primary_key", "present")
 
 
 @query(f"""SELECT '{{"index":{{"_index":"x-token","_id":"' || code || '-' || scope || '-USD","version":' || version || ',"version_type":"external"}}}}' AS head FROM token WHERE NOT gone

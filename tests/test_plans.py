@@ -51,6 +51,25 @@ def test_as_of_edges(spark):
     assert found == {("a", 1): "fa", ("a", 5): None, ("b", 1): "fb", (None, 1): None}
 
 
+def test_ranges_copy_no_versions(spark, monkeypatch):
+    """Each part of a hot key has the version in force for each of its probes; versions are not copied to all parts."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(state, "PART_ROWS", 10)
+    probes = [("a", p) for p in range(400)] + [("b", 3), ("b", 900), (None, 1)]
+    versions = [("a", p, None if p % 7 == 0 else f"v{p}") for p in range(5, 250)] + [("b", 4, "vb"), ("c", 1, "unused"), ("a", None, "fallback")]
+    df = spark.createDataFrame(probes, "k string, p long")
+    dealt, met = state.ranges(df, "k", F.col("p"), 8)
+    known = [tuple(r) for r in met(spark.createDataFrame(versions, "k string, p long, v string"), "p", "v").select("k", "_part", "p", "v").collect()]
+    rows = [tuple(r) for r in dealt.select("k", "_part", "p").collect()]
+    last = lambda found: max(found, key=lambda x: -1 if x[0] is None else x[0], default=(None, None))[1]
+    for k, part, p in rows:
+        here = [(q, v) for j, at, q, v in known if (j, at) == (k, part) and (q is None or q <= p)]
+        assert last(here) == last([(q, v) for j, q, v in versions if j == k and (q is None or q <= p)]), (k, p)
+    assert sorted(map(repr, ((k, p) for k, _, p in rows))) == sorted(map(repr, probes))
+    assert {part for k, part, _ in rows if k == "a"} == set(range(8)) and len(known) <= 247 + 7
+
+
 def test_top_k_plan(spark):
     """Pages are top-k, and equality filters reach the scan."""
     plan = queries.QUERIES["q2_transaction"](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -86,6 +105,15 @@ def test_versions_grow_with_files_and_rows(spark):
             spark.createDataFrame([bad], frame.schema).select(state.version(F.col("arrival_ordinal"), state.row_sequence(F.col("delta_idx"), F.col("row_idx")))).collect()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["t13_ingest_deltas"])
+def test_blocks_are_decoded_once(spark, name):
+    """The decoded blocks are kept, and dealt to all tasks even of a file that one task reads."""
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    kept = queries._held[0]
+    assert kept.storageLevel.useDisk and "InMemoryTableScan" in plan and kept.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_document_versions_of_large_ids(spark, tmp_path):
     """Event ids beyond a row's 22 bits, and beyond a sequence's 28, give the version that the SQL states."""
     import duckdb

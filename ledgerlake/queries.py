@@ -493,7 +493,7 @@ def t7_ingest_actions(spark, d):
 def t14_ingest_tokens(spark, d):
     """Frames to current balances: the latest row of each scope, deleted ones gone."""
     on_workers(spark)
-    return state.latest(ingest.block_tables(_customer_blocks(spark, d))["token"], ingest.KEYS["token"]).select("scope", "block_num", "amount")
+    return state.latest(ingest.tables_of(_decoded_blocks(spark, d))["token"], ingest.KEYS["token"]).select("scope", "block_num", "amount")
 
 
 @query(f"SELECT {SCOPE} AS owner, max(c_custkey) AS block_num, 'bank@active' AS accounts FROM customer GROUP BY 1", views=False)

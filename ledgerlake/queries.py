@@ -485,7 +485,7 @@ def t7_ingest_actions(spark, d):
     """Frames to actions: decoded, collapsed, with the schema in force, and typed."""
     on_workers(spark)
     code = spark.createDataFrame([("tok", schema.to_json(samples.TOKEN_ABI))], "account string, abi string")
-    found = ingest.block_tables(_customer_blocks(spark, d), code)["action"]
+    found = ingest.tables_of(_decoded_blocks(spark, d), code)["action"]
     return found.select("block_num", F.col("global_sequence").cast("long").alias("global_sequence"), F.array_join("notified", ",").alias("notified"), F.col("`@transfer`.from").alias("sender"), F.col("`@transfer`.amount").alias("amount"), F.col("@timestamp").alias("ts_text"), F.size("signatures").alias("signatures"))
 
 

@@ -106,7 +106,7 @@ def test_versions_grow_with_files_and_rows(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["t13_ingest_deltas", "t14_ingest_tokens"])
+@pytest.mark.parametrize("name", ["t13_ingest_deltas", "t14_ingest_tokens", "t7_ingest_actions"])
 def test_blocks_are_decoded_once(spark, name):
     """The decoded blocks are kept, and dealt to all tasks even of a file that one task reads."""
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -22,7 +22,8 @@ does, with all pairs of its parts as blocks, one of at most WIDE nodes.
 A sketch of 128 bits screens pairs: a pair at the threshold passes with five standard
 deviations to spare. Links are confirmed on the full sets. What travels for that are the
 normalised words, compressed: a third of the bytes of the hashes, which the worker makes
-again. Screened pairs are confirmed in two turns, first one a node, then all whose ends
+again. Only nodes that a screened pair or a large bucket asks for have their words written,
+by a second visit of the documents; all others leave a signature only. Screened pairs are confirmed in two turns, first one a node, then all whose ends
 are not yet in one component; components therefore equal those of all confirmed links.
 
 Recall of a pair at similarity 0.8 by level-one buckets alone is 1 - 0.2 ** TREES, over
@@ -32,8 +33,9 @@ linked nodes asks for (see ``_face``): a tree keeps a pair with 0.75 or more at
 further level, so all trees together keep it with 0.9999 at the first and 0.999 at the second of these;
 buckets of at most ``WIDE`` nodes have no further level and lose nothing.
 
-Nothing but counts and checksums reaches the driver. Words and signatures are written
-once to the shared folder, every aggregation is partial first, and joins that may have a
+Nothing but counts and checksums reaches the driver. Signatures, and the words that are
+asked for, are written once to the shared folder, words are brought to a share of the rows
+of a step at a time (see ``_slices``), every aggregation is partial first, and joins that may have a
 hot key take the hottest aside (see ``spread_join``).
 
 Defined results: null, empty or blank texts have no shingles, form a component of their
@@ -42,13 +44,14 @@ rows with equal doc_id and equal text share a component and are kept alike, rows
 equal doc_id and different texts are judged each by its text; a null doc_id
 never names a component unless all its members are null, and ``deduplicate`` removes its
 row otherwise; an empty table gives an empty table; other columns are kept by
-``deduplicate``.
+``deduplicate``. Documents that the second visit finds changed are written whole first.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +83,11 @@ WORD_CACHE = 16 << 20
 SET_CACHE = 16 << 20
 #: Hashes of a bucket that are in memory at once.
 RANGE = 4_000_000
-#: Most bits of a broadcast filter: a million rows of 64.
+#: Rows to which words are brought at once: one in so many of the number of all nodes, and so many in any case.
+SHARE = 4
+LEAST_ROWS = 1 << 16
+#: Least and most bits of a broadcast filter: at most a row an id, and a million rows of 64.
+LEAST_FILTER_BITS = 1 << 21
 FILTER_BITS = 1 << 26
 U64 = np.uint64
 
@@ -149,23 +156,22 @@ def sketch_of(least: np.ndarray) -> list[int]:
     return np.packbits((least & U64(1)).astype(np.uint8)).view(np.int64).tolist()
 
 
-SIGNED = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64()), ("path", pa.list_(pa.int32())), ("body", pa.binary())])
-SIGNED_DDL = "n long, digest binary, s0 long, s1 long, path array<int>, body binary"
+SIGNED = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64()), ("path", pa.list_(pa.int32()))])
+SIGNED_DDL = "n long, digest binary, s0 long, s1 long, path array<int>"
 
 
 def sign(text: Column, words: int) -> Column:
-    """A struct per text: set size, digest of the set, sketch, minwise hashes along the paths, compressed words."""
+    """A struct per text: set size, digest of the set, sketch, minwise hashes along the paths."""
     shingles = Shingles(words)
     multipliers = np.concatenate([PATHS, BITS])
 
     def run(texts: pa.Array) -> dict[str, list]:
-        made, press = {f.name: [] for f in SIGNED}, zstandard.ZstdCompressor(level=1, write_checksum=False)
+        made: dict[str, list] = {f.name: [] for f in SIGNED}
         for x in texts:
-            parts = words_of(x.as_py())
-            found = shingles.of(parts)
+            found = shingles.of(words_of(x.as_py()))
             made["n"].append(len(found))
             if not len(found):
-                for k in ("digest", "s0", "s1", "path", "body"):
+                for k in ("digest", "s0", "s1", "path"):
                     made[k].append(None)
                 continue
             least = minima(found, multipliers)
@@ -174,20 +180,34 @@ def sign(text: Column, words: int) -> Column:
             made["s0"].append(s0)
             made["s1"].append(s1)
             made["path"].append(least[: len(PATHS)].astype(np.uint32).view(np.int32))
-            made["body"].append(press.compress(b" ".join(parts)))
         return made
 
     return struct_udf(run, SIGNED_DDL, SIGNED)(text)
 
 
-def _common(left: Column | str, right: Column | str, words: int) -> Column:
-    """The number of shingles that two texts share, by their compressed words."""
+def _pack(text: Column | str) -> Column:
+    """The words of each text, compressed."""
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        press = zstandard.ZstdCompressor(level=1, write_checksum=False)
+        return pa.array([press.compress(b" ".join(words_of(x.as_py()))) for x in texts], type=pa.binary())
+
+    return run(text)
+
+
+def _linked(left: Column | str, right: Column | str, words: int, percent: int) -> Column:
+    """Whether two texts are linked by their full sets, by their compressed words."""
     shingles = Shingles(words)
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("boolean")
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        of = shingles.of_body
-        return pa.array([len(np.intersect1d(of(a), of(b), assume_unique=True)) for a, b in zip(left, right, strict=True)], type=pa.int64())
+        made = []
+        for a, b in zip(left, right, strict=True):
+            x, y = shingles.of_body(a), shingles.of_body(b)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            made.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        return pa.array(made, type=pa.bool_())
 
     return run(left, right)
 
@@ -200,26 +220,67 @@ def _may_link(a: str, b: str, percent: int) -> str:
     return f"(100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {_distance(a, b)} <= {MAX_SKETCH_DISTANCE})"
 
 
-def _bodies(signed: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """(name, body_<name>, n_<name>): the words of at least the rows in ``ids`` (one column of a written table).
+def _among(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """At least the rows whose ``name`` is in ``ids`` (one column of a written table).
 
-    A bitmap of sixteen bits an id, but at most FILTER_BITS, keeps most other rows out of
-    the shuffle; it may let some pass, which the join that follows leaves out.
+    A bitmap of sixteen bits an id, but at least LEAST_FILTER_BITS and at most FILTER_BITS,
+    keeps most other rows out of what follows; it may let some pass.
     """
-    size = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
+    size = 1 << max(LEAST_FILTER_BITS.bit_length() - 1, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     spots = ids.toDF("id").select(place(F.col("id")).alias("spot"))
     bitmap = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS int))")).alias("bits"))
-    found = signed.select(F.col("row").alias(name), F.col("body").alias(f"body_{name}"), F.col("n").alias(f"n_{name}")).withColumn("_spot", place(F.col(name)))
+    found = rows.withColumn("_spot", place(F.col(name)))
     kept = found.join(F.broadcast(bitmap), F.shiftright("_spot", 6) == F.col("word")).where("(shiftrightunsigned(bits, CAST(_spot & 63 AS int)) & 1) = 1")
     return kept.drop("_spot", "word", "bits")
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of a written table that are links by their full sets."""
-    both = pairs.join(_bodies(signed, pairs.select("a"), "a"), "a").join(_bodies(signed, pairs.select("b"), "b"), "b")
-    both = both.select("a", "b", "n_a", "n_b", _common("body_a", "body_b", words).alias("shared"))
-    return both.where(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
+class Changed(Exception):
+    """A second visit of the documents does not find what the first did."""
+
+
+def _packed(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, body): the compressed words of at least the nodes in ``ids`` (one column ``node``), once each; a written table."""
+    ids = materialise(ids, "asked")
+    bodies = materialise(_among(source, "node", ids).select("node", _pack("text").alias("body")), "bodies")
+    times = ids.select("node", F.lit(1).alias("ask"), F.lit(0).alias("have")).unionByName(bodies.select("node", F.lit(0).alias("ask"), F.lit(1).alias("have")))
+    times = times.groupBy("node").agg(F.sum("ask").alias("ask"), F.sum("have").alias("have"))
+    missed, repeated = times.agg(F.max(F.expr("ask > 0 AND have = 0")), F.max(F.expr("have > 1"))).first()
+    drop_table(ids)
+    if missed:
+        drop_table(bodies)
+        raise Changed
+    if repeated:
+        # rows that are equal in id and text
+        every, bodies = bodies, materialise(bodies.dropDuplicates(["node"]), "bodies")
+        drop_table(every)
+    return bodies
+
+
+def _bodies(bodies: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(name, body_<name>): the words of at least the nodes in ``ids`` (one column of a written table)."""
+    return _among(bodies.select(F.col("node").alias(name), F.col("body").alias(f"body_{name}")), name, ids)
+
+
+def _slices(rows: DataFrame, by: str, total: int) -> list[DataFrame]:
+    """A written table in parts by a hash of ``by``, of about a SHARE-th of ``total`` rows each, or LEAST_ROWS.
+
+    A node is in up to TREES buckets, so all rows of a step with their words may be many
+    times the documents. Shuffles of a part are released before the next.
+    """
+    parts = max(-(-rows.count() // max(total // SHARE, LEAST_ROWS)), 1)
+    return [rows.where(F.pmod(F.xxhash64(F.lit(parts), by), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _confirmed(pairs: DataFrame, bodies: DataFrame, total: int, words: int, percent: int) -> list[DataFrame]:
+    """The pairs (a, b) of a written table, which goes, that are links by their full sets; written tables."""
+    made = []
+    for part in _slices(pairs, "a", total):
+        both = part.join(_bodies(bodies, part.select("a"), "a"), "a").join(_bodies(bodies, part.select("b"), "b"), "b")
+        made.append(materialise(both.select("a", "b", _linked("body_a", "body_b", words, percent).alias("linked")).where("linked").select("a", "b"), "links"))
+        release(pairs.sparkSession)
+    drop_table(pairs)
+    return made
 
 
 def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -257,19 +318,22 @@ def _shared_counts(bodies: pa.ChunkedArray, sizes: np.ndarray, shingles: Shingle
     return shared
 
 
-def _block_links(rows: DataFrame, signed: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Confirmed links that connect the nodes of each bucket of at most BLOCK nodes, as a written table.
+def _alive(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n): the nodes that have a screened partner in their bucket of at most BLOCK nodes, as a written table.
 
-    Only nodes with a screened partner in the bucket bring their words, pairs of nodes that
-    are in one component already (not ``open``) left aside.
+    Pairs of nodes that are in one component already (not ``open``) are left aside.
     """
     members = rows.groupBy("key").agg(F.collect_list(F.struct("node", "n", "s0", "s1", "open")).alias("m"))
     paired = F.expr(f"filter(m, x -> exists(m, y -> y.node <> x.node AND x.open + y.open > 0 AND {_may_link('x.', 'y.', percent)}))")
-    alive = materialise(members.select("key", F.explode(paired).alias("x")).select("key", F.col("x.node").alias("node")), "alive")
+    return materialise(members.select("key", F.explode(paired).alias("x")).select("key", F.col("x.node").alias("node"), F.col("x.n").alias("n")), "alive")
+
+
+def _block_links(alive: DataFrame, bodies: DataFrame, total: int, words: int, percent: int) -> list[DataFrame]:
+    """Confirmed links that connect the nodes of each bucket of ``alive``, which goes; written tables."""
     shingles = Shingles(words)
 
     def connect(bucket: pa.Table) -> pa.Table:
-        nodes, size = bucket.column("node").to_pylist(), bucket.column("n_node").to_numpy()
+        nodes, size = bucket.column("node").to_pylist(), bucket.column("n").to_numpy()
         shared = _shared_counts(bucket.column("body_node"), size, shingles)
         linked = np.argwhere(np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1))
         root = list(range(len(nodes)))
@@ -286,8 +350,11 @@ def _block_links(rows: DataFrame, signed: DataFrame, words: int, percent: int, n
                 tree.append((nodes[x], nodes[y]))
         return pa.table({"a": pa.array([min(x) for x in tree], pa.int64()), "b": pa.array([max(x) for x in tree], pa.int64())})
 
-    brought = alive.join(_bodies(signed, alive.select("node"), "node"), "node")
-    made = materialise(brought.groupBy("key").applyInArrow(connect, "a long, b long").distinct(), name)
+    made = []
+    for part in _slices(alive, "key", total):
+        brought = part.join(_bodies(bodies, part.select("node"), "node"), "node")
+        made.append(materialise(brought.groupBy("key").applyInArrow(connect, "a long, b long").distinct(), "links"))
+        release(alive.sparkSession)
     drop_table(alive)
     return made
 
@@ -312,13 +379,13 @@ def _centre(three: list[np.ndarray]) -> np.ndarray:
     return tokens[times > 1] if len(three) == 3 and (times > 1).any() else three[0]
 
 
-def _centred(central: DataFrame, signed: DataFrame, words: int) -> DataFrame:
+def _centred(central: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
     """key, the words of its three central nodes, and the sketch (c0, c1) of its centre."""
     shingles = Shingles(words)
 
-    def run(*bodies: pa.Array) -> dict[str, list]:
+    def run(*packed: pa.Array) -> dict[str, list]:
         made: dict[str, list] = {"c0": [], "c1": []}
-        for three in zip(*bodies, strict=True):
+        for three in zip(*packed, strict=True):
             sketch = sketch_of(minima(_centre([shingles.of_body(x) for x in three if x.is_valid]), BITS))
             for name, value in zip(made, sketch, strict=True):
                 made[name].append(value)
@@ -326,7 +393,7 @@ def _centred(central: DataFrame, signed: DataFrame, words: int) -> DataFrame:
 
     found = central
     for name in CENTRAL:
-        found = found.join(_bodies(signed, central.select(name), name).drop(f"n_{name}"), name, "left")
+        found = found.join(_bodies(bodies, central.select(name), name), name, "left")
     names = [f"body_{name}" for name in CENTRAL]
     return found.withColumn("c", struct_udf(run, "c0 long, c1 long", CENTRE)(*names)).select("key", *names, "c.*")
 
@@ -415,11 +482,14 @@ def _direct(judged: DataFrame) -> DataFrame:
     return dealt.withColumn("key", F.xxhash64("key", "part.p", "part.q")).drop("part")
 
 
-def candidate_links(nodes: DataFrame, signed: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Screened pairs of the small first buckets, and confirmed links of all others; written tables."""
+def candidate_links(nodes: DataFrame, source: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Screened pairs of the small first buckets, confirmed links of all others, and the words of all nodes in either; written tables.
+
+    Whatever is compared later is in a pair, alive or in a large bucket at the first level.
+    """
     trees = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, path[t]))")
     rows = nodes.select(F.explode(trees).alias("key"), "node", F.lit(1).alias("open"))
-    pairs, links, written = None, [], None
+    pairs, links, written, bodies, total = None, [], None, None, nodes.count()
     while True:
         crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.sum("open").alias("unlinked")).where("crowd > 1 AND unlinked > 0").drop("unlinked")
         shared = materialise(rows.join(crowd, "key").join(nodes.select("node", "n", "s0", "s1"), "node"), "buckets")
@@ -429,55 +499,90 @@ def candidate_links(nodes: DataFrame, signed: DataFrame, words: int, percent: in
         if pairs is None:
             pairs, least = materialise(_small_pairs(shared.where(f"crowd <= {SMALL}"), percent), "pairs"), SMALL
         release(nodes.sparkSession)
-        links.append(_block_links(shared.where(f"crowd > {least} AND crowd <= {BLOCK}"), signed, words, percent, "links"))
+        alive = _alive(shared.where(f"crowd > {least} AND crowd <= {BLOCK}"), percent)
         large = shared.where(f"crowd > {BLOCK}").drop("crowd", "open")
+        if bodies is None:
+            asked = [pairs.select("a"), pairs.select("b"), alive.select("node"), large.select("node")]
+            bodies = _packed(source, reduce(DataFrame.unionByName, [x.toDF("node") for x in asked]).distinct())
+            release(nodes.sparkSession)
+        links += _block_links(alive, bodies, total, words, percent)
         if large.isEmpty():
             drop_table(shared)
-            return pairs, links
-        centres = materialise(_centred(materialise(_central(large), "central"), signed, words), "centres")
+            return pairs, links, bodies
+        centres = materialise(_centred(materialise(_central(large), "central"), bodies, words), "centres")
         off = F.struct((F.bit_count(F.expr("s0 ^ c0")) + F.bit_count(F.expr("s1 ^ c1"))).alias("off"), "node", "n")
         nearest = large.join(centres.select("key", "c0", "c1"), "key").groupBy("key").agg(F.min(off).alias("p"))
         pivots = materialise(nearest.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("p_n")), "pivots")
         met = materialise(large.join(pivots, "key").where("node <> pivot").select("key", "node", "n", "s0", "s1", "pivot", "p_n"), "met")
         drop_table(shared)
         release(nodes.sparkSession)
-        facing = pivots.join(_bodies(signed, pivots.select("pivot"), "pivot").drop("n_pivot"), "pivot")
-        faced = met.join(_bodies(signed, met.select("node"), "node").drop("n_node"), "node").join(centres.drop("c0", "c1"), "key").join(facing.drop("pivot", "p_n"), "key")
-        faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face(words, percent).alias("f"))
-        judged = materialise(faced.withColumn("linked", F.expr(f"100 * f.shared >= {percent} * (n + p_n - f.shared)")), "faced")
+        facing = materialise(pivots.join(_bodies(bodies, pivots.select("pivot"), "pivot"), "pivot").select("key", "body_pivot"), "facing")
+        judged = []
+        for part in _slices(met, "node", total):
+            faced = part.join(_bodies(bodies, part.select("node"), "node"), "node").join(centres.drop("c0", "c1"), "key").join(facing, "key")
+            faced = faced.select("key", "node", "n", "s0", "s1", "pivot", "p_n", _face(words, percent).alias("f"))
+            judged.append(materialise(faced.withColumn("linked", F.expr(f"100 * f.shared >= {percent} * (n + p_n - f.shared)")), "faced"))
+            release(nodes.sparkSession)
+        judged = reduce(DataFrame.unionByName, judged)
         drop_table(met)
         drop_table(pivots)
         drop_table(centres)
+        drop_table(facing)
         links.append(materialise(judged.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "links"))
         opened = judged.withColumn("open", F.expr("CAST(NOT linked AS int)"))
         left = opened.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.sum("open").alias("opens")).where("opens > 0")
         opened = opened.join(left, "key")
         release(nodes.sparkSession)
-        links.append(_block_links(_direct(opened), signed, words, percent, "links"))
+        links += _block_links(_alive(_direct(opened), percent), bodies, total, words, percent)
         rows = written = materialise(opened.where(f"opens > {BLOCK // 2} AND crowd > {WIDE * BLOCK}").select(F.explode("f.kids").alias("key"), "node", "open").distinct(), "kids")
         drop_table(judged)
-        del crowd, shared, large, centres, nearest, pivots, facing, met, faced, judged, opened, left
+        del crowd, shared, alive, large, centres, nearest, pivots, facing, met, faced, judged, opened, left
         release(nodes.sparkSession)
 
 
+def _node(seed: int) -> Column:
+    """The number of a row as a node, from its id and two hashes of its text."""
+    return F.xxhash64(F.lit(seed), "doc_id", "_text", "_other")
+
+
 def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     """doc_id, n, component_id, and _text (a hash of the text), a row per row of ``docs``."""
-    spark = docs.sparkSession
-    on_workers(spark)
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    signed = materialise(source.select("doc_id", "row", F.xxhash64("text").alias("_text"), sign(F.col("text"), words).alias("s")).select("doc_id", "row", "_text", "s.*"), "signed")
+    on_workers(docs.sparkSession)
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    try:
+        return _visited(source, words, percent)
+    except Changed:
+        return _visited(materialise(source, "documents"), words, percent)
+
+
+def _visited(source: DataFrame, words: int, percent: int) -> DataFrame:
+    """``_grouped`` of documents (doc_id, text) that are read twice."""
+    spark = source.sparkSession
+    source = source.withColumns({"_text": F.xxhash64("text"), "_other": F.xxhash64(F.lit(1), "text")})
+    signed = materialise(source.select("doc_id", F.monotonically_increasing_id().alias("row"), "_text", "_other", sign(F.col("text"), words).alias("s")).select("doc_id", "row", "_text", "_other", "s.*"), "signed")
     full = signed.where("n > 0")
-    classes = materialise(full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
-    nodes = materialise(full.select(F.col("row").alias("node"), "n", "s0", "s1", "path").join(classes.select("node"), "node", "left_semi"), "nodes")
+    for seed in count():
+        firsts = [F.min("row").alias("row"), F.min_by(_node(seed), "row").alias("node"), F.min("doc_id").alias("least")]
+        classes = materialise(full.groupBy("digest").agg(*firsts, F.count(F.lit(1)).alias("copies")), "classes")
+        if classes.groupBy("node").count().where("count > 1").isEmpty():
+            break
+        drop_table(classes)
+    nodes = materialise(full.join(classes.select("row"), "row", "left_semi").select(_node(seed).alias("node"), "n", "s0", "s1", "path"), "nodes")
     release(spark)
-    asked, links = candidate_links(nodes, signed, words, percent)
-    drop_table(nodes)
+    total = nodes.count()
+    try:
+        asked, links, bodies = candidate_links(nodes, source.select(_node(seed).alias("node"), "text"), words, percent)
+    except Changed:
+        drop_table(signed)
+        drop_table(classes)
+        raise
+    finally:
+        drop_table(nodes)
     release(spark)
     nearest = materialise(asked.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
-    first = materialise(_confirmed(nearest, signed, words, percent), "links")
-    drop_table(nearest)
-    label = components(reduce(DataFrame.unionByName, [first, *links]))
-    for done in (first, *links):
+    links += _confirmed(nearest, bodies, total, words, percent)
+    label = components(reduce(DataFrame.unionByName, links))
+    for done in links:
         drop_table(done)
     release(spark)
     of = lambda k: label.select(F.col("node").alias(k), F.col("label").alias(f"of_{k}"))
@@ -485,8 +590,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
     rest = materialise(rest, "rest")
     drop_table(asked)
     release(spark)
-    second = materialise(_confirmed(rest, signed, words, percent), "links")
-    drop_table(rest)
+    second = reduce(DataFrame.unionByName, _confirmed(rest, bodies, total, words, percent))
+    drop_table(bodies)
     if not second.isEmpty():
         label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second))
     release(spark)

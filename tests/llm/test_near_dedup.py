@@ -1,7 +1,10 @@
+import os
 import random
 import re
+import uuid
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerlake.llm import near_dedup as n
 from ledgerlake.llm.components import components
@@ -125,3 +128,57 @@ def test_deduplicate_judges_rows(spark):
     docs = spark.createDataFrame([(1, copy), (7, copy), (7, other), (None, copy), (None, ""), (3, None)], "doc_id long, text string")
     kept = sorted((repr(r.doc_id), r.text or "") for r in n.deduplicate(docs).collect())
     assert kept == sorted([("1", copy), ("7", other), ("None", ""), ("3", "")])
+
+
+def written(monkeypatch):
+    """The bytes of the files of each table that is written, by name, as the list grows."""
+    made, real = [], n.materialise
+
+    def write(df, name):
+        out = real(df, name)
+        made.append((name, sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(n, "materialise", write)
+    return made
+
+
+def test_only_asked_words_are_written(spark, monkeypatch):
+    # words of their own, so that nothing but a few copies is ever compared
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(400)) for _ in range(500)]
+    texts += [edited(t, k, 2) for k, t in enumerate(texts[:20])]
+    rows, made = list(enumerate(texts)), written(monkeypatch)
+    result = found(frame(spark, rows), 4)
+    assert [r[2] for r in result] == [repr(int(r[0]) % 500) for r in result]
+    assert sum(size for name, size in made if name in ("signed", "bodies")) < 0.2 * sum(map(len, texts))
+
+
+def test_equal_rows_and_documents_that_change(spark, monkeypatch):
+    base = prose(80, 90)
+    rows = [(1, base)] * 30 + [(2, edited(base, 3, 1))] * 5 + [(None, edited(base, 4, 1))] * 3 + [(4, prose(81, 90))] * 2
+    assert found(frame(spark, rows), 4) == brute(rows, 4)
+    # another last word at each visit
+    made = written(monkeypatch)
+    end = F.udf(lambda t: f"{t} {uuid.uuid4().hex}").asNondeterministic()
+    docs = frame(spark, families()).withColumn("text", end("text"))
+    result = found(docs, 4)
+    assert [name for name, _ in made].count("documents") == 1
+    assert result == brute([(d, f"{t} end{k}") for k, (d, t) in enumerate(families())], 4)
+
+
+def test_nodes_of_one_number(spark, monkeypatch):
+    real, seeds = n._node, set()
+    monkeypatch.setattr(n, "_node", lambda seed: seeds.add(seed) or (real(seed) if seed else F.lit(7).cast("long")))
+    rows = families()
+    assert found(frame(spark, rows), 4) == brute(rows, 4) and seeds == {0, 1}
+
+
+def test_words_are_brought_in_parts(spark, monkeypatch):
+    rows, parts, real = families(), [], n._slices
+    monkeypatch.setattr(n, "SMALL", 4)
+    monkeypatch.setattr(n, "BLOCK", 6)
+    monkeypatch.setattr(n, "LEAST_ROWS", 400)
+    monkeypatch.setattr(n, "_slices", lambda *a: parts.append(real(*a)) or parts[-1])
+    assert found(frame(spark, rows), 4) == brute(rows, 4)
+    assert max(map(len, parts)) > 1

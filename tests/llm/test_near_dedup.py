@@ -6,6 +6,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from ledgerlake.llm import components as c
 from ledgerlake.llm import near_dedup as n
 from ledgerlake.llm.components import components
 from tests.llm.util import documents, edited, frame, prose
@@ -182,3 +183,23 @@ def test_words_are_brought_in_parts(spark, monkeypatch):
     monkeypatch.setattr(n, "_slices", lambda *a: parts.append(real(*a)) or parts[-1])
     assert found(frame(spark, rows), 4) == brute(rows, 4)
     assert max(map(len, parts)) > 1
+
+
+def test_one_component_does_not_meet_again(spark):
+    # links of other trees join 1, 2 and 3: bucket 8 is done, and three nodes of bucket 7 are open
+    rows = spark.createDataFrame([(7, x) for x in range(1, 7)] + [(8, x) for x in range(1, 4)], "key long, node long")
+    label = spark.createDataFrame([(2, 1), (3, 1), (1, 1)], "a long, b long")
+    made = {(r.key, r.node, r.of, r.crowd, r.opens, r.open) for r in n._opened(rows, label).collect()}
+    assert made == {(7, x, 1, 6, 3, 0) for x in (1, 2, 3)} | {(7, x, x, 6, 3, 1) for x in (4, 5, 6)}
+    # of a dense bucket only nodes with a partner in another component get their words
+    bucket = spark.createDataFrame([(7, 1, 100, 0, 0, 1), (7, 2, 100, 0, 0, 1), (8, 3, 100, 0, 0, 1), (8, 4, 100, 0, 0, 4), (8, 5, 100, -1, -1, 5)], "key long, node long, n long, s0 long, s1 long, of long")
+    assert {(r.key, r.node) for r in n._alive(bucket, 80).collect()} == {(8, 3), (8, 4)}
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(rng.randrange(900), rng.randrange(900)) for _ in range(700)] + [(-k, -k - 1) for k in range(5, 40)]
+    df = spark.createDataFrame(links, "a long, b long")
+    one = {(r.node, r.label) for r in components(df).collect()}
+    monkeypatch.setattr(c, "FEW", -1)
+    assert {(r.node, r.label) for r in components(df).collect()} == one and (-5, -40) in one
